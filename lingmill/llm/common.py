@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
@@ -50,16 +51,13 @@ def numbered(df: DataFrame, order: list, name: str = "row_no") -> tuple[DataFram
     dealt = held.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie", "_at")
     dealt = dealt.withColumns({"_pid": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     dealt = table(dealt, "numbered")
-    sizes = [(r[0], r[1]) for r in dealt.groupBy("_pid").count().collect()]  # a row for each partition
-    starts, total = [], 0
-    for pid, n in sorted(sizes):
-        starts.append((pid, total))
-        total += n
-    offsets = spark.createDataFrame(starts or [(0, 0)], "_pid int, _start long")
+    counts = dealt.groupBy("_pid").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_pid", before.alias("_start"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     return dealt.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_start") + F.col("_i")).drop("_pid", "_i", "_start"), total
 
 
-
 def clash_free(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of df, so that further columns, whatever their names, cannot clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])
