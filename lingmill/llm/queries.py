@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, sharding
+from . import licenses, mixing, pii, quality, secrets, sharding, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +15,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_source_mix, op8_sharding)}
-ORACLES = {"op1_secret_scan": secrets.oracle()}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_quality, op4_source_mix, op6_license_scan, op7_pii, op8_sharding)}
+ORACLES = {"op1_secret_scan": secrets.oracle(), "op6_license_scan": licenses.oracle(), "op7_pii": pii.oracle()}
