@@ -61,3 +61,13 @@ def numbered(df: DataFrame, order: list, name: str = "row_no") -> tuple[DataFram
 def clash_free(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of df, so that further columns, whatever their names, cannot clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table() that nothing needs any more, and let Spark drop the shuffle files of what is done."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for name in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent().getParent()
+        if folder.getName().startswith("lingmill-"):
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, pii, quality, secrets, sharding, tokens
+from . import jaccard, licenses, mixing, pii, quality, secrets, sharding, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(read(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_quality, op4_source_mix, op6_license_scan, op7_pii, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_quality, op4_source_mix, op5_jaccard_join, op6_license_scan, op7_pii, op8_sharding)}
 ORACLES = {"op1_secret_scan": secrets.oracle(), "op6_license_scan": licenses.oracle(), "op7_pii": pii.oracle()}
