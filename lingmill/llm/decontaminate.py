@@ -16,6 +16,8 @@ repeated items give a row each; repeated documents give rows each; other columns
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,18 +31,20 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items and characters of items that go to the tasks at once.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 REMEMBERED = 300_000
+#: Symbols that don't count at the ends of a word.
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@"
+EDGE_BYTES = EDGES.encode()
 
 
 class WordIds(dict):
     """raw word -> its number in the vocabulary, -1 if not in it, -2 if it is nothing but symbols; forgets all when full."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: dict[bytes, int]):
         super().__init__()
         self.vocabulary = vocabulary
 
     def __missing__(self, raw: bytes) -> int:
-        word = plain(raw)
+        word = raw.strip(EDGE_BYTES).lower() if raw.isascii() else plain(raw)
         found = self.vocabulary.get(word, -1) if word else -2
         if len(raw) <= 64:
             if len(self) >= REMEMBERED:
@@ -48,17 +52,38 @@ class WordIds(dict):
             self[raw] = found
         return found
 
-    def of(self, text: bytes) -> np.ndarray:
-        raw = text.split()
-        ids = np.fromiter(map(self.__getitem__, raw), dtype=np.int64, count=len(raw))
-        return ids[ids != -2]
-
-
-def plain(raw: bytes) -> str:
-    return raw.decode("utf-8", "replace").lower().strip(EDGES)
-
-
-def words_of(text: str | None) -> list[str]:
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of the texts, each text followed by a -1; where each text starts, and the end."""
+        raw = [t.split() for t in texts]
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(raw)), dtype=np.int64)
+        doc = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        keep = ids != -2
+        ids, doc = ids[keep], doc[keep]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(raw)) + 1)])
+        out = np.full(len(ids) + len(raw), -1, dtype=np.int64)
+        out[np.arange(len(ids)) + doc] = ids
+        return out, starts
+
+
+def chunks(keys, texts, size: int = 2_000_000):
+    """Keys and texts in lists of about `size` bytes: what a task holds at once doesn't grow with a batch."""
+    held_k, held_t, n = [], [], 0
+    for key, t in zip(keys, texts, strict=True):
+        held_k.append(key)
+        held_t.append(t)
+        n += len(t) + 100
+        if n >= size:
+            yield held_k, held_t
+            held_k, held_t, n = [], [], 0
+    if held_k:
+        yield held_k, held_t
+
+
+def plain(raw: bytes) -> bytes:
+    return raw.decode("utf-8", "replace").lower().strip(EDGES).encode()
+
+
+def words_of(text: str | None) -> list[bytes]:
     return [w for w in map(plain, (text or "").encode("utf-8", "replace").split()) if w]
 
 
@@ -97,24 +122,22 @@ class Seeds:
             h ^= h >> np.uint64(29)
         return h
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """item -> (position in the document, position in the item) of its seeds, in the order of the document."""
-        out: dict[int, list[tuple[int, int]]] = {}
+    def hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(position, item, position in the item) of all seeds in a run of texts; no seed holds the -1 between texts."""
+        out = []
         known = ids >= 0
-        for n, (quick, grams) in self.by_n.items():
-            if len(ids) < n:
-                continue
-            m = len(ids) - n + 1
-            at = known[:m].copy()
-            for j in range(1, n):
-                at &= known[j : j + m]
-            at = np.flatnonzero(at)
-            if not len(at):
+        at = np.flatnonzero(known)
+        for n in range(1, max(self.by_n, default=0) + 1):
+            if n > 1:
+                at = at[at + n - 1 < len(ids)]
+                at = at[known[at + n - 1]]  # all n words are of the vocabulary
+            if n not in self.by_n or not len(at):
                 continue
-            at = at[quick[(self.mixed([ids[at + j] for j in range(n)]) & self.mask).astype(np.int64)]]
-            for i in at.tolist():
+            quick, grams = self.by_n[n]
+            some = at[quick[(self.mixed([ids[at + j] for j in range(n)]) & self.mask).astype(np.int64)]]
+            for i in some.tolist():
                 for k, j in grams.get(tuple(ids[i : i + n].tolist()), ()):
-                    out.setdefault(k, []).append((i, j))
+                    out.append((i, k, j))
         return out
 
 
@@ -133,31 +156,41 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks_in(ids: np.ndarray, seeds: Seeds, least: float = LEAST):
-    """(item, score, first word, end word, seeds) of each item that leaked into a document."""
-    for k, found in sorted(seeds.hits(ids).items()):
-        item = seeds.items[k]
-        found.sort()
+def passages(found: list[tuple[int, int]], width: int):
+    """Runs of hits of one item that lie at most `width` words apart: first and last position, number of hits."""
+    start = 0
+    for i in range(1, len(found) + 1):
+        if i == len(found) or found[i][0] - found[i - 1][0] > width:
+            yield found[start][0], found[i - 1][0], i - start
+            start = i
+
+
+def leaks_in(ids: np.ndarray, starts: np.ndarray, seeds: Seeds, least: float = LEAST):
+    """(text, item, score, first word, end word, seeds) of each item that leaked into each of the texts."""
+    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    hits = sorted(seeds.hits(ids))
+    docs = np.searchsorted(starts, [h[0] for h in hits], side="right") - 1
+    for d, (i, k, j) in zip(docs.tolist(), hits, strict=True):
+        by.setdefault((d, k), []).append((i, j))
+    for (d, k), found in sorted(by.items()):
+        item, lo_doc, hi_doc = seeds.items[k], int(starts[d]), int(starts[d + 1]) - 1
         best = None
-        start = 0
-        for i in range(1, len(found) + 1):
-            if i == len(found) or found[i][0] - found[i - 1][0] > len(item):
-                lo, hi = max(0, found[start][0] - 2 * len(item)), min(len(ids), found[i - 1][0] + 2 * len(item))
-                score, end = align(item, ids[lo:hi])
-                if best is None or score > best[0]:
-                    best = (score, lo, lo + end, i - start)
-                start = i
+        for first, last, n in passages(found, len(item)):
+            lo, hi = max(lo_doc, first - 2 * len(item)), min(hi_doc, last + 2 * len(item))
+            score, end = align(item, ids[lo:hi])
+            if best is None or score > best[0]:
+                best = (score, lo, lo + end, n)
         score = best[0] / (MATCH * len(item))
         if score >= least:
             _, back = align(item[::-1], ids[best[1] : best[2]][::-1])
-            yield k, score, best[2] - back, best[2], best[3]
+            yield d, k, score, best[2] - back - lo_doc, best[2] - lo_doc, best[3]
 
 
 def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text"))
 
 
-def word_shares(rows: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+def word_shares(rows: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     """Share of each word of the vocabulary among all words of all documents (each counted once more than it occurs)."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -165,8 +198,10 @@ def word_shares(rows: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
         ids, n = WordIds(shared.value), len(shared.value)
         total = np.zeros(n + 1, dtype=np.int64)
         for b in batches:
-            for t in b["_text"]:
-                total += np.bincount(ids.of(t) + 1, minlength=n + 1)
+            for _, texts in chunks(b["doc_id"], b["_text"]):
+                got, starts = ids.of(texts)
+                total += np.bincount(got + 1, minlength=n + 1)
+                total[0] -= len(starts) - 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"word": at - 1, "n": total[at]})
 
@@ -207,7 +242,10 @@ def _leaks(rows: DataFrame, shared, least: float, rare: float, kinds: str) -> Da
         names, items, vocabulary, shares = shared.value
         ids, seeds = WordIds(vocabulary), Seeds(items, shares, rare)
         for b in batches:
-            found = [(d, names[k], round(s, 6), lo, hi, n) for d, t in zip(b["doc_id"], b["_text"], strict=True) for k, s, lo, hi, n in leaks_in(ids.of(t), seeds, least)]
+            found = []
+            for keys, texts in chunks(b["doc_id"], b["_text"]):
+                got, starts = ids.of(texts)
+                found += [(keys[d], names[k], round(s, 6), lo, hi, n) for d, k, s, lo, hi, n in leaks_in(got, starts, seeds, least)]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
     return rows.mapInPandas(run, kinds)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, mixing, pii, quality, secrets, sharding, tokens
+from . import decontaminate, jaccard, licenses, mixing, neighbours, pii, quality, secrets, sharding, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +43,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_quality, op4_source_mix, op5_jaccard_join, op6_license_scan, op7_pii, op8_sharding)}
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_quality, op4_source_mix, op5_jaccard_join, op6_license_scan, op7_pii, op8_sharding, op9_neighbours, op10_decontamination)}
 ORACLES = {"op1_secret_scan": secrets.oracle(), "op6_license_scan": licenses.oracle(), "op7_pii": pii.oracle()}

@@ -127,8 +127,12 @@ def count_tokens(docs: DataFrame, vocabulary: list[bytes] | None = None, lead: b
     def run(batches):
         counts = Counts(Automaton(shared.value), lead)
         for b in batches:
-            words = [t.split() for t in b["t"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t) for t in b["t"]], "n_words": [len(w) for w in words], "n_tokens": [sum(map(counts.__getitem__, w)) for w in words]})
+            n_words, n_tokens = [], []
+            for t in b["t"]:
+                words = t.split()
+                n_words.append(len(words))
+                n_tokens.append(sum(map(counts.__getitem__, words)))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t) for t in b["t"]], "n_words": n_words, "n_tokens": n_tokens})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_words long, n_tokens long")
