@@ -48,7 +48,8 @@ def score_words(words: DataFrame, model: Model, params: Params = Params()) -> tu
         counted = counted.join(skips, "word", "left").filter(single | F.col("_skip").isNull()).drop("_skip")
     scored = counted.filter(~single)
 
-    grams = scored.select("script", "word", F.explode(F.sequence(F.lit(params.min_ngram), F.least(F.lit(params.max_ngram), F.length("word")))).alias("n")).filter(F.col("n") <= F.length("word"))
+    long = scored.filter(F.length("word") >= params.min_ngram)
+    grams = long.select("script", "word", F.explode(F.sequence(F.lit(params.min_ngram), F.least(F.lit(params.max_ngram), F.length("word")))).alias("n"))
     grams = grams.select("script", "word", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1), lambda i: F.col("word").substr(i, F.col("n")))).alias("gram"))
     found = grams.join(model.ngrams, ["n", "gram"], "left").repartition("word")
     whole = F.min(F.col("langs").isNotNull().cast("int")).over(W.partitionBy("word", "n"))

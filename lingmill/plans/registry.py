@@ -2,5 +2,353 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import catalog
+from ..functions import text as T
+from ..operators import cj, evaluate, incremental, train
+from ..operators import model as M
+from ..operators.detect import Params, detect, detect_scores, score_words, words_of
+from . import oracle as O
+
+#: The languages of the documents table.
+LANGS = ["en", "fr", "de", "es"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_tables: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """n-gram and topword tables of all documents, kept while the session lasts."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        grams, tops = M.train_tables(documents(spark, sf_dir))
+        _tables[key] = (grams.persist(), tops.persist())
+    return _tables[key]
+
+
+def model(spark: SparkSession, sf_dir: str, languages: list[str] | None = None, floor: float = -12.0, tw_floor: float | None = -12.0) -> M.Model:
+    return M.assemble(*trained(spark, sf_dir), languages or LANGS, floor, tw_floor)
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumnRenamed("lang", "expected")
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(expected(spark, sf_dir), model(spark, sf_dir), ["doc_id"], keep=["expected"])
+
+
+COLUMNS = ["doc_id", "expected", "detected", "gap", "num_words", "num_chars", "num_lookups"]
+DOCS = f"SELECT doc_id, lang AS expected, {O.FINAL} FROM documents LEFT JOIN dec USING (doc_id)"
+
+
+# catalogues
+
+
+@query("SELECT * FROM " + O.values([(x.ord, x.name, x.iso, x.iso3, ",".join(x.aliases), ",".join(x.alphabets)) for x in catalog.LANGUAGES], "lang_ord, name, iso, iso3, aliases, alphabets"))
+def languages_catalog(spark, sf_dir):
+    return catalog.languages(spark).withColumns({c: F.array_join(c, ",") for c in ("aliases", "alphabets")})
+
+
+@query("SELECT * FROM " + O.values([(i, a, w) for i, (a, (w, _)) in enumerate(catalog.ALPHABETS.items())], "alpha_ord, name, w").replace("SELECT * FROM (VALUES", "SELECT alpha_ord, name, CAST(w AS DOUBLE) AS weight FROM (VALUES"))
+def alphabets_catalog(spark, sf_dir):
+    return catalog.alphabets(spark)
+
+
+@query("SELECT alias, count(*) AS n, string_agg(iso, ',' ORDER BY iso) AS members FROM " + O.values([(g, i) for g, m in catalog.GROUPS.items() for i in m], "alias, iso") + " GROUP BY 1")
+def language_groups(spark, sf_dir):
+    return catalog.groups(spark).groupBy("alias").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("iso")), ",").alias("members"))
+
+
+# words
+
+
+@query(f"WITH {O.word_ctes('documents', 'doc_id', ['LATIN'])} SELECT script, word, count(*) AS n_docs, CAST(sum(cnt) AS BIGINT) AS n FROM words GROUP BY 1, 2")
+def tokenize_words(spark, sf_dir):
+    words = words_of(documents(spark, sf_dir), model(spark, sf_dir), ["doc_id"])
+    return words.groupBy("script", "word").agg(F.count("*").alias("n_docs"), F.sum("cnt").alias("n"))
+
+
+@query(f"WITH {O.word_ctes('documents', 'doc_id', ['LATIN'])} SELECT doc_id, script, CAST(sum(cnt) AS BIGINT) AS words, CAST(sum(cnt * length(word)) AS BIGINT) AS chars FROM words GROUP BY 1, 2")
+def script_profile(spark, sf_dir):
+    words = words_of(documents(spark, sf_dir), model(spark, sf_dir), ["doc_id"])
+    return words.groupBy("doc_id", "script").agg(F.sum("cnt").alias("words"), F.sum(F.col("cnt") * F.length("word")).alias("chars"))
+
+
+# training
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT lang, word, cnt FROM tr_words")
+def training_words(spark, sf_dir):
+    return train.training_words(documents(spark, sf_dir))
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT lang, n, gram, cnt FROM ng_counts")
+def ngram_counts(spark, sf_dir):
+    return train.ngram_counts(train.training_words(documents(spark, sf_dir)))
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT lang, n, gram, cnt, total, u AS logprob_u FROM ng")
+def ngram_model(spark, sf_dir):
+    return trained(spark, sf_dir)[0]
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT lang, n, gram, cnt, total, u AS logprob_u FROM ng WHERE cnt >= greatest(1, ceil(total * exp(-10.0::DOUBLE))) AND NOT (n = 1 AND unicode(gram) < 128)")
+def ngram_model_reduced(spark, sf_dir):
+    return train.reduced(trained(spark, sf_dir)[0], -10.0)
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT lang, word, cnt, total, u AS logprob_u FROM tp")
+def topwords_model(spark, sf_dir):
+    return trained(spark, sf_dir)[1]
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT lang, n, count(*) AS distinct_grams, any_value(total) AS total, min(u) AS min_logprob_u FROM ng GROUP BY 1, 2")
+def ngram_table_stats(spark, sf_dir):
+    return train.table_stats(trained(spark, sf_dir)[0])
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT word, string_agg(lang, ',' ORDER BY u DESC, lang) AS langs, count(*) AS n_langs, max(u) AS best_u FROM tp GROUP BY 1 HAVING count(*) > 1")
+def topword_overlap(spark, sf_dir):
+    return train.topword_overlap(trained(spark, sf_dir)[1])
+
+
+@query(f"WITH {O.train_ctes('documents')} SELECT DISTINCT word FROM (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, word) AS r FROM tp) WHERE r <= 20")
+def frequent_skipwords(spark, sf_dir):
+    return train.skipwords_of(trained(spark, sf_dir)[1], 20)
+
+
+# detection
+
+
+@query(O.detect_sql("documents", "doc_id", LANGS, DOCS))
+def detect_documents(spark, sf_dir):
+    return found(spark, sf_dir).select(*COLUMNS)
+
+
+@query(O.detect_sql("documents", "doc_id", LANGS, "SELECT doc_id, lang, round(total, 6) AS total, ng_u, ng_hits, tw_u, tw_hits, num_lookups FROM tot"))
+def detect_scores_by_language(spark, sf_dir):
+    return detect_scores(documents(spark, sf_dir), model(spark, sf_dir), ["doc_id"])
+
+
+@query(O.detect_sql("documents", "doc_id", LANGS, DOCS, boosts={"fr": 0.3, "de": 0.05}))
+def detect_boosted(spark, sf_dir):
+    return detect(expected(spark, sf_dir), model(spark, sf_dir), ["doc_id"], boosts={"fr": 0.3, "de": 0.05}, keep=["expected"]).select(*COLUMNS)
+
+
+@query(O.detect_sql("documents", "doc_id", LANGS, DOCS, min_ngram=2, stop=3, max_ngram=4))
+def detect_ngram_params(spark, sf_dir):
+    return detect(expected(spark, sf_dir), model(spark, sf_dir), ["doc_id"], Params(2, 3, 4), keep=["expected"]).select(*COLUMNS)
+
+
+@query(O.detect_sql("documents", "doc_id", LANGS, DOCS, topwords=False))
+def detect_no_topwords(spark, sf_dir):
+    return detect(expected(spark, sf_dir), model(spark, sf_dir, tw_floor=None), ["doc_id"], Params(topwords=False), keep=["expected"]).select(*COLUMNS)
+
+
+@query(O.detect_sql("documents", "doc_id", ["en", "de"], DOCS))
+def detect_narrowed_langs(spark, sf_dir):
+    return detect(expected(spark, sf_dir), model(spark, sf_dir, ["en", "de"]), ["doc_id"], keep=["expected"]).select(*COLUMNS)
+
+
+_LITE = O.detect_sql("documents", "doc_id", LANGS, "SELECT doc_id, detected AS lite, gap AS lite_gap FROM dec", floor=-9.0, tw_floor=-9.0)
+_FULL = O.detect_sql("documents", "doc_id", LANGS, "SELECT doc_id, detected AS full_, gap AS full_gap FROM dec", floor=-15.0, tw_floor=-15.0)
+
+
+@query(f"SELECT doc_id, coalesce(lite, 'unknown') AS lite, coalesce(lite_gap, 1.0) AS lite_gap, coalesce(full_, 'unknown') AS full, coalesce(full_gap, 1.0) AS full_gap FROM documents LEFT JOIN ({_LITE}) USING (doc_id) LEFT JOIN ({_FULL}) USING (doc_id)")
+def detect_lite_vs_full(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    one = lambda name, floor: detect(docs, model(spark, sf_dir, floor=floor, tw_floor=floor), ["doc_id"]).select("doc_id", F.col("detected").alias(name), F.col("gap").alias(f"{name}_gap"))
+    return one("lite", -9.0).join(one("full", -15.0), "doc_id")
+
+
+# evaluation
+
+_FOUND = f"f AS ({DOCS})"
+_RIGHT = "(expected = detected)"
+_SELECT = lambda tail: O.detect_sql("documents", "doc_id", LANGS, f", {_FOUND} {tail}").replace(" ,", ",")
+
+
+@query(_SELECT(f"SELECT expected, count(*) FILTER (detected <> 'unknown' AND {_RIGHT}) AS correct, count(*) FILTER (detected <> 'unknown') AS total, count(*) FILTER (detected = 'unknown') AS skipped, round(CASE WHEN count(*) FILTER (detected <> 'unknown') > 0 THEN 100.0::DOUBLE * count(*) FILTER (detected <> 'unknown' AND {_RIGHT}) / count(*) FILTER (detected <> 'unknown') ELSE 0 END, 4) AS pct FROM f GROUP BY ROLLUP (expected)"))
+def phrase_eval(spark, sf_dir):
+    return evaluate.accuracy(found(spark, sf_dir))
+
+
+@query(_SELECT(f"SELECT expected, detected, count(*) AS n, false AS known_cross FROM f WHERE NOT {_RIGHT} GROUP BY 1, 2"))
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion(found(spark, sf_dir))
+
+
+@query(_SELECT(f"SELECT doc_id, expected, detected, gap FROM f WHERE detected <> 'unknown' AND NOT {_RIGHT} ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 10"))
+def sampled_misses(spark, sf_dir):
+    return evaluate.sampled_misses(found(spark, sf_dir), "doc_id").select("doc_id", "expected", "detected", "gap")
+
+
+@query(_SELECT(f"SELECT doc_id, f.expected, detected, CASE WHEN length(text) > 80 THEN translate(text[:80], chr(10), ' ') || '...' ELSE translate(text, chr(10), ' ') END AS snippet FROM f JOIN documents USING (doc_id) WHERE detected <> 'unknown' AND NOT {_RIGHT}"))
+def miss_snippets(spark, sf_dir):
+    rows = found(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return evaluate.snippets(rows, "doc_id")
+
+
+_PARS = r"pars AS (SELECT doc_id, lang AS expected, CAST(i - 1 AS INT) AS par_no, p[i] AS text FROM (SELECT doc_id, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang, string_split_regex(text, '\n{2,}') AS p FROM documents)) WHERE length(p[i]) >= 20)"
+_KNOWN = "detected <> 'unknown'"
+
+
+@query(O.detect_sql("pars", "doc_id, par_no", LANGS, f""", g AS (SELECT expected, {O.FINAL} FROM pars LEFT JOIN dec USING (doc_id, par_no))
+    SELECT expected, count(*) AS chunks, count(*) FILTER ({_KNOWN} AND {_RIGHT}) AS correct, count(*) FILTER ({_KNOWN} AND NOT {_RIGHT}) AS misses, count(*) FILTER ({_KNOWN} AND NOT {_RIGHT} AND num_words <= 2) AS short_misses, count(*) FILTER (NOT {_KNOWN}) AS skipped,
+    CAST(CASE WHEN count(*) FILTER ({_KNOWN}) > 0 THEN floor(sum(num_chars) FILTER ({_KNOWN}) / count(*) FILTER ({_KNOWN})) ELSE 0 END AS BIGINT) AS avg_chars, CAST(floor(sum(num_words) / count(*)) AS BIGINT) AS avg_words FROM g GROUP BY 1""", ctes=_PARS).replace(" ,", ","))
+def paragraph_eval(spark, sf_dir):
+    lines = evaluate.paragraphs(expected(spark, sf_dir), ["doc_id"])
+    return evaluate.chunk_stats(detect(lines, model(spark, sf_dir), ["doc_id", "par_no"], keep=["expected"]))
+
+
+# parts of texts
+
+
+@query(O.detect_sql("conversations", "conv_id, turn", LANGS, f"SELECT conv_id, {O.FINAL} FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN dec USING (conv_id)", grouped="conv_id"))
+def conversation_detect(spark, sf_dir):
+    parts = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return incremental.detect_merged(parts, model(spark, sf_dir), ["conv_id"], "turn").drop("pred")
+
+
+def _running() -> str:
+    head = f"WITH {O.detect_ctes('conversations', 'conv_id, turn', LANGS, model=O.train_ctes('documents'))}"
+    head = head.replace("    ev AS (", "    ev0 AS (").replace("    prof AS (", "    prof0 AS (")
+    return f"""{head}, steps AS (SELECT DISTINCT conv_id, turn FROM conversations),
+    ev AS (SELECT s.conv_id, s.turn, lang, CAST(sum(ng_u) AS BIGINT) AS ng_u, CAST(sum(ng_hits) AS BIGINT) AS ng_hits, CAST(sum(tw_u) AS BIGINT) AS tw_u, CAST(sum(tw_hits) AS BIGINT) AS tw_hits FROM steps s JOIN ev0 e ON e.conv_id = s.conv_id AND e.turn <= s.turn GROUP BY ALL),
+    prof AS (SELECT s.conv_id, s.turn, script, sum(chars) AS chars, sum(nw) AS nw, sum(lookups) AS lookups FROM steps s JOIN prof0 e ON e.conv_id = s.conv_id AND e.turn <= s.turn GROUP BY ALL),
+    {O.decide_ctes('conv_id, turn', LANGS)} SELECT conv_id, turn, {O.FINAL} FROM steps LEFT JOIN dec USING (conv_id, turn)"""
+
+
+@query(_running())
+def conversation_running_detect(spark, sf_dir):
+    parts = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return incremental.detect_running(parts, model(spark, sf_dir), ["conv_id"], "turn").drop("pred")
+
+
+# cleaning
+
+
+def _accents(column: str) -> str:
+    table = T.accent_map()
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    out = f"translate({column}, {O.q(''.join(one))}, {O.q(''.join(one.values()))})"
+    for k, v in table.items():
+        if len(v) > 1:
+            out = f"replace({out}, {O.q(k)}, {O.q(v)})"
+    return out
+
+
+@query(f"SELECT doc_id, {_accents('text')} AS text FROM documents")
+def remove_accents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.remove_accents(F.col("text")).alias("text"))
+
+
+@query(O.detect_sql("plain", "doc_id", LANGS, DOCS, ctes=f"plain AS (SELECT doc_id, {_accents('text')} AS text FROM documents)"))
+def detect_accent_stripped(spark, sf_dir):
+    plain = expected(spark, sf_dir).withColumn("text", T.remove_accents(F.col("text")))
+    return detect(plain, model(spark, sf_dir), ["doc_id"], keep=["expected"]).select(*COLUMNS)
+
+
+#: Texts with wiki markup, and what is left of them.
+MARKUP = [
+    ("see [[link target]] for details", "see  for details"),
+    ("before {{template|arg}} after", "before  after"),
+    ("a [[outer [[inner]] text]] b", "a  b"),
+    ('before <ref name="x"> after', "before  after"),
+    ("visit https://example.com/page for info", "visit  for info"),
+    ("a &lt; b &amp; c", "a  b  c"),
+    ('before {| class="wikitable"\n|cell\n|} after', "before  after"),
+    ("header\n| row1\n| row2\nfooter", "header\n\n\nfooter"),
+    ("&#160;", "&#160;"),
+    ("open [[never closed", "open "),
+    ("http:", "http:"),
+]
+
+
+@query("SELECT id, cleaned FROM " + O.values([(i, b) for i, (_, b) in enumerate(MARKUP)], "id, cleaned"))
+def wiki_markup_strip(spark, sf_dir):
+    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(MARKUP)], "id int, text string").select("id", T.remove_markup("text").alias("cleaned"))
+
+
+_PAGE_TEXT = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>|&[a-z]+;', ' ', 'g')"
+
+
+@query(O.detect_sql("body", "page_id", LANGS, f"SELECT page_id, expected, {O.FINAL} FROM body LEFT JOIN dec USING (page_id)", ctes=f"body AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z-]+)\"', 1) AS expected, {_PAGE_TEXT} AS text FROM pages)"))
+def pages_detect(spark, sf_dir):
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>|&[a-z]+;", " ")
+    body = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z-]+)"', 1).alias("expected"), bare.alias("text"))
+    return detect(body, model(spark, sf_dir), ["page_id"], keep=["expected"]).drop("pred")
+
+
+# hand-made models
+
+NGRAMS = [("en", 2, "th", -4000000), ("en", 2, "he", -4500000), ("en", 2, "le", -6000000), ("fr", 2, "le", -3000000), ("en", 3, "the", -5000000)]
+TOPWORDS = [("en", "the", -2500000), ("fr", "le", -3000000), ("fr", "l'", -4000000), ("fr", "ami", -7000000)]
+_MICRO = f"ng AS {O.values(NGRAMS, 'lang, n, gram, u')}, tp AS {O.values(TOPWORDS, 'lang, word, u')}"
+PHRASES = [(1, "the"), (2, "le"), (3, "l'ami"), (4, "l’a"), (5, "the le"), (6, "thex"), (7, "zzz"), (8, "12'abc the"), (9, "don''t"), (10, ""), (11, "dogs' le")]
+SKIPPED = [(1, "http"), (2, "http the"), (3, "www.le.htm"), (4, "fffff le the"), (5, "km the")]
+MIXED = [(1, "He likes to say привет"), (2, "我的名字是Jonathan"), (3, "I like the characters 羊驼"), (4, "le привет мир всем"), (5, "Γειά σου the")]
+UNIQUE = [(1, "hello"), (2, "事務所"), (3, "مرحبًا"), (4, "բարև"), (5, "Γειά σου"), (6, "שלום"), (7, "नमस्ते"), (8, "สวัสดี"), (9, "வணக்கம்"), (10, "გამარჯობა"), (11, "123")]
+UNIQUE_LANGS = "en ja ar hy bn ka el gu he hi pa si ta te th am ml kn km lo my".split()
+MIXED_LANGS = "en fr el ru zh-hans zh-hant ja".split()
+
+
+def _micro(spark: SparkSession, languages: list[str]) -> M.Model:
+    ngrams = spark.createDataFrame(NGRAMS, "lang string, n int, gram string, logprob_u long")
+    return M.assemble(ngrams, spark.createDataFrame(TOPWORDS, "lang string, word string, logprob_u long"), languages)
+
+
+def _phrases(name: str, rows: list[tuple], languages: list[str]) -> None:
+    sql = O.detect_sql("p", "id", languages, f"SELECT id, {O.FINAL}, coalesce(pred, 'UNKNOWN') AS pred FROM p LEFT JOIN dec USING (id)", ctes=f"p AS {O.values(rows, 'id, text')}", model=_MICRO)
+
+    def run(spark, sf_dir):
+        return detect(spark.createDataFrame(rows, "id int, text string"), _micro(spark, languages), ["id"])
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_phrases("apostrophe_topwords", PHRASES, ["en", "fr"])
+_phrases("skipword_filter", SKIPPED, ["en", "fr"])
+_phrases("multi_script_detect", MIXED, MIXED_LANGS)
+_phrases("unique_alphabet_detect", UNIQUE, UNIQUE_LANGS)
+
+CJ_TRAIN = [("zh-hans", "今天天气很好我们去公园散步这个学生学习汉语"), ("zh-hant", "今天天氣很好我們去公園散步這個學生學習漢語"), ("ja", "今日は天気がいいので公園へ散歩に行きます学生は日本語を勉強します")]
+CJ_TEXTS = [(1, "我们学习汉语"), (2, "我們學習漢語"), (3, "日本語を勉強します"), (4, "天气很好"), (5, "hello")]
+
+
+@query()
+def cj_detect(spark, sf_dir):
+    table = cj.train(spark.createDataFrame(CJ_TRAIN, "lang string, text string"))
+    return cj.classify(spark.createDataFrame(CJ_TEXTS, "id int, text string"), table, [x for x, _ in CJ_TRAIN], ["id"])
+
+
+@query(O.detect_sql("documents", "doc_id", LANGS, "SELECT script, word, lang, CAST(ng_u AS BIGINT) AS ng_u, CAST(ng_hits AS BIGINT) AS ng_hits, CAST(tw_u AS BIGINT) AS tw_u, CAST(tw_hits AS BIGINT) AS tw_hits FROM hit"))
+def word_scores(spark, sf_dir):
+    """Evidence of each distinct word of the documents."""
+    m = model(spark, sf_dir)
+    rows, _ = score_words(words_of(documents(spark, sf_dir), m, ["doc_id"]), m)
+    return rows.groupBy("script", "word", "lang").agg(*[F.sum(c).alias(c) for c in incremental.SUMS])
