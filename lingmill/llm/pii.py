@@ -32,15 +32,18 @@ BONUS, NEAR = 15, 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bind(value: str, name: str, body: str) -> str:
+    """SQL that works out value once and uses it by name in body, however often."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def sum_before(w: str) -> str:
-    """SQL: for each number of array column w the sum of those before it, by blocks of about the square root of its size."""
-    block = f"cast(ceil(sqrt(size({w}))) as int)"
-    blocks = f"transform(sequence(0, (size({w}) - 1) div {block}), g -> slice({w}, g * {block} + 1, {block}))"
+    """SQL: for each number of array w (a name) the sum of those before it, by blocks of about the square root of its size."""
     total = "aggregate({}, 0L, (a, v) -> a + v)"
-    inner = f"transform(b.blocks, (x, g) -> transform(x, (v, i) -> {total.format('slice(b.sums, 1, g)')} + {total.format('slice(x, 1, i)')}))"
-    sums = f"transform(bs, x -> {total.format('x')})"
-    with_sums = f"transform(array({blocks}), bs -> named_struct('blocks', bs, 'sums', {sums}))"
-    return f"if(size({w}) = 0, cast(array() as array<bigint>), flatten(transform({with_sums}, b -> flatten({inner}))))"
+    blocks = f"transform(sequence(0, (size({w}) - 1) div k), g -> slice({w}, g * k + 1, k))"
+    inner = f"transform(bs, (x, g) -> {bind(total.format('slice(sums, 1, g)'), 'before', f'transform(x, (v, i) -> before + {total.format("slice(x, 1, i)")})')})"
+    body = bind(blocks, "bs", bind(f"transform(bs, x -> {total.format('x')})", "sums", f"flatten({inner})"))
+    return f"if(size({w}) = 0, cast(array() as array<bigint>), {bind(f'cast(ceil(sqrt(size({w}))) as int)', 'k', body)})"
 
 
 LUHN = "aggregate(sequence(1, length(d)), 0, (a, i) -> a + if(i % 2 = 1, int(substr(d, -i, 1)), if(int(substr(d, -i, 1)) > 4, int(substr(d, -i, 1)) * 2 - 9, int(substr(d, -i, 1)) * 2))) % 10 = 0"
@@ -64,13 +67,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         pieces[f"m_{kind}"] = F.when(hit, F.expr(f"regexp_extract_all(t, {quote(java)}, 0)")).otherwise(F.array().cast("array<string>"))
         pieces[f"q_{kind}"] = F.when(hit, F.expr(f"transform(split(t, {quote(java)}, -1), x -> cast(length(x) as bigint))")).otherwise(F.array().cast("array<bigint>"))
     held = base.withColumns(pieces)
-    held = held.withColumns({f"w_{k}": F.expr(f"transform(m_{k}, (x, i) -> q_{k}[i] + length(x))") for k, *_ in KINDS})
-    held = held.withColumns({f"b_{k}": F.expr(sum_before(f"w_{k}")) for k, *_ in KINDS})
     kinds = []
     for order, (kind, *_) in enumerate(KINDS):
         low = f"translate(substring(t, cast(greatest(x.s - {NEAR}, 0) + 1 as int), cast(least(x.s, {NEAR}) as int)), '{UPPER}', '{LOWER}')"
         points, words = SCORES[kind]
-        found = f"filter(transform(m_{kind}, (m, i) -> named_struct('s', b_{kind}[i] + q_{kind}[i], 'm', m)), x -> {KEEP[kind]})"
+        starts = f"zip_with({sum_before('w')}, q, (a, c) -> a + c)"
+        found = f"filter(zip_with({starts}, m, (a, c) -> named_struct('s', a, 'm', c)), x -> {KEEP[kind]})"
+        found = bind(f"m_{kind}", "m", bind(f"slice(q_{kind}, 1, size(m))", "q", bind("zip_with(q, m, (a, c) -> a + length(c))", "w", found)))
         kinds.append(f"transform({found}, x -> named_struct('s', x.s, 'o', {order}, 'k', '{kind}', 'm', x.m, 'e', x.s + length(x.m), 'score', {points} + if({low} rlike '{words}', {BONUS}, 0)))")
     return held.select("doc_id", F.expr(f"array_sort(concat({', '.join(kinds)}))").alias("spans"))
 
