@@ -71,6 +71,13 @@ def shingles(text: bytes, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
+def in_parts(batches, rows: int = 1000):
+    """The same rows in smaller frames: what is made of a part is passed on before the next begins."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.iloc[lo : lo + rows]
+
+
 def first_ones(n: int, percent: int) -> int:
     """How many of n shingles the sieve looks at."""
     return min(n, spare(n, percent) + max(1, -(-9 * n // 100)))
@@ -86,7 +93,7 @@ def _sets(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in in_parts(batches):
             n, node, firsts = [], [], []
             for t in b["_text"]:
                 s = shingles(t, hashes)
@@ -103,7 +110,7 @@ def _full_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in in_parts(batches):
             yield pd.DataFrame({"node": b["node"], "n": b["n"], "shingles": [shingles(t, hashes).view(np.int64) for t in b["_text"]]})
 
     return rows.mapInPandas(run, "node long, n long, shingles array<long>")
@@ -166,6 +173,7 @@ def join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     """A row for each of docs: doc_id, n_shingles, component_id."""
     kept = labelled(docs, percent, id_col, text_col)
     ids = kept.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    ids = table(ids, "ids")  # so that the join below is fed by exchanges alone, and a hot component can be split
     out = kept.join(ids, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
