@@ -13,6 +13,8 @@ from .catalog import ALPHABETS, CJ_ALPHABETS
 
 APOSTROPHES = "'’\u0092"
 LONGEST, LONGEST_CJ = 64, 256
+#: A chunk that is a word as it is.
+EASY = "^[a-z]+$"
 
 
 def letters(alphabet: str, dialect: str = "java") -> str:
@@ -36,7 +38,7 @@ def script_of(chunk: Column, alphabets: list[str]) -> Column:
     out = F.lit(alphabets[-1])
     for a in reversed(alphabets[:-1]):
         out = F.when(chunk.rlike(f"[{letters(a)}]"), F.lit(a)).otherwise(out)
-    return out
+    return F.when(chunk.rlike(EASY), F.lit("LATIN")).otherwise(out) if "LATIN" in alphabets and len(alphabets) > 1 else out
 
 
 def chunks(text: Column, alphabets: list[str], digit: str = "0-9") -> Column:
@@ -56,6 +58,12 @@ def detection_words(chunk: Column, script: Column) -> Column:
     return F.filter(F.when((script == "LATIN") & chunk.rlike("[0-9]"), F.array().cast("array<string>")).otherwise(cut), lambda w: w != "")
 
 
+def plain_word(chunk: Column) -> Column:
+    """The word of a chunk that is neither Chinese nor Japanese nor a Latin one with a digit. Most need no more than a look."""
+    cut = F.substring(folded(chunk), 1, LONGEST)
+    return F.when(chunk.rlike(EASY), F.substring(chunk, 1, LONGEST)).otherwise(F.regexp_replace(cut, "'$", ""))
+
+
 def mid_apostrophe(word: Column) -> Column:
     """Position (from 1) of the first apostrophe that is neither first nor last; 0 if none."""
     at = F.locate("'", word, 2)

@@ -29,59 +29,112 @@ class Params:
         return 1 <= self.min_ngram <= self.stop <= self.max_ngram <= model_max
 
 
+#: A lookup table is broadcast only if it was counted and has at most this many rows.
+LOOKUP_ROWS = 1_000_000
+SUMS = ("ng_u", "ng_hits", "tw_u", "tw_hits")
+#: Probes of a word other than its n-grams: the word, its two parts at an apostrophe, and one that finds nothing, so that each word has a row.
+WHOLE, PREFIX, SUFFIX, MARK = 0, -1, -2, -9
+_held: list[DataFrame] = []
+
+
 def words_of(texts: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, script, word, cnt."""
     chunk = texts.select(*keys, F.explode(T.chunks(F.col(text_col), model.alphabets)).alias("c")).withColumn("script", T.script_of(F.col("c"), model.alphabets))
-    words = chunk.select(*keys, "script", F.explode(T.detection_words(F.col("c"), F.col("script"))).alias("word"))
+    if set(model.alphabets) & set(catalog.CJ_ALPHABETS):
+        words = chunk.select(*keys, "script", F.explode(T.detection_words(F.col("c"), F.col("script"))).alias("word"))
+    else:
+        words = chunk.filter((F.col("script") != "LATIN") | ~F.col("c").rlike("[0-9]")).select(*keys, "script", T.plain_word(F.col("c")).alias("word"))
     return words.groupBy(*keys, "script", "word").agg(F.count("*").alias("cnt"))
 
 
-def score_words(words: DataFrame, model: Model, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """For the distinct words (script, word): a row for each language that has evidence (ng_u, ng_hits, tw_u, tw_hits), and
-    a row a word that counts (script, word, lookups): skipwords don't, unless their script has one language only."""
+def _probes(model: Model, params: Params, tops: DataFrame | None, single) -> tuple:
+    """What is looked up for a word, as array<struct<n, gram>>, and whether the word itself and both parts of it are."""
+    word, size = F.col("word"), F.length("word")
+    probe = lambda n, gram: F.struct(F.lit(n).cast("int").alias("n"), gram.alias("gram"))
+    none = F.array().cast("array<struct<n:int,gram:string>>")
+    lengths = F.sequence(F.lit(params.min_ngram), F.least(F.lit(params.max_ngram), size))
+    tiles = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(n.cast("int").alias("n"), word.substr(i, n).alias("gram")))))
+    all_ = [F.array(probe(MARK, F.lit(""))), F.when(~single & (size >= params.min_ngram), tiles).otherwise(none)]
+    if tops is None:
+        return F.concat(*all_), F.lit(False), F.lit(False)
+    at, suffix = T.mid_apostrophe(word), F.expr("substring(word, locate(\"'\", word, 2) + 1)")
+    tried = train.eligible(word) & ~single
+    parted = tried & (size > 2) & (at > 0)
+    both = parted & (F.length(suffix) > 1)
+    all_.append(F.when(tried, F.array(probe(WHOLE, word))).otherwise(none))
+    all_.append(F.when(parted, F.array(probe(PREFIX, F.substring("word", F.lit(1), at)))).otherwise(none))
+    all_.append(F.when(both, F.array(probe(SUFFIX, suffix))).otherwise(none))
+    return F.concat(*all_), tried, both
+
+
+def _scored(words: DataFrame, model: Model, params: Params) -> DataFrame:
+    """script, word, lang, ng_u, ng_hits, tw_u, tw_hits, lookups for the distinct words: a row for each language that has evidence,
+    and one without a language for every word that counts. Skipwords don't, unless their script has one language only.
+
+    All that is looked up for a word goes through one join. If the tables are small enough to be broadcast, the words keep
+    the partitions that making them distinct gave them, and nothing is shuffled again.
+    """
     tops = model.topwords if params.topwords else None
-    dictionary = words.select("script", "word").distinct()
     single = F.col("script").isin(list(model.unique) or [""])
-    counted = dictionary
+    counted = words.select("script", "word").distinct()
     if tops is not None:
         skips = F.broadcast(model.skipwords.withColumn("_skip", F.lit(True)))
-        counted = counted.join(skips, "word", "left").filter(single | F.col("_skip").isNull()).drop("_skip")
-    scored = counted.filter(~single)
-
-    long = scored.filter(F.length("word") >= params.min_ngram)
-    grams = long.select("script", "word", F.explode(F.sequence(F.lit(params.min_ngram), F.least(F.lit(params.max_ngram), F.length("word")))).alias("n"))
-    grams = grams.select("script", "word", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1), lambda i: F.col("word").substr(i, F.col("n")))).alias("gram"))
-    found = grams.join(model.ngrams, ["n", "gram"], "left").repartition("word")
-    whole = F.min(F.col("langs").isNotNull().cast("int")).over(W.partitionBy("word", "n"))
-    top = F.max(F.when((F.col("_all") == 1) & (F.col("n") <= params.stop), F.col("n"))).over(W.partitionBy("word"))
-    used = found.withColumn("_all", whole).withColumn("_from", F.coalesce(top, F.lit(params.min_ngram))).filter(F.col("n") >= F.col("_from"))
-    ng = used.select("script", "word", F.explode("langs").alias("l")).groupBy("script", "word", "l.lang").agg(F.sum("l.u").alias("ng_u"), F.count("*").alias("ng_hits"))
-    ng = ng.select("script", "word", "lang", "ng_u", "ng_hits", F.lit(0).cast("long").alias("tw_u"), F.lit(0).cast("long").alias("tw_hits"))
-    if tops is None:
-        return ng, counted.withColumn("lookups", F.lit(0).cast("long"))
-
-    at = T.mid_apostrophe(F.col("word"))
-    tried = train.eligible(F.col("word")) & ~single
-    probe = counted.withColumn("_tried", tried).join(tops, "word", "left")
-    split = F.col("_tried") & F.col("langs").isNull() & (F.length("word") > 2) & (at > 0)
-    suffix = F.expr("substring(word, locate(\"'\", word, 2) + 1)")
-    probe = probe.withColumn("_parts", F.when(split, F.array(F.substring("word", F.lit(1), at), suffix))).withColumn("_parts", F.filter("_parts", lambda p: F.endswith(p, F.lit("'")) | (F.length(p) > 1)))
-    lookups = probe.select("script", "word", (F.col("_tried").cast("long") + F.when(F.size("_parts") > 1, 1).otherwise(0)).alias("lookups"))
-    parts = probe.filter("_parts IS NOT NULL").select("script", F.col("word").alias("_w"), F.explode("_parts").alias("word")).join(tops, "word").select("script", F.col("_w").alias("word"), "langs")
-    hits = probe.filter("_tried AND langs IS NOT NULL").select("script", "word", "langs").union(parts)
-    tw = hits.select("script", "word", F.explode("langs").alias("l")).groupBy("script", "word", "l.lang").agg(F.sum("l.u").alias("tw_u"), F.count("*").alias("tw_hits"))
-    tw = tw.select("script", "word", "lang", F.lit(0).cast("long").alias("ng_u"), F.lit(0).cast("long").alias("ng_hits"), "tw_u", "tw_hits")
-    return ng.unionByName(tw), lookups
+        counted = counted.join(skips, "word", "left").filter(single | F.col("_skip").isNull())
+    asked, tried, both = _probes(model, params, tops, single)
+    table = model.ngrams.select(F.col("n").cast("int").alias("_k"), "gram", "langs")
+    if tops is not None:
+        table = table.union(tops.select(F.lit(WHOLE).alias("_k"), "word", "langs"))
+    if model.rows <= LOOKUP_ROWS:
+        table = F.broadcast(table)
+    each = counted.select("script", "word", F.explode(asked).alias("p")).select("script", "word", "p.n", "p.gram", F.greatest("p.n", F.lit(WHOLE)).alias("_k"))
+    hits = each.join(table, ["_k", "gram"], "left").select("script", "word", "n", F.explode_outer("langs").alias("l"))
+    kinds = [WHOLE, PREFIX, SUFFIX, *range(params.min_ngram, params.max_ngram + 1)]
+    u, h = (lambda k: F.col(f"u{k}"), lambda k: F.col(f"h{k}"))
+    zero = F.lit(0).cast("long")
+    sums = [F.coalesce(F.sum(F.when(F.col("n") == k, F.col("l.u"))), zero).alias(f"u{k}") for k in kinds] + [F.count(F.when(F.col("n") == k, 1)).alias(f"h{k}") for k in kinds]
+    rows = hits.groupBy("script", "word", "l.lang").agg(*sums)
+    per = W.partitionBy("script", "word")
+    lacks = {f"m{k}": F.max(F.when(F.col("lang").isNull(), h(k))).over(per) for k in kinds if WHOLE <= k <= params.stop}
+    rows = rows.withColumns(lacks)
+    least = F.lit(params.min_ngram)
+    covered = [F.when((F.col(f"m{k}") == 0) & (F.length("word") >= k), k) for k in range(params.min_ngram, params.stop + 1)]
+    from_ = F.coalesce(*reversed(covered), least)
+    hit = tried & (F.col(f"m{WHOLE}") == 0)
+    over = lambda col: sum((F.when(F.col("_from") <= k, col(k)).otherwise(zero) for k in kinds if k > WHOLE), zero)
+    rows = rows.withColumns({"_from": from_, "_hit": hit})
+    top = lambda col: F.when(F.col("_hit"), col(WHOLE)).otherwise(col(PREFIX) + col(SUFFIX))
+    lookups = (tried.cast("long") + (both & ~F.col("_hit")).cast("long")).alias("lookups")
+    out = rows.select("script", "word", "lang", over(u).alias("ng_u"), over(h).alias("ng_hits"), top(u).alias("tw_u"), top(h).alias("tw_hits"), lookups)
+    return out.filter(F.col("lang").isNull() | (F.col("ng_hits") > 0) | (F.col("tw_hits") > 0))
+
+
+def score_words(words: DataFrame, model: Model, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """For the distinct words (script, word): a row for each language that has evidence (ng_u, ng_hits, tw_u, tw_hits), and
+    a row a word that counts (script, word, lookups)."""
+    rows = _scored(words, model, params)
+    return rows.filter("lang IS NOT NULL").drop("lookups"), rows.filter("lang IS NULL").select("script", "word", "lookups")
 
 
 def evidence(texts: DataFrame, model: Model, keys: list[str], params: Params = Params(), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What adds up: (keys, lang, ng_u, ng_hits, tw_u, tw_hits) and (keys, script, chars, words, lookups)."""
+    """What adds up: (keys, lang, ng_u, ng_hits, tw_u, tw_hits) and (keys, script, chars, words, lookups).
+
+    Both come from one table with a row for each text, script and language, which is persisted so that texts are split
+    into words once; release() lets go of it.
+    """
     words = words_of(texts, model, keys, text_col)
-    by_word, counted = score_words(words, model, params)
-    sums = [F.sum(F.col(c) * F.col("cnt")).alias(c) for c in ("ng_u", "ng_hits", "tw_u", "tw_hits")]
-    scores = words.join(by_word, ["script", "word"]).groupBy(*keys, "lang").agg(*sums)
-    profile = words.join(counted, ["script", "word"]).groupBy(*keys, "script").agg(F.sum(F.length("word") * F.col("cnt")).alias("chars"), F.sum("cnt").alias("words"), F.sum(F.col("lookups") * F.col("cnt")).alias("lookups"))
-    return scores, profile
+    every = words.join(_scored(words, model, params), ["script", "word"])
+    sums = [F.sum(F.col(c) * F.col("cnt")).alias(c) for c in SUMS]
+    counts = [F.sum(F.length("word") * F.col("cnt")).alias("chars"), F.sum("cnt").alias("words"), F.sum(F.col("lookups") * F.col("cnt")).alias("lookups")]
+    held = every.groupBy(*keys, "script", "lang").agg(*sums, *counts).persist()
+    _held.append(held)
+    scores = held.filter("lang IS NOT NULL").groupBy(*keys, "lang").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return scores, held.filter("lang IS NULL").select(*keys, "script", "chars", "words", "lookups")
+
+
+def release() -> None:
+    """Unpersist the evidence of all detections so far; what still needs it is worked out again."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def _script_table(model: Model) -> DataFrame:

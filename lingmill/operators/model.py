@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ class Model:
     def has_cj(self) -> bool:
         return sum(x in catalog.GROUPS["cj"] for x in self.languages) >= 2
 
+    @cached_property
+    def rows(self) -> int:
+        """Rows of the lookup tables, counted once."""
+        return self.ngrams.count() + (0 if self.topwords is None else self.topwords.count())
+
+    def persist(self) -> Model:
+        self.ngrams = self.ngrams.persist()
+        self.topwords = None if self.topwords is None else self.topwords.persist()
+        return self
+
     @property
     def unique(self) -> dict[str, str]:
         """script -> its only language."""
@@ -100,9 +111,7 @@ def load(spark: SparkSession, path: str, languages: str = "all", variant: str =
     key = (path, tuple(wanted), floor if floor is not None else base, tw_floor if tw_floor is not None else tw_base)
     if key not in _loaded or _loaded[key].ngrams.sparkSession is not spark:
         grams, tops = spark.read.parquet(f"{path}/ngrams"), spark.read.parquet(f"{path}/topwords")
-        model = assemble(grams, tops, wanted, key[2], key[3])
-        model.ngrams, model.topwords = model.ngrams.persist(), model.topwords.persist()
-        _loaded[key] = model
+        _loaded[key] = assemble(grams, tops, wanted, key[2], key[3]).persist()
     return _loaded[key]
 
 

@@ -35,8 +35,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer parts, as one small file does; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +55,10 @@ def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def model(spark: SparkSession, sf_dir: str, languages: list[str] | None = None, floor: float = -12.0, tw_floor: float | None = -12.0) -> M.Model:
-    return M.assemble(*trained(spark, sf_dir), languages or LANGS, floor, tw_floor)
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(languages or LANGS), floor, tw_floor)
+    if key not in _tables:
+        _tables[key] = M.assemble(*trained(spark, sf_dir), languages or LANGS, floor, tw_floor).persist()
+    return _tables[key]
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:

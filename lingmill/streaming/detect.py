@@ -1,7 +1,7 @@
 """Detection over streams of text parts.
 
 Evidence is nothing but sums, so a stream needs Spark's own stateful aggregation only. Word scoring joins each part with
-the static model; windows over words are replaced by two grouped lookups that a stream allows: the parts' scores are worked out in a
+the static model: the parts' scores are worked out in a
 batch for each trigger, merged into a table of sums by key, and decided from there.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators.detect import Params, decide, evidence
+from ..operators.detect import Params, decide, evidence, release
 from ..operators.incremental import merge
 from ..operators.model import Model
 
@@ -34,6 +34,7 @@ class Accumulator:
         scores, profile = evidence(batch, self.model, [*self.keys, self.part], self.params)
         for name, rows in zip(("scores", "profile"), merge(scores, profile, self.keys), strict=True):
             rows.write.mode("overwrite").parquet(f"{self.path}/{name}/epoch={epoch}")
+        release()
 
     def result(self, boosts: dict | None = None) -> DataFrame:
         """What all parts so far say: keys, detected, gap, counts. Asking doesn't clear anything."""
