@@ -2,7 +2,9 @@
 
 A text is brought to a canonical form: A-Z in lower case, copyright lines gone, equivalent spellings made one, everything
 but letters and digits made single spaces. Its SHA-256 is joined by hash to the digests of known texts, canonical in the
-same way: whole licence texts against whole texts, and licence notices against whole lines.
+same way: whole licence texts against whole texts, and licence notices against whole lines. Known are the notices of KNOWN and
+license_digests.tsv, a shipped table of whole texts of twelve licences in their usual wordings and wrappings, which
+license_table makes; oracle() knows KNOWN only, which is enough for tables without whole licence texts.
 
 Defined results: a null text is an empty one and matches nothing; repeated rows give a row each; other columns are ignored;
 an empty table gives an empty result.
@@ -10,6 +12,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +85,24 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
-    """license, digest of each known text; one row a digest (the first licence by name)."""
+@cache
+def shipped() -> str:
+    """The shipped table of whole texts: lines of licence, tab, digest."""
+    return files(__package__).joinpath("license_digests.tsv").read_text().strip("\n")
+
+
+def known_rows() -> int:
+    return len(KNOWN) + shipped().count("\n") + 1
+
+
+def known_digests(spark: SparkSession, known: tuple = KNOWN, whole_texts: bool = True) -> DataFrame:
+    """license, digest of each known text, and of the shipped whole texts; one row a digest (the first licence by name)."""
     rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("text")) for a, b in known])).alias("r")).select("r.*")
-    return rows.groupBy(digest(canonical(canonical_lines(F.col("text")))).alias("digest")).agg(F.min("license").alias("license"))
+    rows = rows.select(digest(canonical(canonical_lines(F.col("text")))).alias("digest"), "license")
+    if whole_texts:
+        lines = spark.range(1).select(F.explode(F.split(F.lit(shipped()), "\n")).alias("r")).select(F.split("r", "\t").alias("r"))
+        rows = rows.union(lines.select(F.col("r")[1].alias("digest"), F.col("r")[0].alias("license")))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, known_rows: int, id_col: str = "doc_id", text_col: str = "text", bound: int = 200_000) -> DataFrame:
@@ -108,7 +127,7 @@ def scan(docs: DataFrame, known: DataFrame, known_rows: int, id_col: str = "doc_
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    return scan(docs, known_digests(docs.sparkSession), len(KNOWN))
+    return scan(docs, known_digests(docs.sparkSession), known_rows())
 
 
 def oracle() -> str:

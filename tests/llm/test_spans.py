@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import textwrap
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lingmill.llm import licenses, pii, queries, secrets
+from lingmill.llm import license_table, licenses, pii, queries, secrets
 
 from .conftest import SF, texts_of
 
@@ -111,3 +113,52 @@ def test_licenses(spark, messy, empty):
     known = licenses.known_digests(spark)
     assert licenses.scan(rows, known, 10**9).select("doc_id", "notices").exceptAll(licenses.scan_documents(rows).select("doc_id", "notices")).count() == 0
     assert known.groupBy("digest").count().filter(F.col("count") > 1).count() == 0
+
+
+BSD = """Copyright (c) 2019, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_whole_licenses(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    texts = [(p.stem, p.read_text()) for p in sorted(folder.glob("*.txt"))]
+    assert [n for n, _ in texts] == ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    texts += [("BSD-2-Clause", BSD % ""), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD % NAMES), ("MIT", "\n\n".join(textwrap.fill(x, 72) for x in licenses.MIT.split("\n"))), ("ISC", licenses.ISC)]
+    by = dict(texts)
+    texts += [("GPL-3.0", by["GPL-3.0"][by["GPL-3.0"].index("Preamble\n") :]), ("Apache-2.0", by["Apache-2.0"].split("APPENDIX")[0]), ("Unlicense", "The Unlicense\n\n" + by["Unlicense"])]
+    texts += [("", by["GPL-3.0"].replace("freedom", "liberty")), ("", BSD % "" + "Not quite.")]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] or "" for r in licenses.scan_documents(rows).collect()}
+    assert [(n, got[i]) for i, (n, _) in enumerate(texts)] == [(n, n) for n, _ in texts]
+
+
+def test_shipped_digests_are_those_of_the_texts():
+    rows = [line.split("\t") for line in licenses.shipped().split("\n")]
+    assert {d: n for n, d in rows} == license_table.table() and len(rows) + len(licenses.KNOWN) == licenses.known_rows()
