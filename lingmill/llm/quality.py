@@ -5,8 +5,9 @@ weight vector w for all grades and ordered thresholds. x marks which hashed feat
 letters of longer words, and levels of how it is written (repeats, capitals, symbols). From the model come the expected
 grade and the tail probabilities P(grade >= k); a document is kept if P(grade >= 2) is at least 1/2.
 
-The model is fitted on a sample of at most `sample` labelled documents, those with the smallest hash of their id; everything
-else covers all rows: every document is scored over its whole text.
+The model is fitted on a sample: of the `sample` labelled ids with the smallest hashes, each distinct text once, and not more than
+2 * `sample` texts, one of each id first, then those with the smallest hashes of id and text. Everything else covers all rows:
+every document is scored over its whole text.
 
 Defined results: a null text is an empty one and is scored like it; a label without quality or toxic counts for nothing, of
 several labels of a document the lowest grade counts; without any usable label everything is kept with p = 1; repeated rows
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 BITS = 20
 #: The bound of the sample, the least number of its documents that a feature must be in, and the fit's settings.
 SAMPLE, MIN_DOCS, SPARSE_STEPS, STEPS, RATE, SPARSE, DECAY = 12_000, 12, 150, 250, 0.1, 1.5e-3, 3e-6
@@ -132,10 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["_grade"], "x": [features(t, buckets).tobytes() for t in b["_text"]]})
 
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    got = _bytes(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").mapInPandas(run, f"doc_id {kind}, grade int, x binary").toPandas()
+    rows = _bytes(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    th = F.xxhash64("_text")
+    keys = table(rows.select("doc_id", th.alias("_th")).distinct().withColumn("_h", F.xxhash64("doc_id", "_th")), "texts")
+    first = keys.groupBy("doc_id").agg(F.min("_h").alias("_first"))
+    keys = keys.join(F.broadcast(first), "doc_id").orderBy(F.col("_h") != F.col("_first"), "_h", "doc_id", "_th").limit(2 * sample).select("doc_id", "_th")
+    rows = rows.withColumn("_th", th).join(F.broadcast(keys), ["doc_id", "_th"]).dropDuplicates(["doc_id", "_th"])
+    got = rows.select("doc_id", "_grade", "_text").mapInPandas(run, f"doc_id {kind}, grade int, x binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["doc_id", "x"]).reset_index(drop=True).iloc[: 2 * sample]
+    got = got.sort_values(["doc_id", "x"]).reset_index(drop=True)
     return fit([np.frombuffer(x, dtype=np.int32) for x in got["x"]], got["grade"].to_numpy())
 
 

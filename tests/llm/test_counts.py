@@ -78,6 +78,19 @@ def test_quality(spark, messy, empty):
     assert quality.grade_documents(messy, marks.limit(0), carry=True).count() == messy.count()
 
 
+def test_sample_takes_each_text_of_an_id_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades: seen.append([tuple(x) for x in rows]))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 11)], "doc_id long, quality int, toxic int")
+    one_each = [(i, f"text{i}") for i in range(1, 11)]
+    for more, n in (([(1, "text1")] * 500, 10), ([(1, f"other{i}") for i in range(500)], 20)):
+        docs = spark.createDataFrame(more + one_each, "doc_id long, text string").repartition(3)
+        quality.train(docs, labels, sample=10)
+        assert len(seen[-1]) == len(set(seen[-1])) == n
+        wanted = {tuple(quality.features(t.encode(), quality.Buckets())) for i, t in one_each if i > 1}
+        assert wanted <= set(seen[-1])
+
+
 def test_ordered_fit():
     rows = [np.array([k], dtype=np.int32) for k in (0, 1, 2) for _ in range(60)]
     weights, cuts = quality.fit(rows, np.repeat([0, 1, 2], 60))
