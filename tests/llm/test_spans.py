@@ -104,6 +104,23 @@ def test_against_sql(spark, name):
     assert norm(got) == norm(want)
 
 
+def test_ibans_in_print_and_glued(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    many = (gb + " ") * 1500
+    texts = [
+        (1, f"é pay to iban {gb} now", [(14, 41)]),
+        (2, f"{de} BIC COBADEFF, {no}.", [(0, 27), (42, 60)]),
+        (3, "XX" + gb.replace(" ", "") + "10", [(2, 24)]),
+        (4, gb.replace("82", "83") + " " + de.replace("89", "88"), []),
+        (5, gb.replace("WEST", "W EST") + " " + gb.replace(" ", "  "), []),
+        (6, gb.replace(" ", "") + " " + gb, [(0, 22), (23, 50)]),
+        (7, many, [(28 * i, 28 * i + 27) for i in range(1500)]),
+    ]
+    rows = pii.scan_documents(spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string"))
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("iban:")] for r in rows.collect()}
+    assert got == {i: spans for i, _, spans in texts}
+
+
 def test_licenses(spark, messy, empty):
     assert licenses.scan_documents(messy).count() == messy.count() and licenses.scan_documents(empty).count() == 0
     mit = licenses.MIT.replace("sublicense", "sub-license").replace(",", " ,").upper()
