@@ -302,6 +302,18 @@ def wiki_markup_strip(spark, sf_dir):
     return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(MARKUP)], "id int, text string").select("id", T.remove_markup("text").alias("cleaned"))
 
 
+@query()
+def wiki_markup_pages(spark, sf_dir):
+    """Every page without its markup."""
+    return spread(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.remove_markup("html").alias("cleaned"))
+
+
+@query()
+def wiki_markup_documents(spark, sf_dir):
+    """Every document without its markup."""
+    return documents(spark, sf_dir).select("doc_id", T.remove_markup("text").alias("cleaned"))
+
+
 _PAGE_TEXT = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>|&[a-z]+;', ' ', 'g')"
 
 
@@ -355,6 +367,14 @@ def cj_detect(spark, sf_dir):
     return cj.classify(spark.createDataFrame(CJ_TEXTS, "id int, text string"), table, [x for x, _ in CJ_TRAIN], ["id"])
 
 
+@query()
+def cj_detect_conversations(spark, sf_dir):
+    """Every turn that has Han or kana characters, by the model of the three sentences."""
+    table = cj.train(spark.createDataFrame(CJ_TRAIN, "lang string, text string"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return cj.classify(turns, table, [x for x, _ in CJ_TRAIN], ["conv_id", "turn"])
+
+
 @query(O.detect_sql("documents", "doc_id", LANGS, "SELECT script, word, lang, CAST(ng_u AS BIGINT) AS ng_u, CAST(ng_hits AS BIGINT) AS ng_hits, CAST(tw_u AS BIGINT) AS tw_u, CAST(tw_hits AS BIGINT) AS tw_hits FROM hit"))
 def word_scores(spark, sf_dir):
     """Evidence of each distinct word of the documents."""
