@@ -11,7 +11,7 @@ from ..functions import catalog
 from ..functions import text as T
 from ..operators import cj, evaluate, incremental, train
 from ..operators import model as M
-from ..operators.detect import Params, detect, detect_scores, score_words, words_of
+from ..operators.detect import Params, detect, detect_scores, release, score_words, words_of
 from . import oracle as O
 
 #: The languages of the documents table.
@@ -61,6 +61,16 @@ def model(spark: SparkSession, sf_dir: str, languages: list[str] | None = None,
     return _tables[key]
 
 
+def forget() -> None:
+    """Let go of the model tables and of the evidence of all detections: what runs next works them out again."""
+    release()
+    for held in _tables.values():
+        for df in (held.ngrams, held.topwords) if isinstance(held, M.Model) else held:
+            if df is not None:
+                df.unpersist()
+    _tables.clear()
+
+
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumnRenamed("lang", "expected")
 

@@ -4,6 +4,7 @@ import pytest
 
 from lingmill.operators import model as M
 from lingmill.operators.detect import Params, detect, detect_scores
+from lingmill.plans import registry
 
 NGRAMS = [("en", 2, "th", -4.0), ("en", 2, "he", -4.5), ("en", 2, "le", -6.0), ("fr", 2, "le", -3.0), ("en", 3, "the", -5.0)]
 TOPWORDS = [("en", "the", -2.5), ("fr", "le", -3.0), ("fr", "l'", -4.0), ("fr", "ami", -7.0)]
@@ -78,3 +79,13 @@ def test_mixed_scripts(spark):
     texts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, w int, c int, p string")
     for r in detect(texts, model, ["doc_id"], keep=["w", "c", "p"]).collect():
         assert (r["num_words"], r["num_chars"], r["pred"]) == (r["w"], r["c"], r["p"])
+
+
+def test_forget_lets_go_of_all_that_is_held(spark):
+    registry.forget()
+    sf = "/root/testdata/sf0.001"
+    registry.QUERIES["phrase_eval"](spark, sf)
+    held = [*registry.trained(spark, sf), registry.model(spark, sf).ngrams, registry.model(spark, sf).topwords]
+    assert all(df.storageLevel.useMemory for df in held)
+    registry.forget()
+    assert not registry._tables and not any(df.storageLevel.useMemory for df in held)
