@@ -170,7 +170,8 @@ def labelled(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
 
 
 def join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each of docs: doc_id, n_shingles, component_id."""
+    """A row for each of docs: doc_id, n_shingles, component_id. Components are exact; links inside one are not all found, so
+    there are neither pairs nor numbers of links."""
     kept = labelled(docs, percent, id_col, text_col)
     ids = kept.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = table(ids, "ids")  # so that the join below is fed by exchanges alone, and a hot component can be split
