@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new one of our own in local mode,
+    in which there is one machine; on a cluster a folder of one machine would lose rows in silence, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lingmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,11 +62,6 @@ def numbered(df: DataFrame, order: list, name: str = "row_no") -> tuple[DataFram
     return dealt.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_start") + F.col("_i")).drop("_pid", "_i", "_start"), total
 
 
-def clash_free(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns of df, so that further columns, whatever their names, cannot clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table() that nothing needs any more, and let Spark drop the shuffle files of what is done."""
     jvm = df.sparkSession.sparkContext._jvm
