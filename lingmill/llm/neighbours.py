@@ -1,11 +1,14 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
 Fit: the tree is built on a sample of at most `sample` vectors, those of the smallest id hash: a node splits into `branch`
-clusters until it has at most `leaf` of the sample. On the sample, too, the search is calibrated: queries drawn from it are
-answered exactly and through the tree, and the number of leaves to visit is widened until the mean recall reaches `recall`.
+clusters until it has at most `leaf` of the sample.
 
 Index: every row goes down the tree to one leaf.
 
+Calibration: CALIBRATION of the queries, those of the smallest id hash, are answered by brute force over all rows. The
+number of leaves to visit is widened until `recall` of their true neighbours lie in visited leaves; the recall that this number
+gives them is returned with each row. With recall 1 every query visits every leaf, and the search is exact.
+
 Search: a query keeps the nodes yet to see in a priority queue by distance to their centres and visits leaves in that order, as many
 as were calibrated, and more until their rows can fill the answer. Visits are joined to the rows of the leaves in blocks of
 bounded size: a leaf of many rows or queries is split by hash into as many parts as it needs, so that no task holds more
@@ -20,7 +23,7 @@ to the smaller id; other columns are ignored; with fewer candidates than k all a
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -92,16 +95,34 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)[None, :], 0)
 
 
-def calibrated(tree: Tree, x: np.ndarray, k: int, recall: float, n: int = CALIBRATION) -> int:
-    """Leaves to visit for this mean recall of the k nearest among the sample."""
-    leaf, n = tree.leaves(x), min(n, len(x))
+def nearest(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int):
+    """For each query: its number, and the positions and distances of its k nearest rows with another id, ties to the smaller id.
+
+    ids must be sorted. Products of matrices choose the candidates, with room for their rounding; distances are those of the vectors.
+    """
+    near = distances(q, x)
+    near[q_ids[:, None] == ids[None, :]] = np.inf
+    n = min(k, len(ids))
+    room = 1e-10 * ((x * x).sum(axis=1).max() + (q * q).sum(axis=1))
+    cut = np.partition(near, n - 1, axis=1)[:, n - 1]
+    for i in range(len(q)):
+        at = np.flatnonzero((near[i] <= cut[i] + room[i]) & (near[i] < np.inf))
+        d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+        best = np.argsort(d, kind="stable")[:n]
+        yield i, at[best], d[best]
+
+
+def visits_for(tree: Tree, queries: dict[int, np.ndarray], leaves: dict[int, list[int]], recall: float) -> tuple[int, float]:
+    """Leaves to visit so that this share of the true neighbours, given by their leaves, is in a visited one; the share reached."""
     needed = []
-    for i in range(n):
-        d = ((x - x[i]) ** 2).sum(axis=1)
-        d[i] = np.inf
-        rank = {leaf_no: r for r, leaf_no in enumerate(tree.visits(x[i]), 1)}
-        needed += [rank[leaf[j]] for j in np.argsort(d, kind="stable")[: min(k, len(x) - 1)]]
-    return int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)]) if needed else 1
+    for i, q in queries.items():
+        rank = {leaf: r for r, leaf in enumerate(tree.visits(q), 1)}
+        needed += [rank[leaf] for leaf in leaves.get(i, [])]
+    if recall >= 1 or not needed:
+        return len(tree.leaf_of), 1.0
+    needed = np.sort(needed)
+    visits = int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)])
+    return visits, float(np.mean(needed <= visits))
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -111,17 +132,39 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
+def brute_force(rows: DataFrame, queries: dict[int, np.ndarray], k: int) -> DataFrame:
+    """query_id, rank, vec_id, score and leaf of the k nearest of all rows(leaf, vec_id, v), for a bounded set of queries."""
+    q_ids, q = np.array(list(queries)), np.array(list(queries.values()))
+    shared = rows.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def run(batches):
+        q_ids, q = shared.value
+        for b in batches:
+            b = b.sort_values("vec_id")
+            for lo in range(0, len(b), ROWS):
+                part = b.iloc[lo : lo + ROWS]
+                ids, leaf = part["vec_id"].to_numpy(), part["leaf"].to_numpy()
+                found = [(q_ids[i], ids[j], d, leaf[j]) for i, at, dist in nearest(ids, np.array(part["v"].tolist()), q_ids, q, k) for j, d in zip(at, dist, strict=True)]
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score", "leaf"])
+
+    near = rows.select("leaf", "vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double, leaf long")
+    return _best(near, k)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score for each row whose id is divisible by `every`."""
+    """query_id, rank, vec_id, score, recall (that of the calibration queries) for each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col)
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas()
     if not len(got):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double")
     dim = max(sorted(Counter(map(len, got["v"])).items()), key=lambda x: x[1])[0]
-    x = np.array([v for v in got["v"] if len(v) == dim])
-    tree = Tree(x)
-    visits = calibrated(tree, x, k, recall)
+    tree = Tree(np.array([v for v in got["v"] if len(v) == dim]))
     shared = spark.sparkContext.broadcast(tree)
 
     def assign(batches):
@@ -131,6 +174,13 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMP
     index = table(rows.filter(F.size("v") == dim).mapInPandas(assign, "leaf long, vec_id long, v array<double>"), "index")
     per_leaf = dict(index.groupBy("leaf").count().collect())  # a row a leaf; the tree's size is bounded by the sample
     total = sum(per_leaf.values())
+    queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    some = {r["vec_id"]: np.array(r["v"]) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()}
+    leaves = defaultdict(list)
+    if some and recall < 1:
+        for r in brute_force(index, some, k).select("query_id", "leaf").collect():  # at most k * CALIBRATION rows
+            leaves[r["query_id"]].append(r["leaf"])
+    visits, reached = visits_for(tree, some, leaves, recall)
 
     def choose(batches):
         tree = shared.value
@@ -145,7 +195,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMP
                         break
             yield pd.DataFrame(out, columns=["leaf", "query_id", "q"])
 
-    queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = table(queries.mapInPandas(choose, "leaf long, query_id long, q array<double>"), "visits")
     q_per_leaf = dict(asked.groupBy("leaf").count().collect())
     parts = [(leaf, -(-n // ROWS), -(-q_per_leaf.get(leaf, 1) // QUERIES)) for leaf, n in per_leaf.items()]
@@ -158,18 +207,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMP
         out = []
         if len(rows) and len(asked):
             rows = rows.sort_values("vec_id")
-            ids, x = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist())
-            for i, q in zip(asked["query_id"], asked["q"], strict=True):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                d[ids == i] = np.inf
-                n = min(k, len(d))
-                cut = np.partition(d, n - 1)[n - 1]
-                at = np.flatnonzero(d <= cut)
-                at = at[np.argsort(d[at], kind="stable")][:n]
-                out += [(i, ids[j], d[j]) for j in at if d[j] < np.inf]
+            ids, x, q_ids = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist()), asked["query_id"].to_numpy()
+            out = [(q_ids[i], ids[j], d) for i, at, dist in nearest(ids, x, q_ids, np.array(asked["q"].tolist()), k) for j, d in zip(at, dist, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     key = ["leaf", "r", "c"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(near, k).select("query_id", "rank", "vec_id", "score", F.lit(reached).alias("recall"))
