@@ -2,13 +2,16 @@
 
 Words are split at ASCII white space, in lower case, without symbols at their ends. How often each word of the benchmark
 occurs is counted over all documents. From every position of an item the shortest n-gram that chance would hardly make
-(the product of its words' shares is below `rare`) is a seed; an item that has none is its own seed as a whole. A document's seeds
+(the product of its words' shares is below `rare`) is a seed, however long; an item that has none, as it is all common words
+and few, is its own seed as a whole: its edits could not be told from chance. A document's seeds
 are looked up in one pass over its words. Hits of an item that lie near each other mark a passage; the local
 alignment of passage and item (match 2, mismatch -1, gap -1, by word), as a share of the item's best possible score, counts
 as a leak from `least` on. Edited and paraphrased copies keep some seeds and most of the score.
 
-Items go to all tasks in blocks of bounded size; a larger benchmark takes further passes over the documents. Nothing of the documents is
-shuffled but word counts, added up in each task before.
+Words are counted once for the whole benchmark, so that an item's seeds don't depend on the other items of its block. Items go
+to all tasks in blocks of bounded number and characters (an item longer than that is a block of its own); clean_rows reads the
+documents once for all blocks, find_leaks once a block. Nothing of the documents is shuffled but word counts, added up in each
+task before. A worker keeps the seeds of the block at hand for its next task.
 
 Defined results: a null or wordless text or item has no leak; of several passages the best counts, the first if they tie;
 repeated items give a row each; repeated documents give rows each; other columns are ignored; empty tables give an empty result.
@@ -16,20 +19,20 @@ repeated items give a row each; repeated documents give rows each; other columns
 
 from __future__ import annotations
 
+import uuid
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
-
-#: Chance share below which an n-gram is a seed, longest n-gram, least score of a leak.
-RARE, LONGEST, LEAST = 1e-9, 8, 0.5
+#: Chance share below which an n-gram is a seed, least score of a leak.
+RARE, LEAST = 1e-9, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items and characters of items that go to the tasks at once.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Items and characters of items that go to the tasks at once, and words that are counted at once.
+BLOCK_ITEMS, BLOCK_CHARS, BLOCK_WORDS = 20_000, 16_000_000, 2_000_000
 REMEMBERED = 300_000
 #: Symbols that don't count at the ends of a word.
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@"
@@ -98,7 +101,7 @@ class Seeds:
             any_rare = False
             for i in range(len(item)):
                 p = 1.0
-                for n in range(1, min(LONGEST, len(item) - i) + 1):
+                for n in range(1, len(item) - i + 1):
                     p *= share[item[i + n - 1]]
                     if n > 1 and p < rare:
                         found.setdefault(n, {}).setdefault(tuple(item[i : i + n]), []).append((k, i))
@@ -126,14 +129,13 @@ class Seeds:
         """(position, item, position in the item) of all seeds in a run of texts; no seed holds the -1 between texts."""
         out = []
         known = ids >= 0
+        run = np.flatnonzero(np.diff(np.concatenate([known, [False]]).astype(np.int8)) == -1)  # last known words of runs
         at = np.flatnonzero(known)
-        for n in range(1, max(self.by_n, default=0) + 1):
-            if n > 1:
-                at = at[at + n - 1 < len(ids)]
-                at = at[known[at + n - 1]]  # all n words are of the vocabulary
-            if n not in self.by_n or not len(at):
-                continue
-            quick, grams = self.by_n[n]
+        left = run[np.searchsorted(run, at)] - at + 1 if len(at) else at  # known words from here on
+        for n, (quick, grams) in self.by_n.items():
+            at, left = at[left >= n], left[left >= n]
+            if not len(at):
+                break
             some = at[quick[(self.mixed([ids[at + j] for j in range(n)]) & self.mask).astype(np.int64)]]
             for i in some.tolist():
                 for k, j in grams.get(tuple(ids[i : i + n].tolist()), ()):
@@ -190,8 +192,8 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text"))
 
 
-def word_shares(rows: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Share of each word of the vocabulary among all words of all documents (each counted once more than it occurs)."""
+def word_counts(rows: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
+    """How often each word of the vocabulary occurs in all documents, by number, and under -1 how often any other word does."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -206,41 +208,76 @@ def word_shares(rows: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
         yield pd.DataFrame({"word": at - 1, "n": total[at]})
 
     got = rows.mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row a word of the vocabulary
-    counts = np.ones(len(vocabulary))
-    total = float(len(vocabulary))
-    for word, n in got:
-        total += n
-        if word >= 0:
-            counts[word] += n
-    return counts / total
+    return dict(map(tuple, got))
+
+
+def word_shares(rows: DataFrame, words: list[bytes]) -> dict[bytes, float]:
+    """Share of each of the words among all words of all documents (each counted once more than it occurs), however many are counted at once."""
+    counts, total = {}, None
+    for lo in range(0, len(words), BLOCK_WORDS):
+        part = words[lo : lo + BLOCK_WORDS]
+        got = word_counts(rows, {w: i for i, w in enumerate(part)})
+        total = sum(got.values()) if total is None else total
+        counts |= {w: got.get(i, 0) + 1 for i, w in enumerate(part)}
+    return {w: n / (total + len(words)) for w, n in counts.items()}
+
+
+def blocks_of(items: DataFrame):
+    """Lists of (item_id, words) in order of id and text, of bounded number and characters; one partition is read at a time."""
+    held, chars = [], 0
+    for name, text in items.orderBy("item_id", "text").toLocalIterator():
+        size = len(text or "")
+        if held and (len(held) >= BLOCK_ITEMS or chars + size > BLOCK_CHARS):
+            yield held
+            held, chars = [], 0
+        held.append((name, words_of(text)))
+        chars += size
+    if held:
+        yield held
+
+
+def _blocks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> list:
+    """The broadcast blocks (key, names, items as word numbers, vocabulary, shares of its words)."""
+    spark = rows.sparkSession
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    shares = word_shares(rows, sorted({w for block in blocks_of(items) for _, words in block for w in words}))
+    out = []
+    for block in blocks_of(items):
+        words = sorted({w for _, ws in block for w in ws})
+        if words:
+            vocabulary = {w: i for i, w in enumerate(words)}
+            out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [k for k, _ in block], [[vocabulary[w] for w in ws] for _, ws in block], vocabulary, np.array([shares[w] for w in words]))))
+    return out
+
+
+#: What a worker keeps between tasks: the seeds of one block, by key and rarity.
+_built: dict = {}
+
+
+def _ready(shared, rare: float) -> tuple[list, WordIds, Seeds]:
+    """Names, words and seeds of a block, built once in a worker."""
+    key, names, items, vocabulary, shares = shared.value
+    if (key, rare) not in _built:
+        _built.clear()
+        _built[key, rare] = names, WordIds(vocabulary), Seeds(items, shares, rare)
+    return _built[key, rare]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, rare: float = RARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that leaked into it: doc_id, item_id, score, first_word, end_word, n_seeds."""
-    spark = docs.sparkSession
     rows = _text(docs, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, first_word long, end_word long, n_seeds long"
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    if blocks > 1:
-        items, _ = numbered(items, [F.col("item_id"), F.col("text")], "_no")
-    out = None
-    for block in range(blocks):
-        mine = items.filter(F.col("_no") % blocks == block).drop("_no") if blocks > 1 else items
-        got = sorted(((r[0], words_of(r[1])) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in got for w in ws}))}
-        shares = word_shares(rows, vocabulary) if vocabulary else np.zeros(0)
-        shared = spark.sparkContext.broadcast(([k for k, _ in got], [[vocabulary[w] for w in ws] for _, ws in got], vocabulary, shares))
-        found = _leaks(rows, shared, least, rare, kinds)
-        out = found if out is None else out.unionByName(found)
+    kind = benchmark.select(F.col(f"`{item_col}`")).schema[0].dataType.simpleString()
+    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind}, score double, first_word long, end_word long, n_seeds long"
+    out = docs.sparkSession.createDataFrame([], kinds)
+    for k, shared in enumerate(_blocks(rows, benchmark, item_col, item_text)):
+        found = rows.mapInPandas(_finder(shared, least, rare), kinds)
+        out = out.unionByName(found) if k else found
     return out
 
 
-def _leaks(rows: DataFrame, shared, least: float, rare: float, kinds: str) -> DataFrame:
+def _finder(shared, least: float, rare: float):
     def run(batches):
-        names, items, vocabulary, shares = shared.value
-        ids, seeds = WordIds(vocabulary), Seeds(items, shares, rare)
+        names, ids, seeds = _ready(shared, rare)
         for b in batches:
             found = []
             for keys, texts in chunks(b["doc_id"], b["_text"]):
@@ -248,15 +285,28 @@ def _leaks(rows: DataFrame, shared, least: float, rare: float, kinds: str) -> Da
                 found += [(keys[d], names[k], round(s, 6), lo, hi, n) for d, k, s, lo, hi, n in leaks_in(got, starts, seeds, least)]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
-    return rows.mapInPandas(run, kinds)
+    return run
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, rare: float = RARE, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, into which no item leaked. Rows are told apart by what is in them, not by their id."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = F.unhex(F.sha2(text.cast("binary"), 256))
-    leaks = find_leaks(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, least, rare)
+def clean_rows(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, rare: float = RARE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, as they are, into which no item leaked: each block of items is a filter that rows pass where they are read."""
     names = [f"_{i}" for i in range(len(docs.columns))]
-    held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)], key.alias("_key"))
-    kept = held.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti")
-    return kept.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text")
+    held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)], text)
+    for shared in _blocks(_text(docs, docs.columns[0], text_col), benchmark, item_col, item_text):
+        held = held.mapInArrow(_filter(shared, least, rare), held.schema)
+    return held.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])
+
+
+def _filter(shared, least: float, rare: float):
+    def run(batches):
+        _, ids, seeds = _ready(shared, rare)
+        for b in batches:
+            keep = np.ones(b.num_rows, dtype=bool)
+            for keys, texts in chunks(range(b.num_rows), b.column("_text").to_pylist()):
+                got, starts = ids.of(texts)
+                for d, *_ in leaks_in(got, starts, seeds, least):
+                    keep[keys[d]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
