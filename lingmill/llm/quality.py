@@ -1,13 +1,13 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-Ratings make three grades: 0 poor, 1 sound but toxic, 2 sound and clean. P(grade <= k) = sigmoid(threshold[k] - w.x), one
+Ratings make three grades: 0 toxic, 1 poor but not toxic, 2 sound and clean; each word of abuse may push a text further down. P(grade <= k) = sigmoid(threshold[k] - w.x), one
 weight vector w for all grades and ordered thresholds. x marks which hashed features a text has: its words, the first four
-letters of longer words, and levels of how it is written (repeats, capitals, symbols). From the model come the expected
-grade and the tail probabilities P(grade >= k); a document is kept if P(grade >= 2) is at least 1/2.
+letters of longer words, and levels of how it is written (repeats, capitals, digits, symbols, lengths of words). From the model come
+the expected grade and the tail probabilities P(grade >= k); a document is kept if P(grade >= 2) is at least 1/2, 1/2 itself included.
 
 The model is fitted on a sample: of the `sample` labelled ids with the smallest hashes, each distinct text once, and not more than
-2 * `sample` texts, one of each id first, then those with the smallest hashes of id and text. Everything else covers all rows:
-every document is scored over its whole text.
+2 * `sample` texts, one of each id first, then those with the smallest hashes of id and text. A feature has a weight if at least a
+thousandth of the fitted texts have it, and two at least. Everything else covers all rows: every document is scored over its whole text.
 
 Defined results: a null text is an empty one and is scored like it; a label without quality or toxic counts for nothing, of
 several labels of a document the lowest grade counts; without any usable label everything is kept with p = 1; repeated rows
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 BITS = 20
-#: The bound of the sample, the least number of its documents that a feature must be in, and the fit's settings.
-SAMPLE, MIN_DOCS, SPARSE_STEPS, STEPS, RATE, SPARSE, DECAY = 12_000, 12, 150, 250, 0.1, 1.5e-3, 3e-6
+#: The bound of the sample, the least share of its texts that a feature must be in, and the fit's settings.
+SAMPLE, MIN_SHARE, SPARSE_STEPS, STEPS, RATE, SPARSE, DECAY = 12_000, 1e-3, 150, 250, 0.1, 1.5e-3, 3e-6
 REMEMBERED = 300_000
 EDGES = b" \t\n.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@"
 
@@ -48,18 +48,24 @@ class Buckets(dict):
         return found
 
 
+#: Classes of characters: capital and small letters, digits, white space, and letters beyond ASCII.
+UPPER, LOWER, DIGITS, SPACE, BEYOND = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b" \t\n\v\f\r", bytes(range(128, 256))
+
+
 def written(text: bytes, words: list[bytes]) -> list[int]:
-    """Levels, from 0 to 8, of how a text is written, as hashed features."""
-    n = max(1, len(words))
-    upper = sum(map(text.count, (b"E", b"A", b"N", b"R", b"T")))
-    lower = sum(map(text.count, (b"e", b"a", b"n", b"r", b"t")))
+    """Levels, from 0 to 8, of how a text is written, as hashed features: shares of character classes and of repeated words."""
+    n, size = max(1, len(words)), max(1, len(text))
+    without = lambda some: len(text) - len(text.translate(None, some))
+    upper, lower, digits = without(UPPER), without(LOWER), without(DIGITS)
+    symbols = len(text.translate(None, UPPER + LOWER + DIGITS + SPACE + BEYOND))
     shares = {
         "repeat": sum(map(bytes.__eq__, words[1:], words)) / n,
+        "fresh": 1 - len(set(words)) / n,
         "upper": upper / max(1, upper + lower),
+        "digits": 4 * digits / size,
+        "symbols": 2 * symbols / size,
         "bang": text.count(b"!") / n,
-        "bar": text.count(b" | ") / n,
-        "symbol": sum(map(text.count, (b"#", b"$", b"%", b"&", b"*"))) / n,
-        "fresh": 1 - len(set(words)) / n,
+        "length": size / n / 24,
     }
     level = lambda x: 0 if x <= 0 else min(8, 1 + int(x * 16))
     return [crc32(f"\0{k}{level(v)}".encode()) & ((1 << BITS) - 1) for k, v in shares.items()]
@@ -82,7 +88,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> tuple[
     n = len(rows)
     flat = np.concatenate(rows)
     docs = np.repeat(np.arange(n), [len(r) for r in rows])
-    held = np.bincount(flat, minlength=1 << BITS) >= MIN_DOCS
+    held = np.bincount(flat, minlength=1 << BITS) >= max(2, MIN_SHARE * n)
     flat, docs = flat[held[flat]], docs[held[flat]]
     names, dim = np.flatnonzero(held), int(held.sum())
     flat = (np.cumsum(held) - 1)[flat]
@@ -125,7 +131,7 @@ def _bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
     """(weights, thresholds), or None without a usable label. labels: doc_id, quality, toxic."""
-    grade = F.when(F.col("quality") < 1, 0).when(F.col("toxic") >= 1, 1).otherwise(2)
+    grade = F.when(F.col("toxic") >= 1, 0).when(F.col("quality") < 1, 1).otherwise(2)
     graded = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(grade).alias("_grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
