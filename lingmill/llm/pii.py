@@ -9,8 +9,8 @@ A card is confirmed by Luhn's sum, an IBAN by its remainder 1 modulo 97. IBANs a
 and digits of any country, as a whole; and, wherever a country of LENGTHS, two digits and as many characters as it has stand, in
 printed form too, that is with or without one space after each four characters, also glued to other capitals or digits. Spaces
 are taken out before the sum; of spans that overlap, the unbroken run counts, else the one that starts first. oracle() has the
-unbroken runs only. A span scores the base of its kind, and more if a word for that kind stands in the 40 characters before it;
-`score` is the best of the row, 0 without spans.
+unbroken runs only. A span scores the base of its kind, and more if a whole word for that kind stands in the 40 characters before
+or after it; `score` is the best of the row, 0 without spans.
 
 Defined results: a null text is an empty one, without spans; repeated rows give a row each; positions are code points with an
 exclusive end; other columns are ignored; an empty table gives an empty result.
@@ -39,6 +39,13 @@ LENGTHS = {
 #: Base score of a kind, and words that raise it.
 SCORES = {"email": (60, "mail|contact|write"), "ip": (50, "ip|host|server|address"), "card": (80, "card|visa|credit|debit|payment"), "phone": (50, "phone|tel|call|mobile|fax"), "iban": (90, "iban|account|bank")}
 BONUS, NEAR = 15, 40
+
+
+def whole_word(words: str) -> str:
+    """A pattern for one of the words, not inside another."""
+    return f"(?:^|[^a-z0-9])(?:{words})(?:$|[^a-z0-9])"
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,8 +116,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     held = base.withColumns(pieces)
     kinds = []
     for order, (kind, *_) in enumerate(KINDS):
-        low = f"translate(substring(t, cast(greatest(x.s - {NEAR}, 0) + 1 as int), cast(least(x.s, {NEAR}) as int)), '{UPPER}', '{LOWER}')"
-        points, words = SCORES[kind]
+        around = f"concat(substring(t, cast(greatest(x.s - {NEAR}, 0) + 1 as int), cast(least(x.s, {NEAR}) as int)), ' ', substring(t, cast(x.s + length(x.m) + 1 as int), {NEAR}))"
+        low = f"translate({around}, '{UPPER}', '{LOWER}')"
+        points, words = SCORES[kind][0], whole_word(SCORES[kind][1])
         starts = f"zip_with({sum_before('w')}, q, (a, c) -> a + c)"
         found = f"filter(zip_with({starts}, m, (a, c) -> named_struct('s', a, 'm', c)), x -> {KEEP[kind]})"
         found = bind(f"m_{kind}", "m", bind(f"slice(q_{kind}, 1, size(m))", "q", bind("zip_with(q, m, (a, c) -> a + length(c))", "w", found)))
@@ -147,8 +155,9 @@ def oracle() -> str:
         "phone": f"length({digits}) BETWEEN 10 AND 15",
         "iban": f"CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({turned}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) AS BIGINT) = 1",
     }
-    near = f"regexp_matches(translate(substr(t, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR})), '{UPPER}', '{LOWER}'), "
-    score = "CASE x.k " + " ".join(f"WHEN '{k}' THEN {p} + CASE WHEN {near}'{w}') THEN {BONUS} ELSE 0 END" for k, (p, w) in SCORES.items()) + " END"
+    around = f"substr(t, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR})) || ' ' || substr(t, x.s + length(x.m) + 1, {NEAR})"
+    near = f"regexp_matches(translate({around}, '{UPPER}', '{LOWER}'), "
+    score = "CASE x.k " + " ".join(f"WHEN '{k}' THEN {p} + CASE WHEN {near}'{whole_word(w)}') THEN {BONUS} ELSE 0 END" for k, (p, w) in SCORES.items()) + " END"
     names = [k[0] for k in KINDS]
     n = lambda k: f"CAST(len(list_filter(a, lambda x: x.k = '{k}')) AS BIGINT) AS n_{k}"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
