@@ -63,7 +63,7 @@ KNOWN = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("Proprietary", "All rights reserved."),
+    ("LicenseRef-all-rights-reserved", "All rights reserved."),  # a notice that stands beside many licences, and none itself
 )
 
 
