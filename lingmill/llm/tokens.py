@@ -6,7 +6,8 @@ word takes one pass over its bytes, without building a piece: follow a child if
 follow its link. A word of which some part has no token counts as one unknown token.
 
 A text is split at ASCII white space; a word is spelled with a leading space as byte-level vocabularies have it, so its first
-piece may be a token that starts a word. Counts of distinct words are remembered in a table of bounded size.
+piece may be a token that starts a word. Counts of distinct words are remembered in a table of bounded size; the automaton is built
+once in a worker and kept for its next task.
 
 Defined results: a null text has 0 words and tokens; repeated rows give a row each; other columns are ignored; an empty table
 gives an empty result; the length of a text or a word doesn't matter.
@@ -15,6 +16,7 @@ gives an empty result; the length of a text or a word doesn't matter.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import deque
 
 import pandas as pd
@@ -118,14 +120,26 @@ class Counts(dict):
         return n
 
 
+#: What a worker keeps between tasks: the automaton of one vocabulary, by its key.
+_built: dict[str, Automaton] = {}
+
+
+def _automaton(shared) -> Automaton:
+    key, vocabulary = shared.value
+    if key not in _built:
+        _built.clear()
+        _built[key] = Automaton(vocabulary)
+    return _built[key]
+
+
 def count_tokens(docs: DataFrame, vocabulary: list[bytes] | None = None, lead: bytes = b" ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each of docs: doc_id, n_bytes, n_words, n_tokens."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_vocabulary() if vocabulary is None else vocabulary)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, load_vocabulary() if vocabulary is None else vocabulary))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def run(batches):
-        counts = Counts(Automaton(shared.value), lead)
+        counts = Counts(_automaton(shared), lead)
         for b in batches:
             n_words, n_tokens = [], []
             for t in b["t"]:
