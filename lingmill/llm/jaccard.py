@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a grouped prefix join over sets of hashed word shingles, exact for every pair of different sets.
 
 Words are split at ASCII white space after lower-casing A-Z; a set holds the distinct five-word shingles as 64-bit hashes; fewer words are one
-shingle as a whole. Documents with equal sets are one node. Two nodes link when their similarity is `percent` or more.
+shingle as a whole. Documents with equal sets, by 128-bit digests, are one node. Two nodes link when their similarity is `percent` or more.
+Exact means up to clashes of these hashes.
 
 1. Sieve. A partner of a set of n shingles has at least ceil(percent * n) of them. In any order of shingles, then, the first
    floor(n / 4) + l shingles of both hold l common ones (at 75 percent). The order here is by hash; l is about a tenth of n.
@@ -36,6 +37,8 @@ from .common import BROADCAST_ROWS, drop_table, table
 
 WORDS = 5
 REMEMBERED = 300_000
+#: Nodes, and shingles, of a block of a component; nodes of small components that are counted together.
+BLOCK_NODES, BLOCK_SHINGLES, TOGETHER = 256, 1_000_000, 4000
 #: Odd multipliers, one for each word of a shingle, and one for the length of a short text.
 FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"factor", seed=i) | 1) for i in range(WORDS + 1)]
 
@@ -71,11 +74,8 @@ def shingles(text: bytes, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def in_parts(batches, rows: int = 1000):
-    """The same rows in smaller frames: what is made of a part is passed on before the next begins."""
-    for b in batches:
-        for lo in range(0, len(b), rows):
-            yield b.iloc[lo : lo + rows]
+def digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes(), seed=len(s))
 
 
 def first_ones(n: int, percent: int) -> int:
@@ -89,31 +89,32 @@ def spare(n: int, percent: int) -> int:
 
 
 def _sets(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(doc_id, _th, _text) -> doc_id, th, n, node, firsts."""
+    """rows(doc_id, _th, _h, _text) -> doc_id, th, h, n, node, firsts."""
 
     def run(batches):
         hashes = WordHashes()
-        for b in in_parts(batches):
+        for b in batches:
             n, node, firsts = [], [], []
             for t in b["_text"]:
                 s = shingles(t, hashes)
                 n.append(len(s))
-                node.append(xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63))
+                node.append(digest(s))
                 firsts.append(s[: first_ones(len(s), percent)].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["_th"], "n": n, "node": node, "firsts": firsts})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["_th"], "h": b["_h"], "n": n, "node": node, "firsts": firsts})
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n long, node long, firsts array<long>")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, h long, n long, node binary, firsts array<long>")
 
 
 def _full_sets(rows: DataFrame) -> DataFrame:
-    """rows(node, n, _text) -> node, n, shingles."""
+    """rows(node, n, _text) -> node, n, shingles, of the rows whose text is the node's and not one of the same 64-bit hash."""
 
     def run(batches):
         hashes = WordHashes()
-        for b in in_parts(batches):
-            yield pd.DataFrame({"node": b["node"], "n": b["n"], "shingles": [shingles(t, hashes).view(np.int64) for t in b["_text"]]})
+        for b in batches:
+            found = [(bytes(node), n, s.view(np.int64)) for node, n, t in zip(b["node"], b["n"], b["_text"], strict=True) if digest(s := shingles(t, hashes)) == node]
+            yield pd.DataFrame(found, columns=["node", "n", "shingles"])
 
-    return rows.mapInPandas(run, "node long, n long, shingles array<long>")
+    return rows.mapInPandas(run, "node binary, n long, shingles array<long>")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -123,6 +124,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_l").alias("_near"))
         stepped = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("_near", "label")).alias("label"))
+        stepped = table(stepped, "stepped")  # so that exchanges alone feed the join below, and a hot label can be split
         follow = stepped.select(F.col("node").alias("label"), F.col("label").alias("_next"))
         now = table(stepped.join(follow, "label", "left").select("node", "old", F.least("label", F.coalesce("_next", "label")).alias("label")), "labels")
         if now.filter("label <> old").limit(1).count() == 0:
@@ -151,12 +153,17 @@ def _side(name: str, *columns: str) -> list:
     return [F.col(c).alias(f"{name}_{c}") for c in columns]
 
 
-def labelled(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each of docs: doc_id, th (hash of the text), n, label (the same for all of a component; null without shingles)."""
+def _row_hash(docs: DataFrame):
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def labelled(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """A row for each of docs: doc_id, th and h (hashes of text and row), n, label (the same for all of a component; null without
+    shingles); with links also n_links (see join)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("_th"), _row_hash(docs).alias("_h"), text.alias("_text"))
     sets = table(_sets(rows, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
-    slim = table(sets.select("doc_id", "th", "n", "node", "row"), "slim")
+    slim = table(sets.select("doc_id", "th", "h", "n", "node", "row"), "slim")
 
     firsts = sets.select("row", F.explode("firsts").alias("s"))
     single = firsts.groupBy("s").agg(F.count("*").alias("c"), F.min("row").alias("row")).filter("c = 1").groupBy("row").agg(F.count("*").alias("single"))
@@ -165,40 +172,101 @@ def labelled(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     nodes = table(left.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n")), "nodes")
     drop_table(sets)
 
-    labels = _link(rows, nodes, percent)
-    return slim.join(labels, "node", "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    labels, held = _link(rows, nodes, percent)
+    if not links:
+        return slim.join(labels, "node", "left").select("doc_id", "th", "h", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    copies = slim.filter("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    copies = table(copies.join(labels, "node", "left").filter("copies > 1 OR label IS NOT NULL"), "copies")
+    near = link_counts(held.select("node", "n", "shared").join(copies.filter("label IS NOT NULL"), "node"), percent)
+    known = table(copies.join(near, "node", "left").select("node", "label", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
+    label = F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")
+    return slim.join(known, "node", "left").select("doc_id", "th", "h", "n", label, F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def _members(x: list[np.ndarray], n_x: np.ndarray, y: list[np.ndarray], n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of x (sets of shingles in common with others, and the sizes of the whole sets) link with which of y."""
+    flat = np.concatenate(x + y)
+    of = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    names, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = seen[at] > 1
+    of, at = of[keep], (np.cumsum(seen > 1) - 1)[at[keep]]
+    both = np.zeros((len(x), len(y)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    width = max(1, 4_000_000 // (len(x) + len(y)))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        i, j = np.searchsorted(at, [lo, lo + width])
+        m = np.zeros((len(x) + len(y), width), dtype=np.float32)
+        m[of[i:j], at[i:j] - lo] = 1
+        both += m[: len(x)] @ m[len(x) :].T
+    o = both.astype(np.int64)
+    return (o > 0) & (o * 100 >= percent * (n_x[:, None] + n_y[None, :] - o))
+
+
+def link_counts(nodes: DataFrame, percent: int) -> DataFrame:
+    """nodes(node, n, shared, label, copies) -> node, links: the documents of the other nodes that each links with. All links lie in components."""
+    size = nodes.groupBy("label").agg(F.count("*").alias("_m"), F.sum(F.size("shared")).alias("_s"))
+    blocks = F.ceil(F.greatest(F.col("_m") / BLOCK_NODES, F.col("_s") / BLOCK_SHINGLES)).cast("long")
+    size = table(size.select("label", "_m", blocks.alias("b")), "blocks")
+    some = size.filter("b = 1").agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0] // TOGETHER + 1
+    dealt = nodes.join(size.drop("_m"), "label").withColumn("i", F.pmod(F.xxhash64("node"), "b"))
+    alone = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("b") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j"), F.when(F.col("i") <= j, 0).otherwise(1).alias("side")))
+    dealt = dealt.select("label", "b", "node", "n", "shared", "copies", F.explode(F.when(F.col("b") == 1, F.array(alone)).otherwise(pairs)).alias("p"))
+    dealt = dealt.withColumn("key", F.when(F.col("b") == 1, F.pmod(F.xxhash64("label"), F.lit(some))).otherwise(F.xxhash64("label", "p.i", "p.j")))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby(["label", "i", "j"], sort=False):
+            sides = [own] if own["i"].iloc[0] == own["j"].iloc[0] else [own[own["side"] == 0], own[own["side"] == 1]]
+            x, y = sides[0], sides[-1]
+            if len(x) and len(y) and len(own) > 1:
+                linked = _members(list(x["shared"]), x["n"].to_numpy(), list(y["shared"]), y["n"].to_numpy(), percent)
+                if x is y:
+                    np.fill_diagonal(linked, False)
+                out.append(pd.DataFrame({"node": x["node"], "links": linked @ y["copies"].to_numpy()}))
+                if x is not y:
+                    out.append(pd.DataFrame({"node": y["node"], "links": linked.T @ x["copies"].to_numpy()}))
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "links": []})
+
+    counted = dealt.select("key", "b", "label", "p.i", "p.j", "p.side", "node", "n", "shared", "copies").groupBy("key").applyInPandas(count, "node binary, links long")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each of docs: doc_id, n_shingles, component_id. Components are exact; links inside one are not all found, so
-    there are neither pairs nor numbers of links."""
-    kept = labelled(docs, percent, id_col, text_col)
+    """A row for each of docs: doc_id, n_shingles, component_id, n_links (other rows that it links with, equal ones included)."""
+    kept = labelled(docs, percent, id_col, text_col, links=True)
     ids = kept.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = table(ids, "ids")  # so that the join below is fed by exchanges alone, and a hot component can be split
     out = kept.join(ids, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
 
 
 def distinct_rows(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that of the smallest id (null last), then of the smallest text hash. Rows that agree in
-    id and text are one document; documents without shingles all stay."""
+    """One row of docs for each component: that of the smallest id (null last), then of the smallest hash of the text, then of the
+    row; of wholly equal rows one. Documents without shingles all stay, but for repeated rows."""
     found = labelled(docs, percent, id_col, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th")))
-    chosen = found.filter("label IS NOT NULL").groupBy("label").agg(first.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
-    chosen = chosen.union(found.filter("label IS NULL").select("doc_id", "th").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"), F.col("h")))
+    chosen = found.filter("label IS NOT NULL").groupBy("label").agg(first.alias("f")).select("f.doc_id", "f.th", "f.h")
+    chosen = chosen.union(found.filter("label IS NULL").groupBy("doc_id", "th").agg(F.min("h").alias("h")))
+    again = found.groupBy("doc_id", "th", "h").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_a"), F.col("th").alias("_b"), F.col("h").alias("_c"))
+    repeated = F.col("doc_id").eqNullSafe(F.col("_a")) & (F.col("th") == F.col("_b")) & (F.col("h") == F.col("_c"))
+    chosen = table(chosen.join(again, repeated, "left").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("h").alias("_hash"), F.col("_c").isNotNull().alias("_again")), "chosen")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
-    held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)], F.col(f"`{id_col}`").alias("_i"), th.alias("_t"))
-    kept = held.join(chosen, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left_semi").dropDuplicates(["_i", "_t"])
+    held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)], F.col(f"`{id_col}`").alias("_i"), th.alias("_t"), _row_hash(docs).alias("_h"))
+    kept = held.join(chosen, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")) & (F.col("_h") == F.col("_hash")))
+    if chosen.filter("_again").limit(1).count():  # only rows that are repeated are told apart by another exchange
+        kept = kept.filter("NOT _again").union(kept.filter("_again").dropDuplicates(["_i", "_t", "_h"]))
     return kept.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])
 
 
-def _link(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node, label for the nodes that link with others."""
+def _link(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """node, label for the nodes that link with others; and what of the sets is needed to verify links."""
     n_nodes = nodes.count()
     wanted = F.broadcast(nodes) if n_nodes <= BROADCAST_ROWS else nodes
-    texts = rows.join(wanted.select(F.col("th").alias("_th"), "node", "n"), "_th").select("node", "n", "_text")
-    full = table(_full_sets(texts.dropDuplicates(["node"])), "full")
+    texts = rows.join(wanted.select(F.col("th").alias("_th"), "node", "n"), "_th").select("node", "n", "_th", "_text")
+    full = table(_full_sets(texts.dropDuplicates(["node", "_th"])).dropDuplicates(["node"]), "full")
     each = full.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("_d"))
@@ -222,14 +290,14 @@ def _link(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     links = table(_verified(pairs, held, percent), "links")
     labels = components(links)
 
-    member = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    member = member.select("node", "label", "n", "single", F.posexplode("prefix").alias("_i", "s")).withColumn("at", F.col("single") + F.col("_i")).drop("_i", "single")
-    member = table(member, "members")
-    open_ = member.groupBy("s").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("s")
-    rest = table(member.join(open_, "s"), "open")
-    x, y = rest.select("s", *_side("x", "node", "label", "n", "at")), rest.select("s", *_side("y", "node", "label", "n", "at"))
+    member = table(held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("group", "node", "label", "n", "single", "prefix"), "members")
+    parts = member.groupBy("group", "label").agg(F.first("n").alias("n"), F.first("single").alias("single"), F.first("prefix").alias("prefix"))
+    parts = table(parts.select("group", "label", "n", "single", F.posexplode("prefix").alias("_i", "s")).withColumn("at", F.col("single") + F.col("_i")).drop("_i", "single"), "parts")
+    open_ = parts.groupBy("s").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("s")
+    rest = table(parts.join(open_, "s"), "open")
+    x, y = rest.select("s", *_side("x", "group", "label", "n", "at")), rest.select("s", *_side("y", "group", "label", "n", "at"))
     cross = x.join(y, (x["s"] == y["s"]) & (F.col("x_label") < F.col("y_label")) & _passes(percent))
-    cross = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = table(_verified(cross, held, percent), "links")
-    return components(links.union(more)) if more.limit(1).count() else labels
-
+    cross = cross.select("x_group", "x_label", "y_group", "y_label").distinct()
+    cross = cross.join(member.select(*_side("x", "group", "label"), F.col("node").alias("a")), ["x_group", "x_label"]).join(member.select(*_side("y", "group", "label"), F.col("node").alias("b")), ["y_group", "y_label"])
+    more = table(_verified(cross.select("a", "b"), held, percent), "links")
+    return (components(links.union(more)) if more.limit(1).count() else labels), held

@@ -17,9 +17,9 @@ def sets(text):
 
 
 def classes(texts, percent=75):
-    """(id, set size, smallest id of the component) of each row, all pairs compared."""
+    """(id, set size, smallest id of the component, links) of each row, all pairs compared."""
     s = [sets(t) for _, t in texts]
-    up = list(range(len(s)))
+    up, links = list(range(len(s))), [0] * len(s)
 
     def find(x):
         while up[x] != x:
@@ -32,17 +32,19 @@ def classes(texts, percent=75):
             o = len(s[i] & s[j])
             if o and 100 * o >= percent * len(s[i] | s[j]):
                 up[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for k, (i, _) in enumerate(texts):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return [(i, len(s[k]), least.get(find(k), i)) for k, (i, _) in enumerate(texts)]
+    return [(i, len(s[k]), least.get(find(k), i), links[k]) for k, (i, _) in enumerate(texts)]
 
 
 def same(spark, texts, docs=None):
     docs = spark.createDataFrame(texts, "doc_id long, text string") if docs is None else docs
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(docs).collect())
-    assert got == sorted((str(a), b, str(c)) for a, b, c in classes(texts))
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard.join(docs).collect())
+    assert got == sorted((str(a), b, str(c), d) for a, b, c, d in classes(texts))
 
 
 def test_join_on_messy_rows(spark, messy, empty):
@@ -50,6 +52,16 @@ def test_join_on_messy_rows(spark, messy, empty):
     assert jaccard.join(empty).count() == 0
     kept = jaccard.distinct_rows(messy)
     assert kept.columns == messy.columns and jaccard.distinct_rows(empty).count() == 0
+    found = {(str(i), c) for i, n, c, _ in classes(texts_of(messy)) if n}
+    rows = messy.collect()
+    want = []
+    for c in {c for _, c in found}:
+        want.append(next(r for r in rows if r["doc_id"] == c))
+    want += [r for r in rows if not sets(r["text"])]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want))
+    twice = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (2, "A b c", "x")], "doc_id long, text string, source string")
+    again = [jaccard.distinct_rows(twice.repartition(n)).collect() for n in (1, 2, 3)]
+    assert len(again[0]) == 1 and again[0] == again[1] == again[2]
 
 
 def test_join_families(spark):
@@ -76,6 +88,23 @@ def test_join_families(spark):
     same(spark, [(1000 - i, " ".join(t)) for i, t in enumerate(texts)])
 
 
+def test_links_by_blocks(spark, monkeypatch):
+    """A component larger than a block."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(jaccard, "TOGETHER", 5)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        x = list(base)
+        for _ in range(i % 4):
+            x[r.randrange(60)] = f"x{i}"
+        texts.append((i, " ".join(x)))
+    texts += [(100 + i, " ".join(f"y{j}" for j in range(i % 3, 20))) for i in range(9)]
+    same(spark, texts)
+
+
 def test_join_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     same(spark, texts_of(docs), docs)
@@ -186,7 +215,7 @@ def test_pipeline_stages(spark, messy, empty):
         if k < 4:
             assert docs.columns == before.columns
         if k == 1:
-            want = {(i, c) for i, _, c in classes(texts_of(before))}
+            want = {(i, c) for i, _, c, _ in classes(texts_of(before))}
             assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted({c for _, c in want})
     assert sorted(16 * r["slot"] + r["shard"] for r in docs.collect()) == list(range(docs.count()))
     assert corpus_pipeline.run(spark, SF).select(docs.columns).exceptAll(docs).count() == 0
@@ -196,3 +225,46 @@ def test_all_are_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and list(corpus_pipeline.QUERIES) == ["pipeline"]
     for name in ("op9_neighbours", "op10_decontamination", "op3_quality"):
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_seeds_do_not_depend_on_blocks(spark, monkeypatch):
+    """A short item with every fourth word edited is found or not, whatever items stand in its block; common words make long seeds."""
+    r = random.Random(9)
+    draw = lambda n: [f"v{r.randrange(3000)}" for _ in range(n)]
+    item = draw(12)
+    leak = [f"v{r.randrange(3000)}" if i % 4 == 3 else w for i, w in enumerate(item)]
+    few = [f"c{i}" for i in range(8)]
+    common = [r.choice(few) for _ in range(30)]
+    edited = list(common)
+    edited[15] = "other"
+    texts = [(1, " ".join(draw(20) + leak + draw(20))), (2, " ".join(draw(5) + edited + draw(5))), (3, " ".join(draw(17_500))), (4, " ".join(r.choice(few) for _ in range(2000)))]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(common))] + [(k, " ".join(draw(1500))) for k in range(2, 30)], "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = []
+    for size in (1, 10, 20_000):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 700 if size < 20_000 else 2_000_000)
+        found.append(sorted(map(tuple, decontaminate.find_leaks(docs, bench, least=0.3).collect())))
+        assert {x["doc_id"] for x in decontaminate.clean_rows(docs, bench, least=0.3).collect()} == {3, 4}
+    assert found[0] == found[1] == found[2] and {x[:2] for x in found[0]} >= {(1, 0), (2, 1)}
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 20_000)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    items = bench.select("item_id", "text")
+    assert [len(b) for b in decontaminate.blocks_of(items)] == [1] * 30
+
+
+def test_exact_search_is_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(700, 8)).round(1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "ROWS", 50)
+    got = sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in neighbours.search(vectors, every=20, recall=1.0).collect())
+    want = []
+    for i in range(0, 700, 20):
+        d = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(700) if j != i)[:10]
+        want += [(i, k, j, s) for k, (s, j) in enumerate(d, 1)]
+    assert got == want
+    found = neighbours.search(vectors, every=20, recall=0.9)
+    reached = {g["recall"] for g in found.collect()}
+    hits = {(q, j) for q, _, j, _ in want} & {(g["query_id"], g["vec_id"]) for g in found.collect()}
+    assert len(reached) == 1 and 0.9 <= reached.pop() and len(hits) >= 0.9 * len(want)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from pathlib import Path
 
 import duckdb
@@ -75,7 +76,22 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     second = first.union(spark.createDataFrame([("a", 2, "clean"), ("d", 1, "token: abcdefgh1")], first.schema))
     assert sum(len(r["spans"]) for r in ledger.scan(second, ["path", "version"], "content").collect()) == 3
     assert ledger.read().count() == 3 and ledger.read().select("blob").distinct().count() == 3
-    assert ledger.scan(second, ["path"], "content", rule_version="2").count() == 5 and ledger.read().count() == 6
+    assert ledger.scan(second, ["path"], "content", rules=secrets.BASE).count() == 5 and ledger.read().count() == 6
+    ledger.read().write.mode("append").parquet(str(tmp_path / "ledger"))  # as if two scans had run at once
+    assert sum(len(r["spans"]) for r in ledger.scan(second, ["path", "version"], "content").collect()) == 3
+    assert ledger.scan(second, ["path"], "content").count() == 5
+    with pytest.raises(ValueError):
+        ledger.scan(second.withColumnRenamed("path", "blob"), ["blob"], "content")
+
+
+def test_long_runs_take_linear_time():
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    began = time.perf_counter()
+    for text in ("eyJ" * 3_500_000, "eyJaaaaaaaa." * 800_000, "-----BEGIN " * 900_000, "ghp_" * 2_000_000, "token" + " " * 5_000_000, "xoxb-" * 100 + "a" * 5_000_000):
+        secrets.spans_of(text)
+    assert time.perf_counter() - began < 60
+    assert secrets.spans_of(f"x {jwt} {jwt}{jwt}") == [("jwt", 2, 2 + len(jwt)), ("jwt", 3 + len(jwt), 3 + 2 * len(jwt) + jwt.index("."))]
+    assert secrets.spans_of("x" + jwt) == []
 
 
 def test_pii_by_hand(spark, messy, empty):
@@ -94,16 +110,24 @@ def test_pii_long_texts_and_checksums(spark):
 
 
 @pytest.mark.parametrize("name", ["op1_secret_scan", "op6_license_scan", "op7_pii"])
-def test_against_sql(spark, name):
+def test_against_sql(spark, name, tmp_path):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
+    con.sql(f"CREATE VIEW documents AS SELECT doc_id, text, lang, source, n_chars FROM '{SF}/documents.parquet' UNION ALL SELECT 10000000, 'a eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl, xeyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl', 'en', 's', 1")
+    con.sql("SELECT * FROM documents").write_parquet(str(tmp_path / "documents.parquet"))
+    got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(queries.ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     norm = lambda df: sorted(map(tuple, df[columns].astype(str).to_numpy().tolist()))
     assert norm(got) == norm(want)
 
 
+def test_context_words_are_whole(spark):
+    ip = "10.1.2.3"
+    texts = [("shipping " + ip, 50), ("the ip: " + ip, 65), (ip + " is our server", 65), (ip + " recipe", 50), ("hotel +1 555 123 4567", 50), ("tel +1 555 123 4567", 65), ("basically +1 555 123 4567", 50), ("x" * 50 + " host " + "y" * 50 + " " + ip, 50)]
+    rows = pii.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["score"] for r in rows.collect()} == {i: n for i, (_, n) in enumerate(texts)}
+
+
 def test_ibans_in_print_and_glued(spark):
     gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
     many = (gb + " ") * 1500
