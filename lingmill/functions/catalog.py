@@ -37,65 +37,93 @@ ALPHABETS = {
 }
 CJ_ALPHABETS = ("HAN", "JA_KANA")
 
-#: Languages in their order (ties go to the first), as name, ISO code, three-letter code, other names; by script.
-_LANGUAGES = """
-LATIN
-afrikaans af afr; albanian sq sqi; azerbaijani az aze; basque eu eus; catalan ca cat; croatian hr hrv; czech cs ces
-danish da dan; dutch nl nld; english en eng; esperanto eo epo; estonian et est; finnish fi fin; french fr fra
-ganda lg lug; german de deu; hungarian hu hun; icelandic is isl; indonesian id ind; italian it ita; irish ga gle gaelic
-latin la lat; latvian lv lav; lithuanian lt lit; luxembourgish lb ltz; malay ms msa malaysian; maori mi mri
-norwegian no nor bokmal,nb; nynorsk nn nno; oromo om orm; polish pl pol; portuguese pt por; romanian ro ron
-shona sn sna; slovak sk slk; slovenian sl slv slovene; somali so som; sotho st sot; spanish es spa; swahili sw swa
-swedish sv swe; tagalog tl tgl; tsonga ts tso; tswana tn tsn; turkish tr tur; vietnamese vi vie; welsh cy cym
-xhosa xh xho; yoruba yo yor; zulu zu zul
-HAN
-chinese_simplified zh-hans zho-hans chinese,zh,zh-cn,zh-hans-cn,zh-hans-sg
-chinese_traditional zh-hant zho-hant zh-hant-hk,zh-hk,zh-hant-tw,zh-tw
-HAN,JA_KANA
-japanese ja jpn jp
-HANGUL
-korean ko kor
-ARABIC
-arabic ar ara; pashto ps pus; persian fa fas farsi; urdu ur urd
-CYRILLIC
-belarusian be bel; bulgarian bg bul; macedonian mk mkd; mongolian mn mon; russian ru rus; serbian sr srp; ukrainian uk ukr
-ETHIOPIC
-amharic am amh; tigrinya ti tig
-ARMENIAN
-armenian hy hye
-BENGALI
-bengali bn ben
-MYANMAR
-burmese my mya myanmar
-GEORGIAN
-georgian ka kat
-GREEK
-greek el ell
-GUJARATI
-gujarati gu guj
-HEBREW
-hebrew he heb
-DEVANAGARI
-hindi hi hin
-KANNADA
-kannada kn kan
-KHMER
-khmer km khm
-LAO
-lao lo lao
-MALAYALAM
-malayalam ml mal
-GURMUKHI
-punjabi pa pan
-SINHALA
-sinhala si sin
-TAMIL
-tamil ta tam
-TELUGU
-telugu te tel
-THAI
-thai th tha
-"""
+#: Languages in their order (ties go to the first), as name, ISO code, three-letter code, other names, scripts.
+_ROWS = (
+    ("afrikaans", "af", "afr", "", "LATIN"),
+    ("albanian", "sq", "sqi", "", "LATIN"),
+    ("azerbaijani", "az", "aze", "", "LATIN"),
+    ("basque", "eu", "eus", "", "LATIN"),
+    ("catalan", "ca", "cat", "", "LATIN"),
+    ("croatian", "hr", "hrv", "", "LATIN"),
+    ("czech", "cs", "ces", "", "LATIN"),
+    ("danish", "da", "dan", "", "LATIN"),
+    ("dutch", "nl", "nld", "", "LATIN"),
+    ("english", "en", "eng", "", "LATIN"),
+    ("esperanto", "eo", "epo", "", "LATIN"),
+    ("estonian", "et", "est", "", "LATIN"),
+    ("finnish", "fi", "fin", "", "LATIN"),
+    ("french", "fr", "fra", "", "LATIN"),
+    ("ganda", "lg", "lug", "", "LATIN"),
+    ("german", "de", "deu", "", "LATIN"),
+    ("hungarian", "hu", "hun", "", "LATIN"),
+    ("icelandic", "is", "isl", "", "LATIN"),
+    ("indonesian", "id", "ind", "", "LATIN"),
+    ("italian", "it", "ita", "", "LATIN"),
+    ("irish", "ga", "gle", "gaelic", "LATIN"),
+    ("latin", "la", "lat", "", "LATIN"),
+    ("latvian", "lv", "lav", "", "LATIN"),
+    ("lithuanian", "lt", "lit", "", "LATIN"),
+    ("luxembourgish", "lb", "ltz", "", "LATIN"),
+    ("malay", "ms", "msa", "malaysian", "LATIN"),
+    ("maori", "mi", "mri", "", "LATIN"),
+    ("norwegian", "no", "nor", "bokmal nb", "LATIN"),
+    ("nynorsk", "nn", "nno", "", "LATIN"),
+    ("oromo", "om", "orm", "", "LATIN"),
+    ("polish", "pl", "pol", "", "LATIN"),
+    ("portuguese", "pt", "por", "", "LATIN"),
+    ("romanian", "ro", "ron", "", "LATIN"),
+    ("shona", "sn", "sna", "", "LATIN"),
+    ("slovak", "sk", "slk", "", "LATIN"),
+    ("slovenian", "sl", "slv", "slovene", "LATIN"),
+    ("somali", "so", "som", "", "LATIN"),
+    ("sotho", "st", "sot", "", "LATIN"),
+    ("spanish", "es", "spa", "", "LATIN"),
+    ("swahili", "sw", "swa", "", "LATIN"),
+    ("swedish", "sv", "swe", "", "LATIN"),
+    ("tagalog", "tl", "tgl", "", "LATIN"),
+    ("tsonga", "ts", "tso", "", "LATIN"),
+    ("tswana", "tn", "tsn", "", "LATIN"),
+    ("turkish", "tr", "tur", "", "LATIN"),
+    ("vietnamese", "vi", "vie", "", "LATIN"),
+    ("welsh", "cy", "cym", "", "LATIN"),
+    ("xhosa", "xh", "xho", "", "LATIN"),
+    ("yoruba", "yo", "yor", "", "LATIN"),
+    ("zulu", "zu", "zul", "", "LATIN"),
+    ("chinese_simplified", "zh-hans", "zho-hans", "chinese zh zh-cn zh-hans-cn zh-hans-sg", "HAN"),
+    ("chinese_traditional", "zh-hant", "zho-hant", "zh-hant-hk zh-hk zh-hant-tw zh-tw", "HAN"),
+    ("japanese", "ja", "jpn", "jp", "HAN JA_KANA"),
+    ("korean", "ko", "kor", "", "HANGUL"),
+    ("arabic", "ar", "ara", "", "ARABIC"),
+    ("pashto", "ps", "pus", "", "ARABIC"),
+    ("persian", "fa", "fas", "farsi", "ARABIC"),
+    ("urdu", "ur", "urd", "", "ARABIC"),
+    ("belarusian", "be", "bel", "", "CYRILLIC"),
+    ("bulgarian", "bg", "bul", "", "CYRILLIC"),
+    ("macedonian", "mk", "mkd", "", "CYRILLIC"),
+    ("mongolian", "mn", "mon", "", "CYRILLIC"),
+    ("russian", "ru", "rus", "", "CYRILLIC"),
+    ("serbian", "sr", "srp", "", "CYRILLIC"),
+    ("ukrainian", "uk", "ukr", "", "CYRILLIC"),
+    ("amharic", "am", "amh", "", "ETHIOPIC"),
+    ("tigrinya", "ti", "tig", "", "ETHIOPIC"),
+    ("armenian", "hy", "hye", "", "ARMENIAN"),
+    ("bengali", "bn", "ben", "", "BENGALI"),
+    ("burmese", "my", "mya", "myanmar", "MYANMAR"),
+    ("georgian", "ka", "kat", "", "GEORGIAN"),
+    ("greek", "el", "ell", "", "GREEK"),
+    ("gujarati", "gu", "guj", "", "GUJARATI"),
+    ("hebrew", "he", "heb", "", "HEBREW"),
+    ("hindi", "hi", "hin", "", "DEVANAGARI"),
+    ("kannada", "kn", "kan", "", "KANNADA"),
+    ("khmer", "km", "khm", "", "KHMER"),
+    ("lao", "lo", "lao", "", "LAO"),
+    ("malayalam", "ml", "mal", "", "MALAYALAM"),
+    ("punjabi", "pa", "pan", "", "GURMUKHI"),
+    ("sinhala", "si", "sin", "", "SINHALA"),
+    ("tamil", "ta", "tam", "", "TAMIL"),
+    ("telugu", "te", "tel", "", "TELUGU"),
+    ("thai", "th", "tha", "", "THAI"),
+)
 
 
 @dataclass(frozen=True)
@@ -112,19 +140,7 @@ class Language:
         return self.iso in ("zh-hans", "zh-hant")
 
 
-def _parsed() -> list[Language]:
-    out, scripts = [], ()
-    for line in _LANGUAGES.split("\n"):
-        if line and line.split(",")[0] in ALPHABETS:
-            scripts = tuple(line.split(","))
-            continue
-        for entry in filter(None, map(str.strip, line.split(";"))):
-            name, iso, iso3, *more = entry.split(" ")
-            out.append(Language(len(out), name, iso, iso3, tuple(more[0].split(",")) if more else (), scripts))
-    return out
-
-
-LANGUAGES = _parsed()
+LANGUAGES = [Language(i, name, iso, iso3, tuple(aliases.split()), tuple(scripts.split())) for i, (name, iso, iso3, aliases, scripts) in enumerate(_ROWS)]
 BY_ISO = {x.iso: x for x in LANGUAGES}
 _BY_NAME = {n.lower(): x for x in reversed(LANGUAGES) for n in (*x.aliases, x.iso3, x.iso, x.name)}
 

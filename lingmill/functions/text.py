@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,14 +18,25 @@ EASY = "^[a-z]+$"
 
 
 def letters(alphabet: str, dialect: str = "java") -> str:
-    """Inside of a character class with the letters of a script. dialect: java or re2."""
-    return "".join(rf"\p{{{'Is' if dialect == 'java' else ''}{s}}}" for s in ALPHABETS[alphabet][1])
+    """Inside of a character class with the letters of a script. dialect: java or re2.
+
+    In Java's, ASCII characters are told by their range, and only others by their script, which is slow to look up.
+    """
+    scripts = "".join(rf"\p{{{'Is' if dialect == 'java' else ''}{s}}}" for s in ALPHABETS[alphabet][1])
+    if dialect != "java":
+        return scripts
+    return ("a-zA-Z" if alphabet == "LATIN" else "") + rf"[[^\x00-\x7F]&&[{scripts}]]"
 
 
 def word_pattern(alphabets: list[str], dialect: str = "java", digit: str = "0-9") -> str:
-    """A run of letters of one script, with digits anywhere and single apostrophes after a letter or digit."""
-    keep = "+" if dialect == "java" else ""
-    branches = [f"[{digit}]*[{c}][{c}{digit}]*(?:[{APOSTROPHES}][{digit}]*[{c}][{c}{digit}]*)*{keep}(?:[{APOSTROPHES}][{digit}]*)?" for c in (letters(a, dialect) for a in alphabets)]
+    """A run of letters of one script, with digits anywhere and single apostrophes after a letter or digit.
+
+    In Java's, digits before the first letter are looked at from the first of them only, so that long numbers take linear time.
+    """
+    java = dialect == "java"
+    keep = "+" if java else ""
+    lead = rf"(?:(?<![{digit}])[{digit}]++)?+" if java else f"[{digit}]*"
+    branches = [f"{lead}[{c}][{c}{digit}]*{keep}(?:[{APOSTROPHES}][{digit}]*[{c}][{c}{digit}]*{keep})*{keep}(?:[{APOSTROPHES}][{digit}]*{keep})?" for c in (letters(a, dialect) for a in alphabets)]
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
@@ -83,38 +94,57 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
-#: Letters whose plain form doesn't follow from their decomposition or name.
-ODD_LETTERS = {
-    "ɐ": "a", "ɑ": "a", "ɒ": "a", "ꞵ": "b", "ↄ": "c", "ð": "d", "ǝ": "e", "ə": "e", "ᵊ": "e", "ɛ": "e", "ɜ": "e", "ɞ": "e", "ɤ": "e", "ⅎ": "f", "ɣ": "g", "ˠ": "g", "ƣ": "g",
-    "ƕ": "h", "ɥ": "u", "ɩ": "i", "ı": "i", "ʄ": "j", "ȷ": "j", "ʞ": "k", "ƛ": "l", "ʎ": "l", "ŋ": "n", "ᵑ": "n", "ɔ": "o", "ᵓ": "o", "ᖗ": "o", "ᴖ": "o", "ᴗ": "o", "ɷ": "o", "ȣ": "ou",
-    "ɸ": "p", "ⱷ": "p", "ĸ": "q", "ɹ": "r", "ɺ": "r", "ɻ": "r", "ʁ": "r", "ſ": "s", "ʃ": "s", "ß": "ss", "ﬆ": "st", "ʨ": "t", "ʦ": "t", "ʇ": "t", "ʧ": "tf", "ɯ": "u", "ɰ": "u", "ʊ": "u", "ʌ": "v", "ʍ": "w", "ȝ": "y",
-}
-ODD_LETTERS.pop("ᖗ")
-#: Ranges that hold Latin letters.
-LATIN_RANGES = ((0xAA, 0x2AF), (0x2B0, 0x2E4), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2071, 0x209C), (0x2170, 0x2184), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF41, 0xFF5A))
+#: Plain form -> the accented, modified and joined small letters that become it; a letter under two forms takes the last.
+PLAIN_LETTERS = {
+    "a": "ａªᵃₐáàăắằẵẳâấầẫẩǎåǻäǟãȧąāảȁȃạặậḁᴀⱥɐɑɒ",
+    "ae": "æǽǣ",
+    "b": "ｂḃḅḇʙƀɓƃꞵ",
+    "c": "ｃᶜćĉčċçḉᴄȼꞓɕↄ",
+    "d": "ｄďḋḑđḍḓḏðʤᴅɖɗ",
+    "e": "ｅᵉᴱéèĕêếềễểěëẽėȩḝęēḗḕẻȅȇẹệḛᴇɇǝəᵊɛɘɚɜɝɞɤ",
+    "f": "ｆḟƒⅎ",
+    "ff": "ﬀ",
+    "fi": "ﬁ",
+    "ffi": "ﬃ",
+    "fl": "ﬂ",
+    "g": "ｇǵğĝǧġģḡᵹɡɢǥɠɣˠƣ",
+    "h": "ｈʰĥȟḧḣḩħḥḫẖʜƕɦʱɧ",
+    "i": "ｉⅰⁱᵢíìĭîǐïḯĩįīỉȉȋịḭıɪᴉɨᵻɩ",
+    "ii": "ⅱ",
+    "iii": "ⅲ",
+    "ij": "ĳ",
+    "iv": "ⅳ",
+    "j": "ｊʲĵǰȷᴊʝɟʄ",
+    "k": "ｋḱǩķḳḵƙⱪꝃʞ",
+    "l": "ｌˡĺľļłḷḹḻŀʟƚⱡɫɬɭɮƛʎ",
+    "m": "ᵐᴹḿṁṃᴍɱ",
+    "n": "ｎⁿńǹňñṅņṇṋṉɴᵰɲƞꞑᶇɳŋᵑ",
+    "o": "ｏºᵒóòŏôốồỗổǒöȫőõȭȯøǿǫǭōṓṑỏȍȏơớờỡởợọộᴏɔᵓᴖᴗɵɷⱷ",
+    "oe": "œɶ",
+    "oo": "ꝏ",
+    "ou": "ȣ",
+    "p": "ｐṕṗᴘƥɸⱷ",
+    "q": "ꝗĸ",
+    "r": "ｒʳŕřṙŗȓṛṝṟꝛʀɍɹᴚɺɻɼɽɾɿʁ",
+    "s": "ｓśṥŝšṧṡşṣșſꜱʂʃ",
+    "ss": "ß",
+    "st": "ﬆ",
+    "t": "ｔᵀťẗṫţṭțṱṯʨʦᴛŧƭʈȶʇ",
+    "tf": "ʧ",
+    "u": "ｕᵘúùŭûǔůüǘǜǚǖűũųūṻủȕȗưứừữửựụṳṷṵʉɥɯɰʊ",
+    "v": "ｖⅴᵛṽṿᴠʋⱱʌ",
+    "vi": "ⅵ",
+    "vii": "ⅶ",
+    "w": "ｗʷẃẁŵẅʍ",
+    "x": "ｘⅹₓẍẋꭓ",
+    "y": "ｙʸýỳŷÿỹẏȳỷỵʏɏƴỿȝ",
+    "z": "źẑžżẓẕᴢƶȥʐʑ",
+}
 
 
 def accent_map() -> dict[str, str]:
-    """Accented, modified and joined small Latin letters -> plain letters, from Unicode decompositions and names."""
-    out = {}
-    for lo, hi in LATIN_RANGES:
-        for c in map(chr, range(lo, hi + 1)):
-            name = unicodedata.name(c, "")
-            if not name or unicodedata.category(c) in ("Lu", "Lt") or c.lower() != c:
-                continue
-            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            if plain.isascii() and plain.isalpha() and plain.islower():
-                out[c] = plain
-                continue
-            words = name.split()
-            for head in (["LATIN", "SMALL", "LETTER"], ["LATIN", "LETTER", "SMALL", "CAPITAL"], ["LATIN", "SMALL", "LIGATURE"], ["MODIFIER", "LETTER", "SMALL"]):
-                rest = words[len(head) :]
-                if words[: len(head)] == head and rest:
-                    letter = next((w for w in rest if w not in ("REVERSED", "TURNED", "OPEN", "CLOSED", "DOTLESS", "BARRED", "SIDEWAYS", "MIDDLE", "TOP", "BOTTOM", "HALF")), "")
-                    if len(letter) == 1 or letter in ("AE", "OE", "OO", "IJ"):
-                        out[c] = letter.lower()
-                    break
-    return out | ODD_LETTERS
+    """letter -> plain form."""
+    return {c: plain for plain, letters in PLAIN_LETTERS.items() for c in letters}
 
 
 def remove_accents(text: Column) -> Column:
@@ -128,60 +158,34 @@ def remove_accents(text: Column) -> Column:
     return F.when(text.rlike("[^\\x00-\\x7F]"), out).otherwise(text)
 
 
+#: What markup begins with: a table row at the start of a line, something nested, a tag, an entity, an address that goes on after its slashes.
+MARKUP = re.compile(r"(?m)^\|[^\n]*|(?P<nested>\[\[|\{\{|\{\|)|<[^>\n]*>?|&[A-Za-z]+;|https?://(?=[\s\S])[^\x00-\x20\]]*")
+CLOSERS = {"[[": "]]", "{{": "}}", "{|": "|}"}
+NESTED = {a: re.compile(f"{re.escape(a)}|{re.escape(b)}") for a, b in CLOSERS.items()}
+
+
 def strip_markup(text: str) -> str:
-    """Wiki markup removed in one pass: table rows, links, templates, tables, tags, entities, addresses."""
-    if text is None:
-        return None
-    out, i, n, at_line_start = [], 0, len(text), True
-    pairs = (("[[", "]]"), ("{{", "}}"), ("{|", "|}"))
-    while i < n:
-        c = text[i]
-        if at_line_start and c == "|":
-            end = text.find("\n", i)
-            i = n if end < 0 else end
-            continue
-        opened = next((p for p in pairs if text.startswith(p[0], i)), None)
-        if opened:
-            i = _after_nested(text, i, *opened)
-            at_line_start = False
-            continue
-        if c == "<":
-            stops = [x for x in (text.find(">", i), text.find("\n", i)) if x >= 0]
-            i = n if not stops else min(stops) + (text[min(stops)] == ">")
-            at_line_start = False
-            continue
-        if c == "&":
-            j = i + 1
-            while j < n and text[j].isalpha():
-                j += 1
-            if j < n and j > i + 1 and text[j] == ";":
-                i = j + 1
-                at_line_start = False
-                continue
-        if c == "h":
-            head = next((h for h in ("http://", "https://") if text.startswith(h, i)), None)
-            if head and i + 7 < n:
-                while i < n and text[i] > " " and text[i] != "]":
-                    i += 1
-                at_line_start = False
-                continue
-        out.append(c)
-        at_line_start = c == "\n"
-        i += 1
-    return "".join(out)
-
-
-def _after_nested(text: str, i: int, opening: str, closing: str) -> int:
-    depth = 0
-    while i < len(text):
-        if text.startswith(opening, i):
-            depth, i = depth + 1, i + 2
-        elif text.startswith(closing, i):
-            depth, i = depth - 1, i + 2
-            if not depth:
-                return i
+    """text without wiki markup: table rows (but not their line breaks), links, templates, tables, tags, entities, addresses.
+
+    What is nested goes with all that it holds; if it is never closed, so does the rest of the text.
+    """
+    kept, pos = [], 0
+    while found := MARKUP.search(text, pos):
+        kept.append(text[pos : found.start()])
+        pos = _closed(text, found["nested"], found.end()) if found["nested"] else found.end()
+    return "".join([*kept, text[pos:]])
+
+
+def _closed(text: str, opener: str, pos: int) -> int:
+    """Where what was opened before pos ends."""
+    stack = [opener]
+    for bracket in NESTED[opener].finditer(text, pos):
+        if bracket[0] == opener:
+            stack.append(opener)
         else:
-            i += 1
+            stack.pop()
+        if not stack:
+            return bracket.end()
     return len(text)
 
 

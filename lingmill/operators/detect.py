@@ -1,17 +1,23 @@
-"""Detection: words of texts are scored against a model's tables, each distinct word once, and the evidence added up."""
+"""Detection: words of texts are scored against a model's tables, and what they say is added up and decided.
+
+Two ways lead to the same arrays of evidence (scoring.Layout). A model that fits is sent to every worker, and texts are scored where they
+are read: no exchange, whatever the number of texts (scoring). A larger one is joined: each distinct word of the table is scored
+once and has one row, with a sparse array of all that it says; words of texts are joined to these, and one exchange by text adds up.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions import text as T
-from . import train
+from . import scoring, train
 from .model import Model
+from .scoring import Layout
 
 UNKNOWN = catalog.UNKNOWN
 
@@ -29,22 +35,21 @@ class Params:
         return 1 <= self.min_ngram <= self.stop <= self.max_ngram <= model_max
 
 
-#: A lookup table is broadcast only if it was counted and has at most this many rows.
-LOOKUP_ROWS = 1_000_000
-SUMS = ("ng_u", "ng_hits", "tw_u", "tw_hits")
+#: A lookup table with at most so many entries is broadcast to the joins; others are shuffled.
+BROADCAST_ENTRIES = 1_000_000
 #: Probes of a word other than its n-grams: the word, its two parts at an apostrophe, and one that finds nothing, so that each word has a row.
 WHOLE, PREFIX, SUFFIX, MARK = 0, -1, -2, -9
-_held: list[DataFrame] = []
 
 
 def words_of(texts: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, script, word, cnt."""
-    chunk = texts.select(*keys, F.explode(T.chunks(F.col(text_col), model.alphabets)).alias("c")).withColumn("script", T.script_of(F.col("c"), model.alphabets))
+    piece = texts.select(*keys, F.explode(T.chunks(F.col(text_col), model.alphabets)).alias("c")).groupBy(*keys, "c").agg(F.count("*").alias("cnt"))
+    piece = piece.withColumn("script", T.script_of(F.col("c"), model.alphabets))
     if set(model.alphabets) & set(catalog.CJ_ALPHABETS):
-        words = chunk.select(*keys, "script", F.explode(T.detection_words(F.col("c"), F.col("script"))).alias("word"))
+        words = piece.select(*keys, "script", F.explode(T.detection_words(F.col("c"), F.col("script"))).alias("word"), "cnt")
     else:
-        words = chunk.filter((F.col("script") != "LATIN") | ~F.col("c").rlike("[0-9]")).select(*keys, "script", T.plain_word(F.col("c")).alias("word"))
-    return words.groupBy(*keys, "script", "word").agg(F.count("*").alias("cnt"))
+        words = piece.filter((F.col("script") != "LATIN") | ~F.col("c").rlike("[0-9]")).select(*keys, "script", T.plain_word(F.col("c")).alias("word"), "cnt")
+    return words.groupBy(*keys, "script", "word").agg(F.sum("cnt").alias("cnt"))
 
 
 def _probes(model: Model, params: Params, tops: DataFrame | None, single) -> tuple:
@@ -67,6 +72,10 @@ def _probes(model: Model, params: Params, tops: DataFrame | None, single) -> tup
     return F.concat(*all_), tried, both
 
 
+def _table(model: Model, table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if model.entries <= BROADCAST_ENTRIES else table
+
+
 def _scored(words: DataFrame, model: Model, params: Params) -> DataFrame:
     """script, word, lang, ng_u, ng_hits, tw_u, tw_hits, lookups for the distinct words: a row for each language that has evidence,
     and one without a language for every word that counts. Skipwords don't, unless their script has one language only.
@@ -75,7 +84,8 @@ def _scored(words: DataFrame, model: Model, params: Params) -> DataFrame:
     the partitions that making them distinct gave them, and nothing is shuffled again.
     """
     tops = model.topwords if params.topwords else None
-    single = F.col("script").isin(list(model.unique) or [""])
+    alone = [a for a, one in zip(model.alphabets, model.facts.single, strict=True) if one >= 0 or (model.has_cj and a in catalog.CJ_ALPHABETS)]
+    single = F.col("script").isin(alone or [""])
     counted = words.select("script", "word").distinct()
     if tops is not None:
         skips = F.broadcast(model.skipwords.withColumn("_skip", F.lit(True)))
@@ -84,114 +94,117 @@ def _scored(words: DataFrame, model: Model, params: Params) -> DataFrame:
     table = model.ngrams.select(F.col("n").cast("int").alias("_k"), "gram", "langs")
     if tops is not None:
         table = table.union(tops.select(F.lit(WHOLE).alias("_k"), "word", "langs"))
-    if model.rows <= LOOKUP_ROWS:
-        table = F.broadcast(table)
     each = counted.select("script", "word", F.explode(asked).alias("p")).select("script", "word", "p.n", "p.gram", F.greatest("p.n", F.lit(WHOLE)).alias("_k"))
-    hits = each.join(table, ["_k", "gram"], "left").select("script", "word", "n", F.explode_outer("langs").alias("l"))
+    hits = each.join(_table(model, table), ["_k", "gram"], "left").select("script", "word", "n", F.explode_outer("langs").alias("l"))
     kinds = [WHOLE, PREFIX, SUFFIX, *range(params.min_ngram, params.max_ngram + 1)]
     u, h = (lambda k: F.col(f"u{k}"), lambda k: F.col(f"h{k}"))
     zero = F.lit(0).cast("long")
     sums = [F.coalesce(F.sum(F.when(F.col("n") == k, F.col("l.u"))), zero).alias(f"u{k}") for k in kinds] + [F.count(F.when(F.col("n") == k, 1)).alias(f"h{k}") for k in kinds]
     rows = hits.groupBy("script", "word", "l.lang").agg(*sums)
-    per = W.partitionBy("script", "word")
-    lacks = {f"m{k}": F.max(F.when(F.col("lang").isNull(), h(k))).over(per) for k in kinds if WHOLE <= k <= params.stop}
-    rows = rows.withColumns(lacks)
-    least = F.lit(params.min_ngram)
+    # a word's languages are few: they are gathered in its row, and what holds for the word is told to all of them there
+    lacks = [F.coalesce(F.max(F.when(F.col("lang").isNull(), h(k))), zero).alias(f"m{k}") for k in kinds if WHOLE <= k <= params.stop]
+    rows = rows.groupBy("script", "word").agg(F.collect_list(F.struct("lang", *[f"u{k}" for k in kinds], *[f"h{k}" for k in kinds])).alias("_l"), *lacks)
     covered = [F.when((F.col(f"m{k}") == 0) & (F.length("word") >= k), k) for k in range(params.min_ngram, params.stop + 1)]
-    from_ = F.coalesce(*reversed(covered), least)
     hit = tried & (F.col(f"m{WHOLE}") == 0)
+    rows = rows.withColumns({"_from": F.coalesce(*reversed(covered), F.lit(params.min_ngram)), "_hit": hit}).select("script", "word", "_from", "_hit", F.explode("_l").alias("l")).select("script", "word", "_from", "_hit", "l.*")
     over = lambda col: sum((F.when(F.col("_from") <= k, col(k)).otherwise(zero) for k in kinds if k > WHOLE), zero)
-    rows = rows.withColumns({"_from": from_, "_hit": hit})
     top = lambda col: F.when(F.col("_hit"), col(WHOLE)).otherwise(col(PREFIX) + col(SUFFIX))
     lookups = (tried.cast("long") + (both & ~F.col("_hit")).cast("long")).alias("lookups")
     out = rows.select("script", "word", "lang", over(u).alias("ng_u"), over(h).alias("ng_hits"), top(u).alias("tw_u"), top(h).alias("tw_hits"), lookups)
     return out.filter(F.col("lang").isNull() | (F.col("ng_hits") > 0) | (F.col("tw_hits") > 0))
 
 
-def score_words(words: DataFrame, model: Model, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+def score_words(words: DataFrame, model: Model, params: Params | None = None) -> tuple[DataFrame, DataFrame]:
     """For the distinct words (script, word): a row for each language that has evidence (ng_u, ng_hits, tw_u, tw_hits), and
     a row a word that counts (script, word, lookups)."""
-    rows = _scored(words, model, params)
+    rows = _scored(words, model, params or Params())
     return rows.filter("lang IS NOT NULL").drop("lookups"), rows.filter("lang IS NULL").select("script", "word", "lookups")
 
 
-def evidence(texts: DataFrame, model: Model, keys: list[str], params: Params = Params(), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What adds up: (keys, lang, ng_u, ng_hits, tw_u, tw_hits) and (keys, script, chars, words, lookups).
-
-    Both come from one table with a row for each text, script and language, which is persisted so that texts are split
-    into words once; release() lets go of it.
-    """
+def _place(values: list[str], column: str):
+    """The number of a value in a fixed list."""
+    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)) - 1
+
+
+def _said(words: DataFrame, model: Model, params: Params) -> DataFrame:
+    """script, word, ev: for each distinct word that counts, what it says as (place in the array of evidence, value) pairs."""
+    at, script = Layout(model.facts), _place(model.alphabets, "script")
+    item = lambda place, value: F.struct(place.cast("int").alias("at"), value.cast("long").alias("v"))
+    lang = _place(model.languages, "lang")
+    by_lang = [item(lang + getattr(at, c).start, F.col(c)) for c in ("ng_u", "ng_hits", "tw_u", "tw_hits")]
+    by_script = [item(script + at.chars.start, F.length("word")), item(script + at.words.start, F.lit(1)), item(script + at.lookups.start, F.col("lookups"))]
+    rows = _scored(words, model, params).select("script", "word", F.when(F.col("lang").isNull(), F.array(*by_script)).otherwise(F.array(*by_lang)).alias("e"))
+    if model.has_cj:
+        own = words.filter(F.col("script").isin(*catalog.CJ_ALPHABETS)).select("script", "word").distinct()
+        size = F.length("word")
+        tiles = F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.col("word").substr(i, F.lit(n)).alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>")) for n in (1, 2)]))
+        cj = own.select("script", "word", F.explode(tiles).alias("p")).select("script", "word", "p.*").join(_table(model, model.cj), ["n", "gram"]).select("script", "word", "n", F.explode("langs").alias("l"))
+        c, one = _place([model.languages[i] for i in model.facts.cj], "lang"), F.col("n") == 1
+        cj = cj.groupBy("script", "word", "n", F.col("l.lang").alias("lang")).agg(F.sum("l.u").alias("u"), F.count("*").alias("h"))
+        cj = cj.select("script", "word", F.array(item(c + F.when(one, at.uni_u.start).otherwise(at.bi_u.start), F.col("u")), item(c + F.when(one, at.uni_hits.start).otherwise(at.bi_hits.start), F.col("h"))).alias("e"))
+        rows = rows.union(cj).union(own.select("script", "word", F.array(item(F.lit(at.grams.start), size), item(F.lit(at.grams.start + 1), size - 1))))
+    return rows.groupBy("script", "word").agg(F.flatten(F.collect_list("e")).alias("e"))  # at most a few entries for each language
+
+
+def joined(texts: DataFrame, model: Model, keys: list[str], params: Params, text_col: str = "text") -> DataFrame:
+    """keys, ev of the texts that have words, for a model of any size."""
     words = words_of(texts, model, keys, text_col)
-    every = words.join(_scored(words, model, params), ["script", "word"])
-    sums = [F.sum(F.col(c) * F.col("cnt")).alias(c) for c in SUMS]
-    counts = [F.sum(F.length("word") * F.col("cnt")).alias("chars"), F.sum("cnt").alias("words"), F.sum(F.col("lookups") * F.col("cnt")).alias("lookups")]
-    held = every.groupBy(*keys, "script", "lang").agg(*sums, *counts).persist()
-    _held.append(held)
-    scores = held.filter("lang IS NOT NULL").groupBy(*keys, "lang").agg(*[F.sum(c).alias(c) for c in SUMS])
-    return scores, held.filter("lang IS NULL").select(*keys, "script", "chars", "words", "lookups")
-
-
-def release() -> None:
-    """Unpersist the evidence of all detections so far; what still needs it is worked out again."""
-    while _held:
-        _held.pop().unpersist()
-
-
-def _script_table(model: Model) -> DataFrame:
-    spark = model.ngrams.sparkSession
-    rows = [(a, i, catalog.ALPHABETS[a][0], "CJ" if model.has_cj and a in catalog.CJ_ALPHABETS else a, model.unique.get(a)) for i, a in enumerate(model.alphabets)]
-    return F.broadcast(spark.createDataFrame(rows, "script string, alpha_ord int, weight double, grp string, only_lang string"))
-
-
-def _languages(model: Model, boosts: dict[str, float] | None) -> DataFrame:
-    rows = [(x, i, float((boosts or {}).get(x, 0.0))) for i, x in enumerate(model.languages)]
-    return F.broadcast(model.ngrams.sparkSession.createDataFrame(rows, "lang string, lang_ord int, boost double"))
-
-
-def _users(model: Model) -> DataFrame:
-    rows = [(a, x) for a in model.alphabets for x in model.users(a)]
-    return F.broadcast(model.ngrams.sparkSession.createDataFrame(rows, "pred string, lang string"))
-
-
-def profile_of(profile: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys, num_words, num_chars, num_lookups, pred (the script of most weighted characters), only_lang (if it has just one)."""
-    p = profile.join(_script_table(model), "script")
-    groups = p.groupBy(*keys, "grp").agg(F.sum(F.col("chars") * F.col("weight")).alias("w"), F.min(F.struct("alpha_ord", "script", "only_lang")).alias("s"), F.sum("words").alias("words"), F.sum("chars").alias("chars"), F.sum("lookups").alias("lookups"))
-    best = F.max(F.struct(F.col("w"), -F.col("s.alpha_ord").alias("o"), F.col("s.script").alias("script"), F.col("s.only_lang").alias("only_lang")))
-    return groups.groupBy(*keys).agg(F.sum("words").alias("num_words"), F.sum("chars").alias("num_chars"), F.sum("lookups").alias("num_lookups"), best.alias("b")).select(*keys, "num_words", "num_chars", "num_lookups", F.col("b.script").alias("pred"), F.col("b.only_lang").alias("only_lang"))
-
-
-def totals(scores: DataFrame, profile: DataFrame, model: Model, keys: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
-    """keys, lang, total and what it is made of, for every language of the model and every text that has words."""
-    dense = profile.select(*keys, "num_lookups").crossJoin(_languages(model, boosts))  # languages are a small fixed table
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = dense.join(scores, [*keys, "lang"], "left").withColumns({c: zero(c) for c in ("ng_u", "ng_hits", "tw_u", "tw_hits")})
-    per = W.partitionBy(*keys)
-    rows = rows.withColumns({"ng_max": F.max("ng_hits").over(per), "tw_max": F.max("tw_hits").over(per)})
-    ng = (F.col("ng_u") + (F.col("ng_max") - F.col("ng_hits")) * F.lit(model.floor_u)) / 1e6
-    ng = F.when(F.col("ng_max") > 0, ng / F.col("ng_max")).otherwise(ng)
-    tw = F.when(F.col("tw_max") > 0, (F.col("tw_u") + (F.col("tw_max") - F.col("tw_hits")) * F.lit(model.tw_floor_u)) / 1e6 / F.col("tw_max")).otherwise(0.0)
-    r = F.when(F.col("num_lookups") > 0, F.col("tw_max") / F.col("num_lookups")).otherwise(0.0)
-    f = F.when(r < 0.5, r * 0.5).otherwise(r * 0.8)
-    rows = rows.withColumns({"ng": ng, "tw": tw, "f": f})
-    blended = F.when(F.col("f") == 0, F.col("ng")).otherwise(F.col("ng") * (1 - F.col("f")) + F.col("tw") * F.col("f"))
-    return rows.withColumn("total", blended).withColumn("total", F.col("total") + F.col("boost") * F.abs("total"))
-
-
-def decide(scores: DataFrame, profile: DataFrame, model: Model, keys: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
-    """keys, detected, gap, num_words, num_chars, num_lookups, pred for texts that have words."""
-    prof = profile_of(profile, model, keys)
-    multi = prof.filter("only_lang IS NULL")
-    rows = totals(scores, multi, model, keys, boosts).join(multi.select(*keys, "pred"), keys).join(_users(model), ["pred", "lang"])
-    top = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "lang_ord", "lang")))
-    best = rows.groupBy(*keys).agg(F.slice(top, 1, 2).alias("top"))  # at most a row for each language of the model
-    best = best.select(*keys, (-F.col("top")[0]["t"]).alias("t1"), F.when(F.size("top") > 1, -F.get("top", F.lit(1))["t"]).alias("t2"), F.col("top")[0]["lang"].alias("lang"))
-    out = prof.join(best, keys, "left")
-    none = F.coalesce(F.col("t1") == 0, F.lit(True))
-    gap = F.when(F.coalesce(F.col("t2"), F.lit(0.0)) == 0, 0.0).otherwise(1 - F.col("t1") / F.col("t2"))
-    detected = F.when(F.col("only_lang").isNotNull(), F.col("only_lang")).when(none, UNKNOWN).otherwise(F.col("lang"))
-    gap = F.when(F.col("only_lang").isNotNull(), 1.0).when(none, 0.0).otherwise(F.round(gap, 6))
-    return out.select(*keys, detected.alias("detected"), gap.alias("gap"), "num_words", "num_chars", "num_lookups", "pred")
+    every = words.join(_said(words, model, params), ["script", "word"]).select(*keys, "cnt", F.explode("e").alias("e"))
+    return _arrays(every.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum(F.col("e.v") * F.col("cnt")).alias("v")), keys, Layout(model.facts).width)
+
+
+def _arrays(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """keys, ev from rows(keys, at, v), which are at most `width` a key."""
+    held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("ev"))
+
+
+def _fields(df: DataFrame, columns: list[str], more: str) -> str:
+    return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns] + [more])
+
+
+def evidence(texts: DataFrame, model: Model, keys: list[str], params: Params | None = None, text_col: str = "text") -> DataFrame:
+    """keys, ev of each text that has words; texts with the same keys have a row each if the model fits, else one for all."""
+    params = params or Params()
+    if not model.fits:
+        return joined(texts, model, keys, params, text_col)
+    shared, at = model.sent(params), Layout(model.facts)
+
+    def run(batches):
+        pieces = scoring.pieces_of(shared)
+        for b in batches:
+            ev = pieces.sums(b.column(b.num_columns - 1).to_pylist())
+            some = pa.array(ev[:, at.words].sum(axis=1) > 0)
+            out = pa.RecordBatch.from_arrays([*b.columns[:-1], scoring.lists(ev)], names=[*keys, "ev"])
+            yield out.filter(some)
+
+    rows = texts.select(*keys, F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(run, _fields(rows, keys, "ev array<long>"))
+
+
+def added(ev: DataFrame, keys: list[str], model: Model) -> DataFrame:
+    """The evidence of parts, added up to that of their keys."""
+    width = Layout(model.facts).width
+    if width <= 64:
+        return ev.groupBy(*keys).agg(F.array(*[F.sum(F.col("ev")[i]) for i in range(width)]).alias("ev"))
+    rows = ev.select(*keys, F.posexplode("ev").alias("at", "v")).filter("v <> 0").groupBy(*keys, "at").agg(F.sum("v").alias("v"))
+    return _arrays(rows, keys, width)
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.withColumn("gap", F.round("gap", 6))
+
+
+def decide(ev: DataFrame, model: Model, keys: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
+    """keys, detected, gap, num_words, num_chars, num_lookups, pred of rows(keys, ev)."""
+    facts, width = model.facts, Layout(model.facts).width
+
+    def run(batches):
+        for b in batches:
+            found = scoring.decided(scoring.unlisted(b.column(b.num_columns - 1), width), facts, boosts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *scoring.arrays(found)], names=[*keys, *found])
+
+    return _rounded(ev.select(*keys, "ev").mapInArrow(run, _fields(ev, keys, scoring.RESULT)))
 
 
 def complete(texts: DataFrame, found: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -201,24 +214,52 @@ def complete(texts: DataFrame, found: DataFrame, keys: list[str], keep: list[str
     return texts.select(*keys, *(keep or [])).join(found, keys, "left").withColumns(fill)
 
 
-def detect(texts: DataFrame, model: Model, keys: list[str], params: Params = Params(), boosts: dict[str, float] | None = None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """A row for each text: keys, kept columns, detected, gap, num_words, num_chars, num_lookups, pred."""
+def _check(params: Params, model: Model) -> None:
     if not params.valid(model.max_ngram):
         raise ValueError(f"{params} doesn't fit a model of n-grams up to {model.max_ngram}")
-    scores, profile = evidence(texts, model, keys, params, text_col)
-    return complete(texts, decide(scores, profile, model, keys, boosts), keys, keep)
 
 
-def detect_scores(texts: DataFrame, model: Model, keys: list[str], params: Params = Params(), boosts: dict[str, float] | None = None, text_col: str = "text") -> DataFrame:
+def detect(texts: DataFrame, model: Model, keys: list[str], params: Params | None = None, boosts: dict[str, float] | None = None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """A row for each text: keys, kept columns, detected, gap, num_words, num_chars, num_lookups, pred. A model that doesn't fit
+    needs keys that tell texts apart."""
+    params = params or Params()
+    _check(params, model)
+    if not model.fits:
+        return complete(texts, decide(joined(texts, model, keys, params, text_col), model, keys, boosts), keys, keep)
+    shared, facts, columns = model.sent(params), model.facts, [*keys, *(keep or [])]
+
+    def run(batches):
+        pieces = scoring.pieces_of(shared)
+        for b in batches:
+            found = scoring.decided(pieces.sums(b.column(b.num_columns - 1).to_pylist()), facts, boosts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *scoring.arrays(found)], names=[*columns, *found])
+
+    rows = texts.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    return _rounded(rows.mapInArrow(run, _fields(rows, columns, scoring.RESULT)))
+
+
+def detect_scores(texts: DataFrame, model: Model, keys: list[str], params: Params | None = None, boosts: dict[str, float] | None = None, text_col: str = "text") -> DataFrame:
     """A row for each text with words and language: total, and the n-gram and topword evidence."""
-    scores, profile = evidence(texts, model, keys, params, text_col)
-    rows = totals(scores, profile_of(profile, model, keys), model, keys, boosts)
-    return rows.select(*keys, "lang", F.round("total", 6).alias("total"), "ng_u", "ng_hits", "tw_u", "tw_hits", "num_lookups")
+    params = params or Params()
+    _check(params, model)
+    facts, at = model.facts, Layout(model.facts)
+    ev = evidence(texts, model, keys, params, text_col)
+
+    def run(batches):
+        for b in batches:
+            total = scoring.totals(scoring.unlisted(b.column(b.num_columns - 1), at.width), facts, boosts)
+            yield pa.RecordBatch.from_arrays([*b.columns, scoring.lists(total)], names=[*keys, "ev", "total"])
+
+    rows = ev.select(*keys, "ev").mapInArrow(run, _fields(ev, keys, "ev array<long>, total array<double>"))
+    lookups = sum((F.col("ev")[i] for i in range(at.lookups.start, at.lookups.stop)), F.lit(0))
+    own = lambda i, c: F.col("ev")[getattr(at, c).start + i].alias(c)
+    each = F.array(*[F.struct(F.lit(x).alias("lang"), F.round(F.col("total")[i], 6).alias("total"), *[own(i, c) for c in ("ng_u", "ng_hits", "tw_u", "tw_hits")]) for i, x in enumerate(facts.languages)])
+    return rows.select(*keys, F.explode(each).alias("s"), lookups.alias("num_lookups")).select(*keys, "s.*", "num_lookups")
 
 
 def score_string(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """All scores of a text in one string, best first."""
+    """All scores of a text in one string, best first; and the best one's share of each other, short."""
     e = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "lang")))
-    text = F.array_join(F.transform(e, lambda x: F.concat(x["lang"], F.lit("="), F.format_string("%.3f", -x["t"]))), " ")
-    return scores.groupBy(*keys).agg(text.alias("scores"))
-
+    text = F.array_join(F.transform("e", lambda x: F.concat(x["lang"], F.lit("="), F.format_string("%.3f", -x["t"]))), " ")
+    share = F.array_join(F.transform("e", lambda x: F.concat(x["lang"], F.lit("="), F.format_string("%.3f", F.when(x["t"] == 0, 0.0).otherwise(F.col("e")[0]["t"] / x["t"])))), " ")
+    return scores.groupBy(*keys).agg(e.alias("e")).select(*keys, text.alias("scores"), share.alias("ratios"))  # a row for each language

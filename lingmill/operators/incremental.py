@@ -6,39 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .detect import Params, complete, decide, evidence
+from .detect import Params, added, complete, decide, evidence
 from .model import Model
+from .scoring import Layout
 
-SUMS = ("ng_u", "ng_hits", "tw_u", "tw_hits")
-COUNTS = ("chars", "words", "lookups")
 
-
-def merge(scores: DataFrame, profile: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Evidence of parts added up to that of their keys."""
-    return (
-        scores.groupBy(*keys, "lang").agg(*[F.sum(c).alias(c) for c in SUMS]),
-        profile.groupBy(*keys, "script").agg(*[F.sum(c).alias(c) for c in COUNTS]),
-    )
-
-
-def detect_merged(parts: DataFrame, model: Model, keys: list[str], part: str, params: Params = Params(), boosts: dict | None = None) -> DataFrame:
+def detect_merged(parts: DataFrame, model: Model, keys: list[str], part: str, params: Params | None = None, boosts: dict | None = None) -> DataFrame:
     """A row for each key, from all its parts."""
-    scores, profile = merge(*evidence(parts, model, [*keys, part], params), keys)
-    return complete(parts.select(*keys).distinct(), decide(scores, profile, model, keys, boosts), keys)
-
-
-def detect_running(parts: DataFrame, model: Model, keys: list[str], part: str, params: Params = Params(), boosts: dict | None = None) -> DataFrame:
-    """A row for each part: the result from all parts of its key so far, as if asked again after each."""
-    scores, profile = evidence(parts, model, [*keys, part], params)
-    steps = parts.select(*keys, part).distinct()
-    key = [*keys, part]
-
-    def running(rows: DataFrame, by: str, columns: tuple) -> DataFrame:
-        seen = rows.select(*keys, by).distinct()
-        grid = steps.join(seen, keys).join(rows, [*key, by], "left")
-        so_far = W.partitionBy(*keys, by).orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return grid.select(*key, by, *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(so_far).alias(c) for c in columns])
-
-    scores = running(scores, "lang", SUMS).filter("ng_hits > 0 OR tw_hits > 0")
-    profile = running(profile, "script", COUNTS).filter("words > 0")
-    return complete(steps, decide(scores, profile, model, key, boosts), key)
+    ev = added(evidence(parts, model, [*keys, part], params), keys, model)
+    return complete(parts.select(*keys).distinct(), decide(ev, model, keys, boosts), keys)
+
+
+def detect_running(parts: DataFrame, model: Model, keys: list[str], part: str, params: Params | None = None, boosts: dict | None = None) -> DataFrame:
+    """A row for each part: the result from all parts of its key so far, as if asked again after each. A part has one narrow row, whatever
+    its languages; parts of a key are summed in their order, so in one task, which spills if they are many."""
+    key, width = [*keys, part], Layout(model.facts).width
+    steps = parts.select(*key).distinct()
+    ev = added(evidence(parts, model, key, params), key, model)
+    so_far = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = steps.join(ev, key, "left")
+    if width <= 64:
+        sums = F.array(*[F.sum(F.coalesce(F.col("ev")[i], F.lit(0).cast("long"))).over(so_far) for i in range(width)])
+        return decide(rows.select(*key, sums.alias("ev")), model, key, boosts)
+    none = F.array_repeat(F.lit(0).cast("long"), width)
+    each = rows.select(*key, F.posexplode(F.coalesce("ev", none)).alias("at", "v"))  # for many languages: by place, so that a key has more tasks
+    by_place = W.partitionBy(*keys, "at").orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ev = each.select(*key, "at", F.sum("v").over(by_place).alias("v")).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("ev"))
+    return decide(ev, model, key, boosts)

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import catalog
 from ..functions import text as T
 
 MAX_NGRAM = 5
 
 
-def training_words(texts: DataFrame, alphabet: str = "LATIN", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, word, cnt of texts. Words with a digit or with more than one inner apostrophe are left out; no word is cut."""
-    chunk = F.explode(T.chunks(F.col(text_col), [alphabet], digit=r"\p{Nd}"))
-    raw = texts.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), chunk.alias("c")).filter(~F.col("c").rlike(r"\p{Nd}"))
-    word = F.regexp_replace(T.folded(F.col("c")), "'$", "")
-    words = raw.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("cnt"))
-    return words.filter(F.length(F.regexp_replace("word", "[^']", "")) <= 1)
+def training_words(texts: DataFrame, alphabets: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", skipwords: DataFrame | None = None) -> DataFrame:
+    """lang, word, cnt of texts, in the script of each language. Words with a digit or with more than one inner apostrophe and those of
+    skipwords(word) are left out; no word is cut.
+
+    alphabets: only these scripts, default all but Chinese and Japanese ones, which cj.train is for. A language that is not
+    in the catalogue is taken for a Latin one.
+    """
+    wanted = [a for a in catalog.ALPHABETS if (a in alphabets if alphabets else a not in catalog.CJ_ALPHABETS)]
+    lang, cut = F.col(lang_col), lambda a: T.chunks(F.col(text_col), [a], digit=r"\p{Nd}")
+    pieces = F.array().cast("array<string>")
+    if "LATIN" in wanted:
+        pieces = F.when(lang.isin([x for x in catalog.BY_ISO if x not in catalog.for_alphabet("LATIN")]), pieces).otherwise(cut("LATIN"))
+    for a in wanted:
+        if a != "LATIN":
+            pieces = F.when(lang.isin(catalog.for_alphabet(a)), cut(a)).otherwise(pieces)
+    raw = texts.filter(lang.isNotNull()).select(lang.alias("lang"), F.explode(pieces).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("cnt"))
+    words = raw.filter(~F.col("c").rlike(r"\p{Nd}")).select("lang", F.regexp_replace(T.folded(F.col("c")), "'$", "").alias("word"), "cnt")
+    words = words.groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")).filter(F.length(F.regexp_replace("word", "[^']", "")) <= 1)
+    return words if skipwords is None else words.join(F.broadcast(skipwords.select("word").distinct()), "word", "left_anti").select("lang", "word", "cnt")
 
 
 def log_u(cnt, total):
@@ -41,27 +54,36 @@ def with_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(F.broadcast(totals), keys)  # a row for each language and n
 
 
-def ngram_model(counts: DataFrame, min_count: int = 1, floor_u: int | None = None) -> DataFrame:
-    """lang, n, gram, cnt, total, logprob_u of the n-grams at or above the floor."""
-    out = with_totals(counts, ["lang", "n"]).withColumn("logprob_u", log_u(F.col("cnt"), F.col("total"))).filter(F.col("cnt") >= min_count)
-    return out if floor_u is None else out.filter(F.col("logprob_u") >= floor_u)
+def least_count(floor: float):
+    """The least count of an n-gram of which there are `total` in all, for its share to be at or above a floor."""
+    return F.greatest(F.lit(1), F.ceil(F.col("total") * F.exp(F.lit(float(floor)))))
+
+
+def ngram_model(counts: DataFrame, floor: float | None = None) -> DataFrame:
+    """lang, n, gram, cnt, total, logprob_u of the n-grams at or above the floor; totals are those of all."""
+    out = with_totals(counts, ["lang", "n"]).withColumn("logprob_u", log_u(F.col("cnt"), F.col("total")))
+    return out if floor is None else out.filter(F.col("cnt") >= least_count(floor))
 
 
 def reduced(model: DataFrame, floor: float, max_ngram: int = MAX_NGRAM) -> DataFrame:
     """The model without rare n-grams, single ASCII characters, and n-grams longer than max_ngram."""
-    least = F.greatest(F.lit(1), F.ceil(F.col("total") * F.exp(F.lit(float(floor)))))
     plain = (F.col("n") == 1) & (F.ascii("gram") < 128)
-    return model.filter((F.col("cnt") >= least) & ~plain & (F.col("n") <= max_ngram))
+    return model.filter((F.col("cnt") >= least_count(floor)) & ~plain & (F.col("n") <= max_ngram))
 
 
-def topword_model(words: DataFrame, floor_u: int | None = None) -> DataFrame:
+def reduced_topwords(topwords: DataFrame, floor: float) -> DataFrame:
+    """The topwords at or above a floor."""
+    return topwords.filter(F.col("logprob_u") >= round(floor * 1e6))
+
+
+def topword_model(words: DataFrame, floor: float | None = None) -> DataFrame:
     """lang, word, cnt, total, logprob_u. A word with an inner apostrophe counts as its two parts; the total counts whole words."""
     at = F.locate("'", F.col("word"))
     parts = F.when(at > 0, F.array(F.substring("word", F.lit(1), at), F.expr("substring(word, locate(\"'\", word) + 1)"))).otherwise(F.array("word"))
     totals = words.groupBy("lang").agg(F.sum("cnt").alias("total"))
     counts = words.select("lang", "cnt", F.explode(parts).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.sum("cnt").alias("cnt"))
     out = counts.join(F.broadcast(totals), "lang").withColumn("logprob_u", log_u(F.col("cnt"), F.col("total"))).filter(eligible(F.col("word")))
-    return out if floor_u is None else out.filter(F.col("logprob_u") >= floor_u)
+    return out if floor is None else reduced_topwords(out, floor)
 
 
 def eligible(word):
@@ -81,7 +103,5 @@ def topword_overlap(topwords: DataFrame) -> DataFrame:
 
 def skipwords_of(topwords: DataFrame, first: int) -> DataFrame:
     """The `first` most frequent topwords of each language, as words to skip."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "word"))
     return topwords.withColumn("r", rank).filter(F.col("r") <= first).select("word").distinct()

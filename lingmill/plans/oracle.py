@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 from ..functions import catalog
-from ..functions import text as T
-from ..operators.model import SKIPWORDS
+from . import fixed
+
+#: RE2's names of the scripts, where they differ from ours.
+SCRIPTS = {"HAN": r"\p{Han}", "JA_KANA": r"\p{Hiragana}\p{Katakana}"}
 
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def letters(alphabet: str) -> str:
+    return SCRIPTS.get(alphabet) or rf"\p{{{alphabet.capitalize()}}}"
+
+
 def pattern(alphabets: list[str], digit: str = "0-9") -> str:
-    return q(T.word_pattern(alphabets, "re2", digit))
+    """Digits, a letter, letters and digits; then any number of apostrophe, digits, letter, letters and digits; then maybe an apostrophe and digits."""
+    quote = "['’\u0092]"
+    each = [f"[{digit}]*[{c}][{c}{digit}]*" for c in map(letters, alphabets)]
+    return q("|".join(f"{x}(?:{quote}{x})*(?:{quote}[{digit}]*)?" for x in each))
 
 
 FOLD = "translate(lower(translate({}, 'İ', 'i')), '’\u0092', '''''')"
+SKIPPED = f"regexp_full_match(word, '{fixed.SKIPWORD}')"
 
 
 def values(rows: list[tuple], columns: str) -> str:
@@ -23,12 +33,12 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({columns}))"
 
 
-def train_ctes(source: str) -> str:
+def train_ctes(source: str, where: str = "true", alphabet: str = "LATIN", skips: str = "false") -> str:
     """CTEs tr_words(lang, word, cnt), ng(lang, n, gram, cnt, total, u), tp(lang, word, cnt, total, u) from source(lang, text)."""
     return f"""
-    tr_raw AS (SELECT lang, unnest(regexp_extract_all(coalesce(text, ''), {pattern(['LATIN'], chr(92) + 'p{Nd}')})) AS c FROM {source} WHERE lang IS NOT NULL),
-    tr_words AS (SELECT lang, regexp_replace({FOLD.format('c')}, '''$', '') AS word, count(*) AS cnt FROM tr_raw WHERE NOT regexp_matches(c, '\\p{{Nd}}') GROUP BY 1, 2
-        HAVING length(word) - length(replace(word, '''', '')) <= 1),
+    tr_raw AS (SELECT lang, unnest(regexp_extract_all(coalesce(text, ''), {pattern([alphabet], chr(92) + 'p{Nd}')})) AS c FROM {source} WHERE lang IS NOT NULL AND {where}),
+    tr_words AS (SELECT lang, word, count(*) AS cnt FROM (SELECT lang, regexp_replace({FOLD.format('c')}, '''$', '') AS word FROM tr_raw WHERE NOT regexp_matches(c, '\\p{{Nd}}'))
+        WHERE length(word) - length(replace(word, '''', '')) <= 1 AND NOT ({skips}) GROUP BY 1, 2),
     ng_counts AS (SELECT lang, n, substr(word, i, n) AS gram, CAST(sum(cnt) AS BIGINT) AS cnt FROM
         (SELECT lang, word, cnt, n, unnest(range(1, length(word) - n + 2)) AS i FROM tr_words, (SELECT CAST(unnest(range(1, 6)) AS INT) AS n) WHERE length(word) < 64 AND length(word) >= n) GROUP BY 1, 2, 3),
     ng AS (SELECT lang, n, gram, cnt, total, CAST(round(ln(cnt / total) * 1e6) AS BIGINT) AS u FROM (SELECT *, CAST(sum(cnt) OVER (PARTITION BY lang, n) AS BIGINT) AS total FROM ng_counts)),
@@ -39,16 +49,40 @@ def train_ctes(source: str) -> str:
 
 def word_ctes(texts: str, key: str, alphabets: list[str]) -> str:
     """CTE words(key, script, word, cnt) from texts(key, text)."""
-    script = "CASE " + " ".join(f"WHEN regexp_matches(c, '[{T.letters(a, 're2')}]') THEN '{a}'" for a in alphabets) + " END"
+    script = "CASE " + " ".join(f"WHEN regexp_matches(c, '[{letters(a)}]') THEN '{a}'" for a in alphabets) + " END"
     return f"""
     raw AS (SELECT {key}, unnest(regexp_extract_all(coalesce(text, ''), {pattern(alphabets)})) AS c FROM {texts}),
     scripted AS (SELECT {key}, c, {script} AS script FROM raw),
-    words AS (SELECT {key}, script, regexp_replace(substr({FOLD.format("regexp_replace(c, '[0-9]', '', 'g')")}, 1, 64), '''$', '') AS word, count(*) AS cnt FROM scripted
-        WHERE NOT (script = 'LATIN' AND regexp_matches(c, '[0-9]')) GROUP BY ALL)"""
+    lowered AS (SELECT {key}, script, {FOLD.format("regexp_replace(c, '[0-9]', '', 'g')")} AS w FROM scripted WHERE NOT (script = 'LATIN' AND regexp_matches(c, '[0-9]'))),
+    cut AS (SELECT {key}, script, unnest(CASE WHEN script IN ('HAN', 'JA_KANA') THEN regexp_extract_all(w, '(?s).{{1,256}}') ELSE [substr(w, 1, 64)] END) AS w FROM lowered),
+    words AS (SELECT {key}, script, regexp_replace(w, '''$', '') AS word, count(*) AS cnt FROM cut WHERE w NOT IN ('', '''') GROUP BY ALL)"""
+
+
+def cj_train_ctes(source: str) -> str:
+    """CTE cjm(lang, n, gram, u) from source(lang, text)."""
+    return f"""
+    cj_run AS (SELECT lang, unnest(regexp_extract_all(coalesce(text, ''), '{letters("HAN")}{{1,256}}|[{letters("JA_KANA")}]{{1,256}}')) AS run FROM {source}),
+    cj_counts AS (SELECT lang, n, substr(run, i, n) AS gram, count(*) AS cnt FROM (SELECT lang, run, n, unnest(range(1, length(run) - n + 2)) AS i FROM cj_run, (SELECT CAST(unnest([1, 2]) AS INT) AS n) WHERE length(run) >= n) GROUP BY 1, 2, 3),
+    cjm AS (SELECT lang, n, gram, CAST(round(ln(cnt / sum(cnt) OVER (PARTITION BY lang, n)) * 1e6) AS BIGINT) AS u FROM cj_counts)"""
+
+
+def cj_ctes(k: str, languages: list[str], boosts: dict | None = None, share: float = 0.01, floor_u: int = -12_000_000) -> str:
+    """CTE cj(key, detected, gap, pred) of the texts in which Han and kana weigh more than any other script, from words, prof, cjm."""
+    own = [x for x in languages if x in ("zh-hans", "zh-hant", "ja")]
+    rows = values([(x, i, float((boosts or {}).get(x, 0.0))) for i, x in enumerate(own)], "lang, o, b")
+    return f"""
+    cj_w AS (SELECT {k}, CAST(sum(chars * CASE script WHEN 'HAN' THEN 3 ELSE 2 END) AS DOUBLE) AS w, sum(CASE WHEN script = 'JA_KANA' THEN chars ELSE 0 END) AS kana, sum(chars) AS n FROM prof WHERE script IN ('HAN', 'JA_KANA') GROUP BY ALL),
+    cj_other AS (SELECT {k}, max(chars * weight) AS ow FROM prof JOIN scripts USING (script) WHERE script NOT IN ('HAN', 'JA_KANA') GROUP BY ALL),
+    cj_text AS (SELECT {k}, kana, n FROM cj_w LEFT JOIN cj_other USING ({k}) WHERE w > coalesce(ow, 0)),
+    cj_tile AS (SELECT {k}, n, substr(word, i, n) AS gram, sum(cnt) AS c FROM (SELECT {k}, word, cnt, n, unnest(range(1, length(word) - n + 2)) AS i FROM words, (SELECT CAST(unnest([1, 2]) AS INT) AS n) WHERE script IN ('HAN', 'JA_KANA') AND length(word) >= n) GROUP BY ALL),
+    cj_sum AS (SELECT {k}, lang, o, b, CAST(sum(coalesce(u, {floor_u}) * c) AS BIGINT) AS u, CAST(sum(c) AS BIGINT) AS n, count(u) AS hits FROM cj_tile CROSS JOIN {rows} LEFT JOIN (SELECT lang, n, gram, u FROM cjm WHERE u >= {floor_u}) USING (lang, n, gram) GROUP BY ALL),
+    cj_tot AS (SELECT {k}, lang, o, t + b * abs(t) AS t, sum(hits) OVER (PARTITION BY {k}) AS hits FROM (SELECT *, u / 1e6 / n AS t FROM cj_sum)),
+    cj_best AS (SELECT {k}, arg_min(lang, struct_pack(t := -t, o := o)) AS lang, max(t) AS t1, list_sort(list(t), 'DESC')[2] AS t2 FROM cj_tot WHERE hits > 0 GROUP BY ALL),
+    cj AS (SELECT {k}, CASE WHEN kana > {share} * n THEN 'ja' WHEN coalesce(t1, 0) <> 0 THEN lang END AS detected, CASE WHEN kana > {share} * n THEN 1.0 WHEN coalesce(t2, 0) = 0 THEN 0.0 ELSE round(1 - t1 / t2, 6) END AS gap, CASE WHEN kana > {share} * n THEN 'JA_KANA' ELSE 'HAN' END AS pred FROM cj_text LEFT JOIN cj_best USING ({k}))"""
 
 
 def detect_ctes(
-    texts: str, key: str, languages: list[str], *, model: str = "", floor: float = -12.0, tw_floor: float = -12.0, min_ngram: int = 1, stop: int = 3, max_ngram: int = 5, topwords: bool = True, boosts: dict | None = None, grouped: str | None = None, skipwords: tuple | list = SKIPWORDS
+    texts: str, key: str, languages: list[str], *, model: str = "", floor: float = -12.0, tw_floor: float = -12.0, min_ngram: int = 1, stop: int = 3, max_ngram: int = 5, topwords: bool = True, boosts: dict | None = None, grouped: str | None = None, cj: bool = False
 ) -> str:
     """CTEs up to dec(key, detected, gap, num_words, num_chars, num_lookups) and tot(key, lang, total, ...).
 
@@ -59,14 +93,13 @@ def detect_ctes(
     used = {a for x in languages for a in catalog.BY_ISO[x].alphabets}
     alphabets = [a for a in catalog.ALPHABETS if a in used]
     users = {a: [x for x in languages if a in catalog.BY_ISO[x].alphabets] for a in alphabets}
-    has_cj = sum(x in catalog.GROUPS["cj"] for x in languages) >= 2
     lang_rows = values([(x, i, float((boosts or {}).get(x, 0.0))) for i, x in enumerate(languages)], "lang, lang_ord, boost")
-    script_rows = values([(a, i, catalog.ALPHABETS[a][0], "CJ" if has_cj and a in catalog.CJ_ALPHABETS else a, users[a][0] if len(users[a]) == 1 else None) for i, a in enumerate(alphabets)], "script, alpha_ord, weight, grp, only_lang")
+    script_rows = values([(a, i, catalog.ALPHABETS[a][0], users[a][0] if len(users[a]) == 1 or (cj and a in ("HAN", "JA_KANA")) else None) for i, a in enumerate(alphabets)], "script, alpha_ord, weight, only_lang")
     user_rows = values([(a, x) for a in alphabets for x in users[a]], "script, lang")
     shared = [x for x in languages if x not in catalog.GROUPS["cj"] and any(len(users[a]) > 1 for a in catalog.BY_ISO[x].alphabets)]
     f_u, t_u = round(floor * 1e6), round(tw_floor * 1e6)
     k = grouped or key
-    skip = f"word IN ({', '.join(map(q, skipwords))})"
+    skip = SKIPPED
     has = "strpos(word[2:], '''') > 0 AND strpos(word[2:], '''') + 1 < length(word) AND word[1] <> ''''"
     at = "(strpos(word[2:], '''') + 1)"
     eligible = "(length(word) > 1 OR unicode(word) >= 128)"
@@ -94,12 +127,16 @@ def detect_ctes(
     prof AS (SELECT {k}, script, sum(length(word) * cnt) AS chars, sum(cnt) AS nw, sum(lookups * cnt) AS lookups FROM words JOIN lk USING (script, word) GROUP BY ALL)"""
 
 
-def decide_ctes(k: str, languages: list[str], floor: float = -12.0, tw_floor: float = -12.0) -> str:
-    """CTEs dec and tot from ev, prof, scripts, langs, script_langs."""
+def decide_ctes(k: str, languages: list[str], floor: float = -12.0, tw_floor: float = -12.0, cj: bool = False, boosts: dict | None = None) -> str:
+    """CTEs dec and tot from ev, prof, scripts, langs, script_langs; with cj from words and cjm, too (for models in which no other
+    script is shared, so that a text of unknown Chinese or Japanese is unknown)."""
     f_u, t_u = round(floor * 1e6), round(tw_floor * 1e6)
-    return f"""
-    grp AS (SELECT {k}, grp, sum(chars * weight) AS w, min(alpha_ord) AS o, arg_min(script, alpha_ord) AS pred, arg_min(struct_pack(x := only_lang), alpha_ord).x AS only_lang, sum(nw) AS nw, sum(chars) AS chars, sum(lookups) AS lookups FROM prof JOIN scripts USING (script) GROUP BY ALL),
-    top AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY w DESC, o) AS r, CAST(sum(nw) OVER (PARTITION BY {k}) AS BIGINT) AS num_words, CAST(sum(chars) OVER (PARTITION BY {k}) AS BIGINT) AS num_chars, CAST(sum(lookups) OVER (PARTITION BY {k}) AS BIGINT) AS num_lookups FROM grp),
+    own, heavy, decided = "", "w DESC, alpha_ord", "dec AS (SELECT * FROM dec0)"
+    if cj:
+        own, heavy = cj_ctes(k, catalog.ordered(languages), boosts) + ",", "w DESC, script IN ('HAN', 'JA_KANA'), alpha_ord"
+        decided = f"""dec AS (SELECT {k}, CASE WHEN c.pred IS NULL THEN d.detected ELSE coalesce(c.detected, 'unknown') END AS detected, CASE WHEN c.pred IS NULL THEN d.gap ELSE c.gap END AS gap, num_words, num_chars, num_lookups, coalesce(c.pred, d.pred) AS pred FROM dec0 d LEFT JOIN cj c USING ({k}))"""
+    return f"""{own}
+    top AS (SELECT {k}, script AS pred, only_lang, row_number() OVER (PARTITION BY {k} ORDER BY {heavy}) AS r, CAST(sum(nw) OVER (PARTITION BY {k}) AS BIGINT) AS num_words, CAST(sum(chars) OVER (PARTITION BY {k}) AS BIGINT) AS num_chars, CAST(sum(lookups) OVER (PARTITION BY {k}) AS BIGINT) AS num_lookups FROM (SELECT *, chars * weight AS w FROM prof JOIN scripts USING (script))),
     pr AS (SELECT {k}, pred, only_lang, num_words, num_chars, num_lookups FROM top WHERE r = 1),
     dense AS (SELECT pr.*, langs.*, coalesce(ng_u, 0) AS ng_u, coalesce(ng_hits, 0) AS ng_hits, coalesce(tw_u, 0) AS tw_u, coalesce(tw_hits, 0) AS tw_hits FROM pr CROSS JOIN langs LEFT JOIN ev USING ({k}, lang)),
     norm AS (SELECT *, max(ng_hits) OVER (PARTITION BY {k}) AS nm, max(tw_hits) OVER (PARTITION BY {k}) AS tm FROM dense),
@@ -109,8 +146,9 @@ def decide_ctes(k: str, languages: list[str], floor: float = -12.0, tw_floor: fl
     tot AS (SELECT *, t0 + boost * abs(t0) AS total FROM tot0),
     ranked AS (SELECT {k}, total, t.lang, row_number() OVER (PARTITION BY {k} ORDER BY total DESC, lang_ord) AS r FROM tot t JOIN script_langs s ON s.script = t.pred AND s.lang = t.lang WHERE only_lang IS NULL),
     best AS (SELECT {k}, max(CASE WHEN r = 1 THEN total END) AS t1, max(CASE WHEN r = 2 THEN total END) AS t2, max(CASE WHEN r = 1 THEN lang END) AS lang FROM ranked GROUP BY ALL),
-    dec AS (SELECT {k}, CASE WHEN only_lang IS NOT NULL THEN only_lang WHEN coalesce(t1 = 0, true) THEN 'unknown' ELSE best.lang END AS detected,
-        CASE WHEN only_lang IS NOT NULL THEN 1.0 WHEN coalesce(t1 = 0, true) THEN 0.0 WHEN coalesce(t2, 0) = 0 THEN 0.0 ELSE round(1 - t1 / t2, 6) END AS gap, num_words, num_chars, num_lookups, pred FROM pr LEFT JOIN best USING ({k}))"""
+    dec0 AS (SELECT {k}, CASE WHEN only_lang IS NOT NULL THEN only_lang WHEN coalesce(t1 = 0, true) THEN 'unknown' ELSE best.lang END AS detected,
+        CASE WHEN only_lang IS NOT NULL THEN 1.0 WHEN coalesce(t1 = 0, true) THEN 0.0 WHEN coalesce(t2, 0) = 0 THEN 0.0 ELSE round(1 - t1 / t2, 6) END AS gap, num_words, num_chars, num_lookups, pred FROM pr LEFT JOIN best USING ({k})),
+    {decided}"""
 
 
 FINAL = "coalesce(detected, 'unknown') AS detected, CAST(coalesce(gap, 1.0) AS DOUBLE) AS gap, coalesce(num_words, 0) AS num_words, coalesce(num_chars, 0) AS num_chars, coalesce(num_lookups, 0) AS num_lookups"
@@ -120,4 +158,5 @@ def detect_sql(texts: str, key: str, languages: list[str], select: str, *, ctes:
     """A whole statement; select ends it and may use dec, tot, words, ev and prof."""
     model = train_ctes("documents") if model is None else model
     head = f"{ctes}," if ctes else ""
-    return f"WITH {head}{detect_ctes(texts, key, languages, model=model, grouped=grouped, floor=floor, tw_floor=tw_floor, **how)},{decide_ctes(grouped or key, languages, floor, tw_floor)} {select}"
+    cj = {"cj": how.get("cj", False), "boosts": how.get("boosts")}
+    return f"WITH {head}{detect_ctes(texts, key, languages, model=model, grouped=grouped, floor=floor, tw_floor=tw_floor, **how)},{decide_ctes(grouped or key, languages, floor, tw_floor, **cj)} {select}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +13,16 @@ from ..functions import catalog
 from ..functions import text as T
 from ..operators import cj, evaluate, incremental, train
 from ..operators import model as M
-from ..operators.detect import Params, detect, detect_scores, release, score_words, words_of
+from ..operators.detect import Params, detect, detect_scores, score_words, words_of
+from ..sources import files
+from . import fixed
 from . import oracle as O
 
 #: The languages of the documents table.
 LANGS = ["en", "fr", "de", "es"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SUMS = ("ng_u", "ng_hits", "tw_u", "tw_hits")
 _tables: dict = {}
 
 
@@ -38,7 +43,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it comes in fewer parts, as one small file does; large tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores and _bytes(df) < cores * 32e6 else df
+
+
+def _bytes(df: DataFrame) -> int:
+    """What Spark reckons a table on disk to hold."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +72,10 @@ def model(spark: SparkSession, sf_dir: str, languages: list[str] | None = None,
 
 
 def forget() -> None:
-    """Let go of the model tables and of the evidence of all detections: what runs next works them out again."""
-    release()
+    """Let go of all model tables: what runs next works them out again."""
     for held in _tables.values():
-        for df in (held.ngrams, held.topwords) if isinstance(held, M.Model) else held:
-            if df is not None:
-                df.unpersist()
+        for df in [held] if isinstance(held, M.Model) else held:
+            df.unpersist()
     _tables.clear()
 
 
@@ -86,17 +94,25 @@ DOCS = f"SELECT doc_id, lang AS expected, {O.FINAL} FROM documents LEFT JOIN dec
 # catalogues
 
 
-@query("SELECT * FROM " + O.values([(x.ord, x.name, x.iso, x.iso3, ",".join(x.aliases), ",".join(x.alphabets)) for x in catalog.LANGUAGES], "lang_ord, name, iso, iso3, aliases, alphabets"))
+_FIXED = [(int(i), *rest) for i, *rest in fixed.rows(fixed.LANGUAGES)]
+
+
+@query("SELECT * FROM " + O.values(_FIXED, "lang_ord, name, iso, iso3, aliases, alphabets"))
 def languages_catalog(spark, sf_dir):
     return catalog.languages(spark).withColumns({c: F.array_join(c, ",") for c in ("aliases", "alphabets")})
 
 
-@query("SELECT * FROM " + O.values([(i, a, w) for i, (a, (w, _)) in enumerate(catalog.ALPHABETS.items())], "alpha_ord, name, w").replace("SELECT * FROM (VALUES", "SELECT alpha_ord, name, CAST(w AS DOUBLE) AS weight FROM (VALUES"))
+@query("SELECT lang_ord, iso FROM " + O.values(_FIXED, "lang_ord, name, iso, iso3, aliases, alphabets") + " WHERE list_contains(string_split(alphabets, ','), 'CYRILLIC')")
+def languages_of_alphabet(spark, sf_dir):
+    return catalog.languages(spark, "CYRILLIC").select("lang_ord", "iso")
+
+
+@query("SELECT alpha_ord, name, CAST(w AS DOUBLE) AS weight FROM " + O.values([(int(i), a, float(w)) for i, a, w in fixed.rows(fixed.ALPHABETS)], "alpha_ord, name, w"))
 def alphabets_catalog(spark, sf_dir):
     return catalog.alphabets(spark)
 
 
-@query("SELECT alias, count(*) AS n, string_agg(iso, ',' ORDER BY iso) AS members FROM " + O.values([(g, i) for g, m in catalog.GROUPS.items() for i in m], "alias, iso") + " GROUP BY 1")
+@query("SELECT alias, len(string_split(members, ',')) AS n, members FROM " + O.values([tuple(r) for r in fixed.rows(fixed.GROUPS)], "alias, members"))
 def language_groups(spark, sf_dir):
     return catalog.groups(spark).groupBy("alias").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("iso")), ",").alias("members"))
 
@@ -124,6 +140,56 @@ def training_words(spark, sf_dir):
     return train.training_words(documents(spark, sf_dir))
 
 
+_COMMON = "word IN (SELECT word FROM (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, word) AS r FROM tp0) WHERE r <= 20)"
+_TP0 = O.train_ctes("documents").replace("tr_raw", "tr_raw0").replace("tr_words", "tr_words0").replace("ng_counts", "ng_counts0").replace("ng AS", "ng0 AS").replace("tp_total", "tp_total0").replace("tp_counts", "tp_counts0").replace("tp AS", "tp0 AS")
+
+
+@query(f"WITH {_TP0}, {O.train_ctes('documents', skips=_COMMON)} SELECT lang, n, count(*) AS distinct_grams, any_value(total) AS total, min(u) AS min_logprob_u FROM ng GROUP BY 1, 2")
+def training_without_skipwords(spark, sf_dir):
+    """Statistics of n-grams trained without the twenty most frequent words of each language."""
+    skips = train.skipwords_of(trained(spark, sf_dir)[1], 20)
+    words = train.training_words(documents(spark, sf_dir), skipwords=skips)
+    return train.table_stats(train.ngram_model(train.ngram_counts(words)))
+
+
+#: Letters in Cyrillic ones, by which documents of four languages stand for texts of four Cyrillic ones.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "абцдефгхижклмнопярстувшыйзАБЦДЕФГХИЖКЛМНОПЯРСТУВШЫЙЗ"
+CYRILLIC = {"en": "ru", "fr": "bg", "de": "uk", "es": "sr"}
+
+
+def cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.create_map(*[F.lit(x) for pair in CYRILLIC.items() for x in pair])[F.col("lang")]
+    return documents(spark, sf_dir).select("doc_id", F.translate("text", _LATIN, _CYRILLIC).alias("text"), lang.alias("lang"))
+
+
+_CASE = "CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CYRILLIC.items()) + " END"
+_CYR = f"cyr AS (SELECT doc_id, translate(text, '{_LATIN}', '{_CYRILLIC}') AS text, {_CASE} AS lang FROM documents)"
+
+
+@query(O.detect_sql("cyr", "doc_id", list(CYRILLIC.values()), f"SELECT doc_id, lang AS expected, {O.FINAL}, coalesce(pred, 'UNKNOWN') AS pred FROM cyr LEFT JOIN dec USING (doc_id)", ctes=_CYR, model=O.train_ctes("cyr", alphabet="CYRILLIC")))
+def detect_cyrillic(spark, sf_dir):
+    """Documents with their letters in Cyrillic: trained on, written as text files, read and detected."""
+    texts = cyrillic(spark, sf_dir)
+    if (spark.sparkContext.applicationId, sf_dir, "cyrillic") not in _tables:
+        grams, tops = M.train_tables(texts, alphabets=["CYRILLIC"])
+        folder = f"{work_dir(spark)}/cyrillic-{uuid.uuid4().hex}"
+        files.write_ngrams(grams, folder, -20.0, compress=True)
+        files.write_topwords(tops, folder, -20.0, logs=True)
+        _tables[spark.sparkContext.applicationId, sf_dir, "cyrillic"] = M.load(spark, folder, ",".join(CYRILLIC.values()))
+    m = _tables[spark.sparkContext.applicationId, sf_dir, "cyrillic"]
+    return detect(texts.withColumnRenamed("lang", "expected"), m, ["doc_id"], keep=["expected"])
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="lingmill-")
+    return found.rstrip("/")
+
+
 @query(f"WITH {O.train_ctes('documents')} SELECT lang, n, gram, cnt FROM ng_counts")
 def ngram_counts(spark, sf_dir):
     return train.ngram_counts(train.training_words(documents(spark, sf_dir)))
@@ -203,44 +269,75 @@ def detect_lite_vs_full(spark, sf_dir):
     return one("lite", -9.0).join(one("full", -15.0), "doc_id")
 
 
-# evaluation
+# evaluation: each half of the documents is judged by a model of the other half, so nothing is judged by what it was trained on
+
+HALVES = (0, 1)
+
+
+def half_model(spark: SparkSession, sf_dir: str, half: int) -> M.Model:
+    key = (spark.sparkContext.applicationId, sf_dir, "half", half)
+    if key not in _tables:
+        texts = documents(spark, sf_dir).filter(F.pmod("doc_id", F.lit(2)) == half)
+        _tables[key] = M.assemble(*M.train_tables(texts), LANGS).persist()
+    return _tables[key]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_no, expected, text of every line that isn't blank: phrases, long and short."""
+    rows = expected(spark, sf_dir).select("doc_id", "expected", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return rows.filter(F.trim("text") != "")
 
-_FOUND = f"f AS ({DOCS})"
-_RIGHT = "(expected = detected)"
-_SELECT = lambda tail: O.detect_sql("documents", "doc_id", LANGS, f", {_FOUND} {tail}").replace(" ,", ",")
 
+def judged(spark: SparkSession, sf_dir: str, keep: tuple = ()) -> DataFrame:
+    """Detections of all lines, by the model of the half that they are not in."""
+    rows, out = lines(spark, sf_dir), None
+    for half in HALVES:
+        mine = rows.filter(F.pmod("doc_id", F.lit(2)) != half)
+        found = detect(mine, half_model(spark, sf_dir, half), ["doc_id", "line_no"], keep=["expected", *keep])
+        out = found if out is None else out.union(found)
+    return out
+
+
+_RIGHT = "(expected = detected OR (expected LIKE 'zh%' AND detected LIKE 'zh-%'))"
+_KNOWN = "detected <> 'unknown'"
+_CLOSE = "(expected, detected) IN (('ms', 'id'), ('af', 'nl'), ('nn', 'no'))"
+_LINES = "pl AS (SELECT doc_id, lang AS expected, CAST(i - 1 AS INT) AS line_no, p[i] AS text FROM (SELECT doc_id, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(p[i], ' ') <> '' AND doc_id % 2 {})"
+_PART = lambda half: O.detect_sql("pl", "doc_id, line_no", LANGS, f"SELECT doc_id, line_no, expected, text, {O.FINAL} FROM pl LEFT JOIN dec USING (doc_id, line_no)", ctes=_LINES.format(f"<> {half}"), model=O.train_ctes("documents", where=f"doc_id % 2 = {half}"))
+_JUDGED = f"f AS (({_PART(0)}) UNION ALL ({_PART(1)}))"
 
-@query(_SELECT(f"SELECT expected, count(*) FILTER (detected <> 'unknown' AND {_RIGHT}) AS correct, count(*) FILTER (detected <> 'unknown') AS total, count(*) FILTER (detected = 'unknown') AS skipped, round(CASE WHEN count(*) FILTER (detected <> 'unknown') > 0 THEN 100.0::DOUBLE * count(*) FILTER (detected <> 'unknown' AND {_RIGHT}) / count(*) FILTER (detected <> 'unknown') ELSE 0 END, 4) AS pct FROM f GROUP BY ROLLUP (expected)"))
+
+@query(f"WITH {_JUDGED} SELECT expected, count(*) FILTER ({_KNOWN} AND {_RIGHT}) AS correct, count(*) FILTER ({_KNOWN}) AS total, count(*) FILTER (NOT {_KNOWN}) AS skipped, round(CASE WHEN count(*) FILTER ({_KNOWN}) > 0 THEN 100.0::DOUBLE * count(*) FILTER ({_KNOWN} AND {_RIGHT}) / count(*) FILTER ({_KNOWN}) ELSE 0 END, 4) AS pct FROM f GROUP BY ROLLUP (expected)")
 def phrase_eval(spark, sf_dir):
-    return evaluate.accuracy(found(spark, sf_dir))
+    return evaluate.accuracy(judged(spark, sf_dir))
 
 
-@query(_SELECT(f"SELECT expected, detected, count(*) AS n, false AS known_cross FROM f WHERE NOT {_RIGHT} GROUP BY 1, 2"))
+@query(f"WITH {_JUDGED} SELECT expected, detected, count(*) AS n, {_CLOSE} AS known_cross FROM f WHERE {_KNOWN} AND NOT {_RIGHT} GROUP BY 1, 2")
 def confusion_matrix(spark, sf_dir):
-    return evaluate.confusion(found(spark, sf_dir))
+    return evaluate.confusion(judged(spark, sf_dir))
 
 
-@query(_SELECT(f"SELECT doc_id, expected, detected, gap FROM f WHERE detected <> 'unknown' AND NOT {_RIGHT} ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 10"))
+@query(f"WITH {_JUDGED} SELECT doc_id, line_no, expected, detected, gap FROM f WHERE {_KNOWN} AND NOT {_RIGHT} ORDER BY md5(CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)), doc_id, line_no LIMIT 10")
 def sampled_misses(spark, sf_dir):
-    return evaluate.sampled_misses(found(spark, sf_dir), "doc_id").select("doc_id", "expected", "detected", "gap")
+    return evaluate.sampled_misses(judged(spark, sf_dir), ["doc_id", "line_no"]).select("doc_id", "line_no", "expected", "detected", "gap")
 
 
-@query(_SELECT(f"SELECT doc_id, f.expected, detected, CASE WHEN length(text) > 80 THEN translate(text[:80], chr(10), ' ') || '...' ELSE translate(text, chr(10), ' ') END AS snippet FROM f JOIN documents USING (doc_id) WHERE detected <> 'unknown' AND NOT {_RIGHT}"))
+@query(f"WITH {_JUDGED} SELECT doc_id, line_no, expected, detected, CASE WHEN length(text) > 80 THEN translate(text[:80], chr(10), ' ') || '...' ELSE translate(text, chr(10), ' ') END AS snippet FROM f WHERE {_KNOWN} AND NOT {_RIGHT}")
 def miss_snippets(spark, sf_dir):
-    rows = found(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return evaluate.snippets(rows, "doc_id")
+    return evaluate.snippets(judged(spark, sf_dir, ("text",)), ["doc_id", "line_no"])
 
 
-_PARS = r"pars AS (SELECT doc_id, lang AS expected, CAST(i - 1 AS INT) AS par_no, p[i] AS text FROM (SELECT doc_id, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang, string_split_regex(text, '\n{2,}') AS p FROM documents)) WHERE length(p[i]) >= 20)"
-_KNOWN = "detected <> 'unknown'"
+_BARE = r"regexp_replace(html, '<[^>]*>', chr(10), 'g')"
+_PARS = rf"pars AS (SELECT page_id, expected, CAST(i - 1 AS INT) AS par_no, p[i] AS text FROM (SELECT page_id, expected, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z-]+)\"', 1) AS expected, string_split_regex({_BARE}, '\n{{2,}}') AS p FROM pages)) WHERE length(p[i]) >= 20)"
 
 
-@query(O.detect_sql("pars", "doc_id, par_no", LANGS, f""", g AS (SELECT expected, {O.FINAL} FROM pars LEFT JOIN dec USING (doc_id, par_no))
+@query(O.detect_sql("pars", "page_id, par_no", LANGS, f""", g AS (SELECT expected, {O.FINAL} FROM pars LEFT JOIN dec USING (page_id, par_no))
     SELECT expected, count(*) AS chunks, count(*) FILTER ({_KNOWN} AND {_RIGHT}) AS correct, count(*) FILTER ({_KNOWN} AND NOT {_RIGHT}) AS misses, count(*) FILTER ({_KNOWN} AND NOT {_RIGHT} AND num_words <= 2) AS short_misses, count(*) FILTER (NOT {_KNOWN}) AS skipped,
     CAST(CASE WHEN count(*) FILTER ({_KNOWN}) > 0 THEN floor(sum(num_chars) FILTER ({_KNOWN}) / count(*) FILTER ({_KNOWN})) ELSE 0 END AS BIGINT) AS avg_chars, CAST(floor(sum(num_words) / count(*)) AS BIGINT) AS avg_words FROM g GROUP BY 1""", ctes=_PARS).replace(" ,", ","))
 def paragraph_eval(spark, sf_dir):
-    lines = evaluate.paragraphs(expected(spark, sf_dir), ["doc_id"])
-    return evaluate.chunk_stats(detect(lines, model(spark, sf_dir), ["doc_id", "par_no"], keep=["expected"]))
+    """The paragraphs of all pages, tags being line breaks; the model has seen none of them."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z-]+)"', 1).alias("expected"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    pars = evaluate.paragraphs(pages, ["page_id"])
+    return evaluate.chunk_stats(detect(pars, model(spark, sf_dir), ["page_id", "par_no"], keep=["expected"]))
 
 
 # parts of texts
@@ -271,12 +368,9 @@ def conversation_running_detect(spark, sf_dir):
 
 
 def _accents(column: str) -> str:
-    table = T.accent_map()
-    one = {k: v for k, v in table.items() if len(v) == 1}
-    out = f"translate({column}, {O.q(''.join(one))}, {O.q(''.join(one.values()))})"
-    for k, v in table.items():
-        if len(v) > 1:
-            out = f"replace({out}, {O.q(k)}, {O.q(v)})"
+    out = f"translate({column}, {O.q(fixed.ACCENTED)}, {O.q(fixed.PLAIN)})"
+    for pair in fixed.JOINED.split():
+        out = f"replace({out}, {O.q(pair[0])}, {O.q(pair[2:])})"
     return out
 
 
@@ -285,6 +379,13 @@ def remove_accents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.remove_accents(F.col("text")).alias("text"))
 
 
+@query(f"SELECT i, {_accents('text')} AS text FROM (SELECT CAST(unnest(range(160, 65536)) AS BIGINT) AS i, chr(CAST(i AS INT)) || 'x' AS text) WHERE (i < 55296 OR i >= 57344) AND i <> 65279")
+def accent_table(spark, sf_dir):
+    """What becomes of every letter of the first plane."""
+    rows = spark.range(160, 65536).filter("(id < 55296 OR id >= 57344) AND id <> 65279").select(F.col("id").alias("i"), F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    return rows.select("i", T.remove_accents(F.concat("c", F.lit("x"))).alias("text"))
+
+
 @query(O.detect_sql("plain", "doc_id", LANGS, DOCS, ctes=f"plain AS (SELECT doc_id, {_accents('text')} AS text FROM documents)"))
 def detect_accent_stripped(spark, sf_dir):
     plain = expected(spark, sf_dir).withColumn("text", T.remove_accents(F.col("text")))
@@ -368,13 +469,55 @@ _phrases("multi_script_detect", MIXED, MIXED_LANGS)
 _phrases("unique_alphabet_detect", UNIQUE, UNIQUE_LANGS)
 
 CJ_TRAIN = [("zh-hans", "今天天气很好我们去公园散步这个学生学习汉语"), ("zh-hant", "今天天氣很好我們去公園散步這個學生學習漢語"), ("ja", "今日は天気がいいので公園へ散歩に行きます学生は日本語を勉強します")]
-CJ_TEXTS = [(1, "我们学习汉语"), (2, "我們學習漢語"), (3, "日本語を勉強します"), (4, "天气很好"), (5, "hello")]
+CJ_TEXTS = [(1, "我们学习汉语"), (2, "我們學習漢語"), (3, "日本語を勉強します"), (4, "天气很好"), (5, "hello"), (6, "龘龘"), (7, "今日は天気"), (8, "公園 散步 学"), (9, ""), (10, "学生学習a")]
+CJ_LANGS = ["zh-hans", "zh-hant", "ja"]
 
 
-@query()
+@query(f"WITH src AS {O.values(CJ_TRAIN, 'lang, text')}, t AS {O.values(CJ_TEXTS, 'id, text')}, {O.cj_train_ctes('src')}, {O.word_ctes('t', 'id', ['HAN', 'JA_KANA'])}, prof AS (SELECT id, script, sum(length(word) * cnt) AS chars FROM words GROUP BY ALL), scripts AS (SELECT '' AS script, 1.0 AS weight WHERE false), {O.cj_ctes('id', CJ_LANGS)} SELECT id, coalesce(detected, 'unknown') AS detected, CAST(kana AS BIGINT) AS kana, CAST(n AS BIGINT) AS cj_chars FROM cj JOIN cj_text USING (id)")
 def cj_detect(spark, sf_dir):
     table = cj.train(spark.createDataFrame(CJ_TRAIN, "lang string, text string"))
-    return cj.classify(spark.createDataFrame(CJ_TEXTS, "id int, text string"), table, [x for x, _ in CJ_TRAIN], ["id"])
+    return cj.classify(spark.createDataFrame(CJ_TEXTS, "id int, text string"), table, CJ_LANGS, ["id"])
+
+
+#: Small letters as Chinese or Japanese characters, by which documents of four languages stand for three; capitals stay Latin.
+CJ_LETTERS = {"en": ("zh-hans", "的一是不了人我在有他这个们中来上大为和国地到以说时要"), "fr": ("zh-hant", "的一是不了人我在有他這個們中來上大為和國地到以說時要"), "de": ("ja", "の一是不人日大年中本国時上出長生間月行見学高前小要を"), "es": ("ja", "一是不人日大年中本国時上出長生間月行見学高前小要手水火")}
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def cj_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, lang = F.col("text"), F.lit(None).cast("string")
+    for x, (to, characters) in CJ_LETTERS.items():
+        text, lang = F.when(F.col("lang") == x, F.translate("text", _SMALL, characters)).otherwise(text), F.when(F.col("lang") == x, to).otherwise(lang)
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"), lang.alias("lang"))
+
+
+def cj_model(spark: SparkSession, sf_dir: str) -> M.Model:
+    """English, which no other language shares its script with, and the three languages of Han characters."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cj")
+    if key not in _tables:
+        none = spark.createDataFrame([], "lang string, n int, gram string, logprob_u long")
+        tops = spark.createDataFrame([], "lang string, word string, logprob_u long")
+        _tables[key] = M.assemble(none, tops, ["en", *CJ_LANGS], cj=cj.train(cj_documents(spark, sf_dir))).persist()
+    return _tables[key]
+
+
+_CJ_DOCS = "cjd AS (SELECT doc_id, CASE lang " + " ".join(f"WHEN '{x}' THEN translate(text, '{_SMALL}', '{c}')" for x, (_, c) in CJ_LETTERS.items()) + " ELSE text END AS text, CASE lang " + " ".join(f"WHEN '{x}' THEN '{to}'" for x, (to, _) in CJ_LETTERS.items()) + " END AS lang FROM documents)"
+_NONE = "ng AS (SELECT '' AS lang, 1 AS n, '' AS gram, 0 AS u WHERE false), tp AS (SELECT '' AS lang, '' AS word, 0 AS u WHERE false)"
+
+
+def _cj(name: str, boosts: dict | None) -> None:
+    select = f"SELECT doc_id, lang AS expected, {O.FINAL}, coalesce(pred, 'UNKNOWN') AS pred FROM cjd LEFT JOIN dec USING (doc_id)"
+
+    def run(spark, sf_dir):
+        texts = cj_documents(spark, sf_dir).withColumnRenamed("lang", "expected")
+        return detect(texts, cj_model(spark, sf_dir), ["doc_id"], boosts=boosts, keep=["expected"])
+
+    run.__name__ = name
+    query(O.detect_sql("cjd", "doc_id", ["en", *CJ_LANGS], select, ctes=_CJ_DOCS, model=f"{O.cj_train_ctes('cjd')}, {_NONE}", cj=True, boosts=boosts))(run)
+
+
+_cj("cj_detect_documents", None)
+_cj("cj_detect_boosted", {"ja": 0.2, "zh-hant": 0.05})
 
 
 @query()
@@ -382,7 +525,7 @@ def cj_detect_conversations(spark, sf_dir):
     """Every turn that has Han or kana characters, by the model of the three sentences."""
     table = cj.train(spark.createDataFrame(CJ_TRAIN, "lang string, text string"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return cj.classify(turns, table, [x for x, _ in CJ_TRAIN], ["conv_id", "turn"])
+    return cj.classify(turns, table, CJ_LANGS, ["conv_id", "turn"])
 
 
 @query(O.detect_sql("documents", "doc_id", LANGS, "SELECT script, word, lang, CAST(ng_u AS BIGINT) AS ng_u, CAST(ng_hits AS BIGINT) AS ng_hits, CAST(tw_u AS BIGINT) AS tw_u, CAST(tw_hits AS BIGINT) AS tw_hits FROM hit"))
@@ -390,4 +533,4 @@ def word_scores(spark, sf_dir):
     """Evidence of each distinct word of the documents."""
     m = model(spark, sf_dir)
     rows, _ = score_words(words_of(documents(spark, sf_dir), m, ["doc_id"]), m)
-    return rows.groupBy("script", "word", "lang").agg(*[F.sum(c).alias(c) for c in incremental.SUMS])
+    return rows.groupBy("script", "word", "lang").agg(*[F.sum(c).alias(c) for c in SUMS])

@@ -35,7 +35,10 @@ def micro(spark):
     return M.assemble(ngrams, topwords, ["fr", "en"], max_ngram=3)
 
 
-def test_hand_made_cases(spark, micro):
+@pytest.mark.parametrize("way", ["sent", "joined"])
+def test_hand_made_cases(spark, micro, way, monkeypatch):
+    if way == "joined":
+        monkeypatch.setattr(M, "SENT_ENTRIES", 0)
     kinds = {}
     for k, case in enumerate(CASES):
         kinds.setdefault((tuple(case[1].items()), tuple(case[2].items())), []).append((k, case[0]))
@@ -85,7 +88,7 @@ def test_forget_lets_go_of_all_that_is_held(spark):
     registry.forget()
     sf = "/root/testdata/sf0.001"
     registry.QUERIES["phrase_eval"](spark, sf)
-    held = [*registry.trained(spark, sf), registry.model(spark, sf).ngrams, registry.model(spark, sf).topwords]
+    held = [*registry.trained(spark, sf), registry.half_model(spark, sf, 0).ngrams, registry.half_model(spark, sf, 1).topwords]
     assert all(df.storageLevel.useMemory for df in held)
     registry.forget()
     assert not registry._tables and not any(df.storageLevel.useMemory for df in held)

@@ -1,13 +1,14 @@
 """Catalogue, tokenizers, cleaning."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lingmill.functions import catalog
 from lingmill.functions import text as T
-from lingmill.operators import train
+from lingmill.operators import scoring, train
 from lingmill.plans import registry
 
 
@@ -75,7 +76,28 @@ def test_random_texts_against_a_state_machine(spark):
         assert got == machine(t), t
 
 
+def test_long_numbers_take_linear_time(spark):
+    rows = spark.createDataFrame([(1, "1" * 300_000 + " a12b 12'abc 7x")], "i int, text string")
+    assert rows.select(T.chunks(F.col("text"), ["LATIN"]).alias("c")).first()[0] == ["a12b", "abc", "7x"]
+    assert re.compile(scoring.piece_pattern(["LATIN"])).findall("1" * 300_000 + " a12b 12'abc 7x") == ["a12b", "abc", "7x"]
+
+
+def test_pieces_and_words_are_those_of_the_plan(spark):
+    """The pattern and rules of scoring find what the DataFrame functions find."""
+    scripts = ["LATIN", "HAN", "JA_KANA", "CYRILLIC", "GREEK"]
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "É", "İ", "'", "’", "1", " ", "漢", "字", "か", "ナ", "д", "Ж", "ω", "-", "9"]) for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["漢" * 600, "x" * 200]
+    found, pattern = words(spark, texts, scripts), re.compile(scoring.piece_pattern(scripts))
+    one = [re.compile(f"[{scoring.letters(a)}]") for a in scripts]
+    for text, want in zip(texts, found, strict=True):
+        assert [w for p in pattern.findall(text) for w in scoring.Pieces.words(p, next(a for a, x in zip(scripts, one, strict=True) if x.search(p)))] == want, text
+
+
 def test_training_words(spark):
+    more = spark.createDataFrame([("ru", "Привет cat мир-мир"), ("zz", "one мир"), ("ja", "日本 x"), ("am", "ሰላም")], "lang string, text string")
+    got = sorted((r["lang"], r["word"], r["cnt"]) for r in train.training_words(more).collect())
+    assert got == [("am", "ሰላም", 1), ("ru", "мир", 2), ("ru", "привет", 1), ("zz", "one", 1)]
+    assert [r["word"] for r in train.training_words(more, ["CYRILLIC"], skipwords=spark.createDataFrame([("мир",)], "word string")).collect()] == ["привет"]
     rows = spark.createDataFrame([("en", "The cat, sat."), ("de", "hello abc123 "), ("fr", "dogs' bones"), ("es", "a'b'c"), ("en", None), (None, "x")], "lang string, text string")
     got = sorted((r["lang"], r["word"], r["cnt"]) for r in train.training_words(rows).collect())
     assert got == [("de", "hello", 1), ("en", "cat", 1), ("en", "sat", 1), ("en", "the", 1), ("fr", "bones", 1), ("fr", "dogs", 1)]
@@ -87,6 +109,8 @@ def test_cleaning(spark):
     assert got == ["cafe naive uber resume", "ae oe ss ff fi fl ffi Strasse", "漢字", "É", "plain", None]
     for text, clean in registry.MARKUP:
         assert T.strip_markup(text) == clean, text
+    for text, clean in (("see https://", "see https://"), ("http:// x", " x"), ("&é; &x", "&é; &x"), ("a <b\nc> d", "a \nc> d"), ("{{a\n}}|b", "|b"), ("|x", ""), ("{|{|a|}|}b", "b"), ("<" * 100_000, ""), ("&a" * 100_000, "&a" * 100_000)):
+        assert T.strip_markup(text) == clean, text[:20]
     sizes = [0, 512, 1024, 1536, 1 << 20]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(T.human_bytes(F.col("n"))).collect()] == ["0B", "512B", "1.0K", "1.5K", "1.0M"]
 
