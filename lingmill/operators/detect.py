@@ -137,7 +137,8 @@ def _said(words: DataFrame, model: Model, params: Params) -> DataFrame:
     if model.has_cj:
         own = words.filter(F.col("script").isin(*catalog.CJ_ALPHABETS)).select("script", "word").distinct()
         size = F.length("word")
-        tiles = F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.col("word").substr(i, F.lit(n)).alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>")) for n in (1, 2)]))
+        runs = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda n: size >= n), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(n.alias("n"), F.col("word").substr(i, n).alias("gram"))))
+        tiles = F.flatten(runs)
         cj = own.select("script", "word", F.explode(tiles).alias("p")).select("script", "word", "p.*").join(_table(model, model.cj), ["n", "gram"]).select("script", "word", "n", F.explode("langs").alias("l"))
         c, one = _place([model.languages[i] for i in model.facts.cj], "lang"), F.col("n") == 1
         cj = cj.groupBy("script", "word", "n", F.col("l.lang").alias("lang")).agg(F.sum("l.u").alias("u"), F.count("*").alias("h"))

@@ -172,11 +172,13 @@ def test_small_files(spark, tmp_path):
 
 def test_stored_models(spark, tmp_path):
     M.save(*registry.trained(spark, SF), str(tmp_path))
-    lite = M.load(spark, str(tmp_path), "en,de,efigs", "lite")
-    assert lite.languages == ["en", "fr", "de", "it", "es"]
-    assert M.load(spark, str(tmp_path), "efigs", "lite") is lite
+    lite = M.load(spark, str(tmp_path), "es,en,de,French", "lite")
+    assert lite.languages == ["en", "fr", "de", "es"] and lite.info().count() == 4
+    assert M.load(spark, str(tmp_path), "en,fr,de,es", "lite") is lite
     M.clear_cache()
-    assert M.load(spark, str(tmp_path), "efigs", "lite") is not lite
+    assert M.load(spark, str(tmp_path), "en,fr,de,es", "lite") is not lite
+    with pytest.raises(FileNotFoundError):
+        M.load(spark, str(tmp_path), "efigs", "lite")  # Italian is needed, and there is none
     M.clear_cache()
     assert M.needs_ngrams(["en", "th", "ja"]) == []
 
