@@ -10,10 +10,10 @@ number of leaves to visit is widened until `recall` of their true neighbours lie
 gives them is returned with each row. With recall 1 every query visits every leaf, and the search is exact.
 
 Search: a query keeps the nodes yet to see in a priority queue by distance to their centres and visits leaves in that order, as many
-as were calibrated, and more until their rows can fill the answer. Visits are joined to the rows of the leaves in blocks of
-bounded size: a leaf of many rows or queries is split by hash into as many parts as it needs, so that no task holds more
-than a block of rows and a block of queries. A block returns the k nearest of its rows for each of its queries; the final
-answer takes the k nearest of these.
+as were calibrated, and more until their rows can fill the answer. Neighbouring leaves make a bin of bounded size, and a query
+goes once to each bin that it visits, with the leaves to look at there. A bin of many queries, or of one leaf of many rows, is split
+by hash into as many parts as it needs, so that no task holds more than a block of rows and a block of queries. A block returns the
+k nearest of its rows for each of its queries; the final answer takes the k nearest of these.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or hold null or non-finite numbers take no part, nor
 do rows without id; rows that share the query's id are its own and no candidates; repeated queries count once; ties go
@@ -182,35 +182,51 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMP
             leaves[r["query_id"]].append(r["leaf"])
     visits, reached = visits_for(tree, some, leaves, recall)
 
+    bins, parts, held = {}, {}, ROWS  # leaves in their order, which keeps those of a branch together
+    for leaf in sorted(per_leaf):
+        if held + per_leaf[leaf] > ROWS:
+            parts[len(parts)], held = -(-per_leaf[leaf] // ROWS), 0
+        bins[leaf] = len(parts) - 1
+        held += per_leaf[leaf]
+
     def choose(batches):
         tree = shared.value
         for b in batches:
             out = []
             for i, v in zip(b["vec_id"], b["v"], strict=True):
-                rows_seen = 0
+                rows_seen, to = 0, defaultdict(list)
                 for r, leaf in enumerate(tree.visits(np.array(v)), 1):
-                    out.append((leaf, i, v))
-                    rows_seen += per_leaf.get(leaf, 0)
+                    if leaf in bins:
+                        to[bins[leaf]].append(leaf)
+                        rows_seen += per_leaf[leaf]
                     if r >= visits and rows_seen > min(4 * k, total - 1):
                         break
-            yield pd.DataFrame(out, columns=["leaf", "query_id", "q"])
+                out += [(bin_, i, v, some) for bin_, some in to.items()]
+            yield pd.DataFrame(out, columns=["bin", "query_id", "q", "leaves"])
 
-    asked = table(queries.mapInPandas(choose, "leaf long, query_id long, q array<double>"), "visits")
-    q_per_leaf = dict(asked.groupBy("leaf").count().collect())
-    parts = [(leaf, -(-n // ROWS), -(-q_per_leaf.get(leaf, 1) // QUERIES)) for leaf, n in per_leaf.items()]
-    parts = F.broadcast(spark.createDataFrame(parts, "leaf long, r long, c long"))
-    some = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    left = index.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id", F.lit(1)), "r").alias("r"), F.explode(some("c")).alias("c"), "vec_id", "v")
-    right = asked.join(parts, "leaf").select("leaf", F.explode(some("r")).alias("r"), F.pmod(F.xxhash64("query_id", F.lit(2)), "c").alias("c"), "query_id", "q")
+    asked = table(queries.mapInPandas(choose, "bin long, query_id long, q array<double>, leaves array<long>"), "visits")
+    q_per_bin = dict(asked.groupBy("bin").count().collect())
+    parts = F.broadcast(spark.createDataFrame([(leaf, n, parts[n], -(-q_per_bin.get(n, 1) // QUERIES)) for leaf, n in bins.items()], "leaf long, bin long, r long, c long"))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    left = index.join(parts, "leaf").select("bin", F.pmod(F.xxhash64("vec_id", F.lit(1)), "r").alias("r"), F.explode(each("c")).alias("c"), "leaf", "vec_id", "v")
+    right = asked.join(parts.drop("leaf").distinct(), "bin").select("bin", F.explode(each("r")).alias("r"), F.pmod(F.xxhash64("query_id", F.lit(2)), "c").alias("c"), "query_id", "q", "leaves")
 
     def block(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asked):
-            rows = rows.sort_values("vec_id")
-            ids, x, q_ids = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist()), asked["query_id"].to_numpy()
-            out = [(q_ids[i], ids[j], d) for i, at, dist in nearest(ids, x, q_ids, np.array(asked["q"].tolist()), k) for j, d in zip(at, dist, strict=True)]
+            rows = rows.sort_values(["leaf", "vec_id"])
+            ids, x, leaf = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist()), rows["leaf"].to_numpy()
+            q_ids, q, wants = asked["query_id"].to_numpy(), np.array(asked["q"].tolist()), [set(w) for w in asked["leaves"]]
+            found = [[] for _ in q_ids]
+            starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+            for lo, hi in zip(starts, [*starts[1:], len(leaf)], strict=True):
+                mine = np.array([j for j, w in enumerate(wants) if leaf[lo] in w], dtype=int)
+                if len(mine):
+                    for i, at, dist in nearest(ids[lo:hi], x[lo:hi], q_ids[mine], q[mine], k):
+                        found[mine[i]] += zip(dist.tolist(), ids[lo:hi][at].tolist(), strict=True)
+            out = [(i, j, d) for i, got in zip(q_ids, found, strict=True) for d, j in heapq.nsmallest(k, got)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    key = ["leaf", "r", "c"]
+    key = ["bin", "r", "c"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
     return _best(near, k).select("query_id", "rank", "vec_id", "score", F.lit(reached).alias("recall"))
