@@ -11,7 +11,7 @@ as a leak from `least` on. Edited and paraphrased copies keep some seeds and mos
 Words are counted once for the whole benchmark, so that an item's seeds don't depend on the other items of its block. Items go
 to all tasks in blocks of bounded number and characters (an item longer than that is a block of its own); clean_rows reads the
 documents once for all blocks, find_leaks once a block. Nothing of the documents is shuffled but word counts, added up in each
-task before. A worker keeps the seeds of the block at hand for its next task.
+task before. A worker keeps the seeds of the block at hand for its next task, but no words.
 
 Defined results: a null or wordless text or item has no leak; of several passages the best counts, the first if they tie;
 repeated items give a row each; repeated documents give rows each; other columns are ignored; empty tables give an empty result.
@@ -33,7 +33,9 @@ RARE, LEAST = 1e-9, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items and characters of items that go to the tasks at once, and words that are counted at once.
 BLOCK_ITEMS, BLOCK_CHARS, BLOCK_WORDS = 20_000, 16_000_000, 2_000_000
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Size of the table of n-gram hashes that lets most positions go.
+QUICK = 1 << 23
 #: Symbols that don't count at the ends of a word.
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@"
 EDGE_BYTES = EDGES.encode()
@@ -109,21 +111,19 @@ class Seeds:
                         break
             if item and not any_rare:
                 found.setdefault(len(item), {}).setdefault(tuple(item), []).append((k, 0))
-        self.by_n = {}
-        mask = (1 << 22) - 1
-        for n, grams in sorted(found.items()):
-            quick = np.zeros(mask + 1, dtype=bool)
-            quick[(self.mixed(np.array(list(grams), dtype=np.int64).T) & np.uint64(mask)).astype(np.int64)] = True
-            self.by_n[n] = (quick, grams)
-        self.mask = np.uint64(mask)
+        self.by_n = dict(sorted(found.items()))
+        self.quick = np.zeros(QUICK, dtype=bool)
+        for n, grams in self.by_n.items():
+            columns, h = np.array(list(grams), dtype=np.int64).T, np.zeros(len(grams), dtype=np.uint64)
+            for c in columns:
+                h = self.mixed(h, c)
+            self.quick[h & np.uint64(QUICK - 1)] = True
 
     @staticmethod
-    def mixed(columns) -> np.ndarray:
-        h = np.zeros(len(columns[0]), dtype=np.uint64)
-        for c in columns:
-            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
+    def mixed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The hash of an n-gram, from that of its words but the last."""
+        h = (h ^ words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
 
     def hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(position, item, position in the item) of all seeds in a run of texts; no seed holds the -1 between texts."""
@@ -132,11 +132,16 @@ class Seeds:
         run = np.flatnonzero(np.diff(np.concatenate([known, [False]]).astype(np.int8)) == -1)  # last known words of runs
         at = np.flatnonzero(known)
         left = run[np.searchsorted(run, at)] - at + 1 if len(at) else at  # known words from here on
-        for n, (quick, grams) in self.by_n.items():
-            at, left = at[left >= n], left[left >= n]
+        h, done = np.zeros(len(at), dtype=np.uint64), 0
+        for n, grams in self.by_n.items():
+            long = left >= n
+            at, left, h = at[long], left[long], h[long]
             if not len(at):
                 break
-            some = at[quick[(self.mixed([ids[at + j] for j in range(n)]) & self.mask).astype(np.int64)]]
+            for j in range(done, n):
+                h = self.mixed(h, ids[at + j])
+            done = n
+            some = at[self.quick[h & np.uint64(QUICK - 1)]]
             for i in some.tolist():
                 for k, j in grams.get(tuple(ids[i : i + n].tolist()), ()):
                     out.append((i, k, j))
@@ -255,12 +260,12 @@ _built: dict = {}
 
 
 def _ready(shared, rare: float) -> tuple[list, WordIds, Seeds]:
-    """Names, words and seeds of a block, built once in a worker."""
+    """Names, words and seeds of a block; the seeds are built once in a worker."""
     key, names, items, vocabulary, shares = shared.value
     if (key, rare) not in _built:
         _built.clear()
-        _built[key, rare] = names, WordIds(vocabulary), Seeds(items, shares, rare)
-    return _built[key, rare]
+        _built[key, rare] = Seeds(items, shares, rare)
+    return names, WordIds(vocabulary), _built[key, rare]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, rare: float = RARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
