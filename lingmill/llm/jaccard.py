@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_table, table
+from .common import BROADCAST_ROWS, batches_of, drop_table, table
 
 WORDS = 5
-REMEMBERED = 300_000
-#: Nodes, and shingles, of a block of a component; nodes of small components that are counted together.
-BLOCK_NODES, BLOCK_SHINGLES, TOGETHER = 256, 1_000_000, 4000
+REMEMBERED = 100_000
+#: Rows that go to Python at once; nodes, and shingles, of a block of a component; nodes of small components that are counted together.
+BATCH, BLOCK_NODES, BLOCK_SHINGLES, TOGETHER = 1000, 256, 1_000_000, 4000
 #: Odd multipliers, one for each word of a shingle, and one for the length of a short text.
 FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"factor", seed=i) | 1) for i in range(WORDS + 1)]
 
@@ -162,7 +162,8 @@ def labelled(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     shingles); with links also n_links (see join)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("_th"), _row_hash(docs).alias("_h"), text.alias("_text"))
-    sets = table(_sets(rows, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    with batches_of(docs.sparkSession, BATCH):
+        sets = table(_sets(rows, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
     slim = table(sets.select("doc_id", "th", "h", "n", "node", "row"), "slim")
 
     firsts = sets.select("row", F.explode("firsts").alias("s"))
@@ -266,7 +267,8 @@ def _link(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, D
     n_nodes = nodes.count()
     wanted = F.broadcast(nodes) if n_nodes <= BROADCAST_ROWS else nodes
     texts = rows.join(wanted.select(F.col("th").alias("_th"), "node", "n"), "_th").select("node", "n", "_th", "_text")
-    full = table(_full_sets(texts.dropDuplicates(["node", "_th"])).dropDuplicates(["node"]), "full")
+    with batches_of(rows.sparkSession, BATCH):
+        full = table(_full_sets(texts.dropDuplicates(["node", "_th"])).dropDuplicates(["node"]), "full")
     each = full.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("_d"))
