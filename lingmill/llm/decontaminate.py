@@ -34,6 +34,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items and characters of items that go to the tasks at once, and words that are counted at once.
 BLOCK_ITEMS, BLOCK_CHARS, BLOCK_WORDS = 20_000, 16_000_000, 2_000_000
 REMEMBERED = 100_000
+#: Rows that are looked through at once.
+ROWS = 1000
 #: Size of the table of n-gram hashes that lets most positions go.
 QUICK = 1 << 23
 #: Symbols that don't count at the ends of a word.
@@ -296,19 +298,20 @@ def _finder(shared, least: float, rare: float):
 def clean_rows(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, rare: float = RARE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, as they are, into which no item leaked: each block of items is a filter that rows pass where they are read."""
     names = [f"_{i}" for i in range(len(docs.columns))]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text")
-    held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)], text)
+    held, at = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)]), docs.columns.index(text_col)
+    if held.schema[at].dataType.simpleString() != "string":  # else the text goes to Python once
+        held, at = held.withColumn("_text", F.col(names[at]).cast("string")), len(names)
     for shared in _blocks(_text(docs, docs.columns[0], text_col), benchmark, item_col, item_text):
-        held = held.mapInArrow(_filter(shared, least, rare), held.schema)
+        held = held.mapInArrow(_filter(shared, least, rare, at), held.schema)
     return held.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])
 
 
-def _filter(shared, least: float, rare: float):
+def _filter(shared, least: float, rare: float, at: int):
     def run(batches):
         _, ids, seeds = _ready(shared, rare)
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             keep = np.ones(b.num_rows, dtype=bool)
-            for keys, texts in chunks(range(b.num_rows), b.column("_text").to_pylist()):
+            for keys, texts in chunks(range(b.num_rows), [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]):
                 got, starts = ids.of(texts)
                 for d, *_ in leaks_in(got, starts, seeds, least):
                     keep[keys[d]] = False

@@ -1,9 +1,10 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-Ratings make three grades: 0 toxic, 1 poor but not toxic, 2 sound and clean; each word of abuse may push a text further down. P(grade <= k) = sigmoid(threshold[k] - w.x), one
-weight vector w for all grades and ordered thresholds. x marks which hashed features a text has: its words, the first four
-letters of longer words, and levels of how it is written (repeats, capitals, digits, symbols, lengths of words). From the model come
-the expected grade and the tail probabilities P(grade >= k); a document is kept if P(grade >= 2) is at least 1/2, 1/2 itself included.
+Ratings make three grades: 0 toxic, 1 poor but not toxic, 2 sound and clean; each word of abuse may push a text further down.
+P(grade <= k) = sigmoid(threshold[k] - w.x), one weight vector w for all grades and ordered thresholds. x marks which hashed features a
+text has: its words, the first four letters of longer words, and levels of how it is written (repeats, capitals, digits, symbols,
+lengths of words). From the model come the expected grade and the tail probabilities P(grade >= k); a document is kept if
+P(grade >= 2) is at least 1/2, 1/2 itself included.
 
 The model is fitted on a sample: of the `sample` labelled ids with the smallest hashes, each distinct text once, and not more than
 2 * `sample` texts, one of each id first, then those with the smallest hashes of id and text. A feature has a weight if at least a
@@ -31,6 +32,8 @@ BITS = 20
 #: The bound of the sample, the least share of its texts that a feature must be in, and the fit's settings.
 SAMPLE, MIN_SHARE, SPARSE_STEPS, STEPS, RATE, SPARSE, DECAY = 12_000, 1e-3, 150, 250, 0.1, 1.5e-3, 3e-6
 REMEMBERED = 100_000
+#: Rows that are scored at once.
+ROWS = 1000
 EDGES = b" \t\n.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@"
 
 
@@ -80,6 +83,26 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def likelihood(p: np.ndarray, flat: np.ndarray, docs: np.ndarray, grades: np.ndarray, dim: int) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood and its gradient. p: dim weights, the first threshold, logs of the steps up from it; flat, docs:
+    the features of all texts and whose they are."""
+    n, cuts = len(grades), np.concatenate([[-np.inf], thresholds(p, dim), [np.inf]])
+    score = np.bincount(docs, weights=p[flat], minlength=n)
+    hi, lo = sigmoid(cuts[grades + 1] - score), sigmoid(cuts[grades] - score)
+    prob = np.maximum(hi - lo, 1e-12)
+    d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
+    g = np.zeros_like(p)
+    g[:dim] = np.bincount(flat, weights=(d_hi - d_lo)[docs], minlength=dim) / n
+    by_cut = np.array([-d_hi[grades == k].sum() + d_lo[grades == k + 1].sum() for k in range(len(cuts) - 2)]) / n
+    g[dim] = by_cut.sum()
+    g[dim + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(p[dim + 1 :])
+    return float(-np.log(prob).mean()), g
+
+
+def thresholds(p: np.ndarray, dim: int) -> np.ndarray:
+    return p[dim] + np.concatenate([[0], np.cumsum(np.exp(p[dim + 1 :]))])
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds, by full-batch gradient steps (Adam) on the penalised likelihood.
 
@@ -94,7 +117,6 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> tuple[
     flat = (np.cumsum(held) - 1)[flat]
     share = np.array([(np.count_nonzero(grades <= k) + 1) / (n + n_grades) for k in range(n_grades - 1)])
     start = np.log(share / (1 - share))
-    # thresholds: the first, then logs of the steps up from it
     p = np.concatenate([np.zeros(dim), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, SPARSE_STEPS + STEPS + 1):
@@ -103,26 +125,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> tuple[
             live = p[:dim] != 0
             flat, docs = flat[live[flat]], docs[live[flat]]
             m[:dim] *= live
-        gaps = np.exp(p[dim + 1 :])
-        cuts = np.concatenate([[-np.inf], p[dim] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
-        score = np.bincount(docs, weights=p[flat], minlength=n)
-        hi, lo = sigmoid(cuts[grades + 1] - score), sigmoid(cuts[grades] - score)
-        prob = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
-        g = np.zeros_like(p)
-        g[:dim] = np.bincount(flat, weights=(d_hi - d_lo)[docs], minlength=dim) / n + (0 if sparse else DECAY) * p[:dim]
-        by_cut = np.array([-d_hi[grades == k].sum() + d_lo[grades == k + 1].sum() for k in range(n_grades - 1)]) / n
-        g[dim] = by_cut.sum()
-        g[dim + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
+        _, g = likelihood(p, flat, docs, grades, dim)
+        if not sparse:
+            g[:dim] += DECAY * p[:dim]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         pace = RATE / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
         p -= pace * m / (1 - 0.9**step)
         if sparse:
             p[:dim] = np.sign(p[:dim]) * np.maximum(np.abs(p[:dim]) - SPARSE * pace[:dim], 0)
-    cuts = p[dim] + np.concatenate([[0], np.cumsum(np.exp(p[dim + 1 :]))])
     weights = np.zeros(1 << BITS, dtype=np.float32)
     weights[names] = p[:dim]
-    return weights, cuts
+    return weights, thresholds(p, dim)
 
 
 def _bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,20 +182,25 @@ def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
 
     if carry:
         keys = [f"_{i}" for i in range(len(docs.columns))]
-        held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, keys, strict=True)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text"))
+        held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, keys, strict=True)])
+        at = docs.columns.index(text_col)
+        if held.schema[at].dataType.simpleString() != "string":  # else the text goes to Python once
+            held, at = held.withColumn("_text", F.col(keys[at]).cast("string")), len(keys)
 
         def keep(batches):
             scores.buckets = Buckets()
             for b in batches:
-                got = scores(b.column("_text").to_pylist())
-                yield b.filter(pa.array(got[:, 1] >= 0.5)).drop_columns(["_text"])
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    got = scores([t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()])
+                    yield part.filter(pa.array(got[:, 1] >= 0.5)).select(keys)
 
-        kept = held.mapInArrow(keep, held.drop("_text").schema)
+        kept = held.mapInArrow(keep, held.select(*keys).schema)
         return kept.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, keys, strict=True)])
 
     def run(batches):
         scores.buckets = Buckets()
-        for b in batches:
+        for b in (whole.iloc[lo : lo + ROWS] for whole in batches for lo in range(0, len(whole), ROWS)):
             got = scores(b["_text"])
             yield pd.DataFrame({"doc_id": b["doc_id"], "expected_grade": got.sum(axis=1).round(6), "p_ge1": got[:, 0].round(6), "p_ge2": got[:, 1].round(6), "keep": got[:, 1] >= 0.5})
 
