@@ -303,3 +303,14 @@ def _link(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, D
     cross = cross.join(member.select(*_side("x", "group", "label"), F.col("node").alias("a")), ["x_group", "x_label"]).join(member.select(*_side("y", "group", "label"), F.col("node").alias("b")), ["y_group", "y_label"])
     more = table(_verified(cross.select("a", "b"), held, percent), "links")
     return (components(links.union(more)) if more.limit(1).count() else labels), held
+
+
+def oracle(percent: int = 75) -> str:
+    """The same rows in DuckDB SQL: all pairs that share a shingle, and whatever they reach; for tables without repeated ids."""
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM d),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        o AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, count(*) AS o FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM o WHERE 100 * o >= {percent} * (n + m - o)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)), doc_id) AS component_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM s"""

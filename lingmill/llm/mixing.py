@@ -7,7 +7,7 @@ Entropy balancing: of all document rates r between 0 and `most`, those nearest t
 once, that meet the token constraint of every source are r = min(most, exp(dual of the source * size of the document)). The duals
 solve a convex problem by Newton iterations, all sources in each, kept inside a bracket; gradient and curvature are sums over the
 documents that Spark takes anew in every iteration, from how many documents of a source have a size. It ends when every source is met
-to a billionth, and raises if it isn't. A source with more words than before prefers its long documents, one with fewer its short ones,
+to a trillionth, or as nearly as doubles allow, and raises if it isn't. A source with more words than before prefers its long documents, one with fewer its short ones,
 as little as the targets allow.
 
 Rates are rounded into whole copies: sizes of a source in rising order get copies by cumulated rates, which keeps the error of a source
@@ -35,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 UNIT = 1 << 20
 KEY = ["no_source", "source"]
 #: Newton iterations after which an unmet target is an error, and how near is met.
-STEPS, NEAR = 200, 1e-9
+STEPS, NEAR = 200, 1e-12
 
 
 def with_targets(sources: DataFrame, share: float, most: float, weights: tuple = WEIGHTS) -> DataFrame:
@@ -66,7 +66,7 @@ def with_duals(sources: DataFrame, sizes: DataFrame, most: float, steps: int = S
     open_ = F.col("target").isNotNull() & (F.col("target") > 0) & ~F.col("full")
     held = sources.withColumn("full", (F.col("source_size") > 0) & (F.col("target") >= F.col("source_size") * F.lit(most * (1 - 1e-12))))
     held = table(held.withColumns({"dual": F.lit(0.0), "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double"), "_met": ~open_}), "duals")
-    exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
+    exact = lambda x: F.sum(x.cast("decimal(38,15)")).cast("double")
     for _ in range(steps):
         if held.filter(~F.col("_met")).limit(1).count() == 0:
             return held.drop("_lo", "_hi", "_met")
@@ -137,10 +137,37 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, rounds: int = 3, id_
     out = docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else rows
     copies = (F.col("base") + F.when(F.col("digest") <= F.col("last"), 1).otherwise(0)).cast("int")
     done = out.join(small(cells, n), [*KEY, "size"]).withColumn("copies", copies)
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate", *(["row"] if carry else []))
+    return done.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies", F.round("rate", 6).alias("rate"), *(["row"] if carry else []))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as many times as the mix takes it."""
     taken = mix(docs, carry=True, **how).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy"))
     return taken.select("row.*")
+
+
+def oracle(share: float = 1.5, most: int = 2, rounds: int = 3, weights: tuple = WEIGHTS) -> str:
+    """The same rows in DuckDB SQL: the targets from the order in which sources reach their most, the duals by bisection."""
+    rate = lambda dual, size: f"CASE WHEN {size} = 0 THEN 1.0 ELSE least({most}.0, exp(least(({dual}) * {size} * nd / ss, ln({most}.0)))) END"
+    gained = f"list_sum(list_transform(c, lambda x: x.n * x.size * {rate('(s.lo + s.hi) / 2', 'x.size')}))"
+    steps = f"list_reduce(list_prepend({{'lo': -2000.0::DOUBLE, 'hi': 2000.0::DOUBLE}}, list_transform(range(140), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE}})), lambda s, e: CASE WHEN {gained} < target THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END)"
+    fixes = ""
+    for i in range(rounds):
+        fixes += f"""
+        l{i} AS (SELECT k, any_value(target) - sum(size * m) AS missing FROM m{i} GROUP BY k),
+        b{i} AS (SELECT k, arg_min(size, struct_pack(a := abs(missing - sgn * size), b := size)) AS pick, any_value(sgn) AS sgn FROM (SELECT *, CASE WHEN missing > 0 THEN 1 ELSE -1 END AS sgn FROM m{i} JOIN l{i} USING (k))
+            WHERE CASE WHEN sgn > 0 THEN m < n * {most} ELSE m > 0 END AND size > 0 AND abs(missing - sgn * size) < abs(missing) GROUP BY k),
+        m{i + 1} AS (SELECT m{i}.* EXCLUDE (m), m + CASE WHEN size = pick THEN sgn ELSE 0 END AS m FROM m{i} LEFT JOIN b{i} USING (k)),"""
+    digest = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT)"
+    return rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, struct_pack(no := source IS NULL, s := coalesce(source, '')) AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, {digest} AS digest FROM documents),
+        hist AS (SELECT k, size, count(*) AS n FROM d GROUP BY ALL),
+        src AS (SELECT k, CAST(sum(n * size) AS BIGINT) AS ss, CAST(coalesce(sum(n) FILTER (size > 0), 0) AS BIGINT) AS nd, list(struct_pack(size := size, n := n) ORDER BY size) AS c, ({list(map(float, weights))})[(row_number() OVER (ORDER BY k.no, k.s) - 1) % {len(weights)} + 1] AS w FROM hist GROUP BY k),
+        sure AS (SELECT *, least({share} * sum(ss) OVER (), sum(ss * {most}.0) OVER ()) AS want, coalesce(sum(ss * {most}.0) OVER before, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open, row_number() OVER (ORDER BY ss * {most}.0 / w, k.no, k.s) AS o FROM src WINDOW before AS (ORDER BY ss * {most}.0 / w, k.no, k.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        lev AS (SELECT arg_min((want - capped) / open, o) FILTER ((want - capped) / open * w <= ss * {most}.0) AS level FROM sure),
+        tgt AS (SELECT src.*, CASE WHEN level IS NULL THEN ss * {most}.0 ELSE least(ss * {most}.0, w * level) END AS target FROM src, lev),
+        dual AS (SELECT *, CASE WHEN target <= 0 OR target >= ss * {most}.0 * (1 - 1e-12) THEN NULL ELSE list_transform([{steps}], lambda s: (s.lo + s.hi) / 2)[1] END AS dual FROM tgt),
+        rates AS (SELECT k, hist.size, n, ss, target, CASE WHEN hist.size = 0 THEN 1.0 WHEN target <= 0 THEN 0.0 WHEN dual IS NULL THEN {most}.0 ELSE {rate('dual', 'hist.size')} END AS rate FROM hist JOIN dual USING (k)),
+        cum AS (SELECT *, (sum(n * CAST(round(rate * {UNIT}) AS BIGINT)) OVER (PARTITION BY k ORDER BY size) + {UNIT // 2}) // {UNIT} AS u FROM rates),
+        m0 AS (SELECT k, size, n, ss, target, rate, CAST(u - coalesce(lag(u) OVER (PARTITION BY k ORDER BY size), 0) AS BIGINT) AS m FROM cum),{fixes}
+        ranked AS (SELECT d.doc_id, d.size, ss, target, rate, m, n, row_number() OVER (PARTITION BY d.k, d.size ORDER BY digest) AS r FROM d JOIN m{rounds} USING (k, size))
+        SELECT doc_id, size, ss AS source_size, round(target, 6) AS target, CAST(size * (m // n + CASE WHEN r <= m % n THEN 1 ELSE 0 END) AS BIGINT) AS taken, CAST(m // n + CASE WHEN r <= m % n THEN 1 ELSE 0 END AS INT) AS copies, round(rate, 6) AS rate FROM ranked"""

@@ -72,3 +72,31 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_
         "row_no",
         *(["row"] if carry else []),
     )
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 * (c & 1))
+        out.append(c)
+    return out
+
+
+def oracle(shards: int = 16, seed: int = 11) -> str:
+    """The same rows in DuckDB SQL, for tables without repeated ids."""
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, size), lambda i: CAST('0x' || h[2 * i - 1:2 * i] AS BIGINT))), lambda c, b: xor(c >> 8, ({_crc_table()})[xor(c, b) % 256 + 1])), 4294967295)"
+
+    def permuted(x: str) -> str:
+        out = f"{{'l': {x} // a, 'r': {x} % a}}"
+        for k in round_keys(seed):
+            mixed = f"((s.r * 48271 + {k}::BIGINT) % {PRIME})"
+            out = f"list_transform([{out}], lambda s: {{'l': s.r, 'r': (s.l + ({mixed} * {mixed} + {k}::BIGINT * 7 + 3) % {PRIME}) % a}})[1]"
+        return f"list_transform([{out}], lambda s: s.l * a + s.r)[1]"
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size FROM documents),
+        e AS (SELECT doc_id, size, CAST({crc} AS BIGINT) AS text_crc32 FROM d),
+        f AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_no, count(*) OVER () AS n FROM e),
+        g AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM f),
+        p AS (SELECT row_no, n, a, {permuted('row_no')} AS y FROM g UNION ALL SELECT row_no, n, a, {permuted('y')} FROM p WHERE y >= n)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(y % {shards} AS INT) AS shard, y // {shards} AS slot, CAST(NULL AS INT) AS grown_shard, row_no FROM g JOIN (SELECT row_no, y FROM p WHERE y < n) USING (row_no)"""

@@ -150,3 +150,16 @@ def count_tokens(docs: DataFrame, vocabulary: list[bytes] | None = None, lead: b
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_words long, n_tokens long")
+
+
+def oracle(path: str = VOCABULARY) -> str:
+    """The same rows in DuckDB SQL: longest-match pieces of every distinct word, one after the other."""
+    return rf"""WITH RECURSIVE v AS (SELECT DISTINCT hex(from_base64(split_part(line, ' ', 1))) AS t FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM read_text('{path}')) WHERE trim(line) <> ''),
+        lens AS (SELECT DISTINCT length(t) AS l FROM v WHERE length(t) > 0),
+        d AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+        e AS (SELECT r, '20' || hex(encode(unnest(w))) AS h FROM d),
+        step AS (SELECT DISTINCT h, 1::BIGINT AS pos, 0::BIGINT AS n FROM e
+            UNION ALL SELECT h, pos + max(l), n + 1 FROM step JOIN lens ON l <= length(h) - pos + 1 JOIN v ON v.t = substr(h, pos, l) GROUP BY h, pos, n),
+        done AS (SELECT h, n FROM step WHERE pos > length(h)),
+        counts AS (SELECT r, CAST(sum(coalesce(n, 1)) AS BIGINT) AS n_tokens FROM e LEFT JOIN done USING (h) GROUP BY r)
+        SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_tokens, 0) AS n_tokens FROM d LEFT JOIN counts USING (r)"""

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lingmill.llm import mixing, quality, queries, sharding, tokens
@@ -45,7 +46,9 @@ def test_token_counts(spark, messy, empty):
         want.append((str(i), len((t or "").encode()), len(words), sum(greedy(b" " + w, vocabulary, vocabulary) for w in words)))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_words"], r["n_tokens"]) for r in rows.collect()) == sorted(want)
     assert tokens.count_tokens(empty).count() == 0
-    assert queries.QUERIES["op2_token_counts"](spark, SF).count() == 200
+    docs = texts_of(spark.read.parquet(f"{SF}/documents.parquet"))
+    want = sorted((i, len(t.encode()), len(t.split()), sum(greedy(b" " + w, vocabulary, vocabulary) for w in t.encode().split())) for i, t in docs)
+    assert sorted(map(tuple, queries.QUERIES["op2_token_counts"](spark, SF).collect())) == want
     held = tokens.Counts(tokens.Automaton([b"a"]), b"")
     assert held[b"a" * 1000] == 1000 and len(held) == 0
 
@@ -91,6 +94,44 @@ def test_sample_takes_each_text_of_an_id_once(spark, monkeypatch):
         assert wanted <= set(seen[-1])
 
 
+def test_probabilities_and_decisions(spark, messy, monkeypatch):
+    """Recomputed from weights and thresholds, text by text; at p = 1/2 a document stays; very long texts are read whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights, cuts = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "train", lambda *a: (weights, cuts))
+    extra = [(-1, "word " * 300_000 + " ".join(t for _, t in texts_of(docs)[:5])), (-2, None), (-3, "")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    for g in quality.grade_documents(rows, labels).join(rows, "doc_id").collect():
+        score = float(weights[quality.features((g["text"] or "").encode(), quality.Buckets())].sum(dtype=np.float64))
+        tail = [1 - 1 / (1 + math.exp(-max(-40, min(40, c - score)))) for c in cuts]
+        assert abs(g["p_ge1"] - tail[0]) < 2e-6 and abs(g["p_ge2"] - tail[1]) < 2e-6 and abs(g["expected_grade"] - sum(tail)) < 3e-6
+        assert g["keep"] == (tail[1] >= 0.5) or abs(tail[1] - 0.5) < 1e-9
+    monkeypatch.setattr(quality, "train", lambda *a: (np.zeros(1 << quality.BITS, dtype=np.float32), np.array([-1.0, 0.0])))
+    assert all(r["keep"] and r["p_ge2"] == 0.5 for r in quality.grade_documents(messy, labels).collect())
+    assert quality.grade_documents(messy, labels, carry=True).count() == messy.count()
+
+
+def test_gradient():
+    r = np.random.default_rng(5)
+    n, dim = 60, 12
+    docs = np.repeat(np.arange(n), 4)
+    flat, grades = r.integers(0, dim, 4 * n), r.integers(0, 3, n)
+    p = np.concatenate([r.normal(size=dim), [-0.5, 0.3]])
+    _, g = quality.likelihood(p, flat, docs, grades, dim)
+    for i in range(len(p)):
+        step = np.zeros_like(p)
+        step[i] = 1e-6
+        numeric = (quality.likelihood(p + step, flat, docs, grades, dim)[0] - quality.likelihood(p - step, flat, docs, grades, dim)[0]) / 2e-6
+        assert abs(numeric - g[i]) < 1e-7
+    # likelihood by its definition
+    cuts = [-math.inf, *quality.thresholds(p, dim), math.inf]
+    cdf = lambda x: 0.0 if x == -math.inf else 1.0 if x == math.inf else 1 / (1 + math.exp(-x))
+    scores = [sum(p[f] for f, d in zip(flat, docs, strict=True) if d == i) for i in range(n)]
+    want = -sum(math.log(cdf(cuts[k + 1] - s) - cdf(cuts[k] - s)) for k, s in zip(grades, scores, strict=True)) / n
+    assert abs(quality.likelihood(p, flat, docs, grades, dim)[0] - want) < 1e-12
+
+
 def test_ordered_fit():
     rows = [np.array([k], dtype=np.int32) for k in (0, 1, 2) for _ in range(60)]
     weights, cuts = quality.fit(rows, np.repeat([0, 1, 2], 60))
@@ -136,6 +177,51 @@ def test_mix(spark, messy, empty):
     assert rows.columns == messy.columns and rows.count() == mixing.mix(messy).agg(F.sum("copies")).first()[0]
 
 
+def test_mix_of_many_and_odd_sources(spark, monkeypatch):
+    """Sources of one long document, of nothing but empty texts, of equal texts; more targets than steps are an error."""
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 40:02d}") for i in range(1200)] + [(5000, "w " * 30_000, "long"), (5001, "w", "long")] + [(6000 + i, ["", None][i % 2], "none") for i in range(20)] + [(7000 + i, "same text", "same") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    sources, sizes, taken = {i: s for i, _, s in rows}, defaultdict(int), defaultdict(int)
+    for g in got:
+        sizes[sources[g["doc_id"]]] += g["size"]
+        taken[sources[g["doc_id"]]] += g["taken"]
+    want = targets(dict(sizes))
+    largest = {s: max(len((t or "").split()) for _, t, x in rows if x == s) for s in want}
+    assert all(abs(taken[s] - t) <= max(1, largest[s] / 2) for s, t in want.items()) and all(g["copies"] == 1 for g in got if not g["size"])
+    by = defaultdict(set)
+    for g in got:
+        by[sources[g["doc_id"]], g["size"]].add(g["copies"])
+    assert all(max(c) - min(c) <= 1 for c in by.values())
+    again = mixing.mix(docs.repartition(7).orderBy(F.rand(3)))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
+    with pytest.raises(RuntimeError):
+        mixing.with_duals(mixing.with_targets(docs.groupBy(F.lit(False).alias("no_source"), "source").agg(F.sum(F.length("text")).alias("source_size"), F.count("*").alias("n_docs")), 1.5, 2.0), docs.groupBy(F.lit(False).alias("no_source"), "source", F.length("text").cast("long").alias("size")).agg(F.count("*").alias("n")).filter("size > 0"), 2.0, steps=1)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, most=1.5)
+
+
+def test_permutation_in_the_plan(spark):
+    """The permutation of the plan is the one that Python makes by the same rule, cycle walking included."""
+    for n, seed in ((1, 11), (2, 11), (97, 3), (1000, 11), (10_001, 5)):
+        a, keys = max(1, math.isqrt(n - 1) + 1), sharding.round_keys(seed)
+
+        def once(x, a=a, keys=keys):
+            left, right = divmod(x, a)
+            for k in keys:
+                t = (right * 48271 + k) % sharding.PRIME
+                left, right = right, (left + (t * t + k * 7 + 3) % sharding.PRIME) % a
+            return left * a + right
+
+        want = []
+        for x in range(n):
+            y = once(x)
+            while y >= n:
+                y = once(y)
+            want.append(y)
+        assert [r[0] for r in spark.range(n).orderBy("id").select(sharding.permuted("id", n, seed)).collect()] == want
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 5, 17, 100, 1000, 4097):
         a, keys = max(1, math.isqrt(n - 1) + 1), sharding.round_keys(11)

@@ -1,12 +1,13 @@
 """Jaccard join, neighbours, decontamination and the pipeline, against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lingmill.llm import decontaminate, jaccard, neighbours, queries
+from lingmill.llm import decontaminate, jaccard, mixing, neighbours, quality, queries
 
 from .conftest import SF, texts_of
 
@@ -204,12 +205,39 @@ def test_leaks(spark, messy, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(messy, bench.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, messy, empty):
+def rows_of(df):
+    return Counter(map(str, df.collect()))
+
+
+def test_stages_on_messy_and_empty_rows(spark, messy, empty):
+    """What each stage makes of nulls, empty and very long texts, ties, repeated rows and clashing columns; and of no rows."""
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, empty, SF).count() == 0 and set(empty.columns) <= set(stage(spark, empty, SF).columns), name
+    all_rows = messy.collect()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = Counter((r["doc_id"], r["p_ge2"]) for r in quality.grade_documents(messy, labels).filter("keep").collect())
+    out = stages["quality classifier"](spark, messy, SF)
+    assert out.columns == messy.columns and Counter(r["doc_id"] for r in out.collect()) == Counter(i for (i, _), n in kept.items() for _ in range(n))
+    assert not rows_of(out) - rows_of(messy)
+    out = stages["n-gram Jaccard join"](spark, messy, SF)
+    wanted = {c for _, n, c, _ in classes(texts_of(messy)) if n} | {r["doc_id"] for r in all_rows if not sets(r["text"])}
+    assert out.columns == messy.columns and {r["doc_id"] for r in out.collect()} == wanted and max(rows_of(out).values()) == 1
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    leaky = messy.withColumn("text", F.when(F.col("doc_id") == 14, F.lit("x y z " + item.upper() + " end")).otherwise(F.col("text")))
+    out = stages["benchmark decontamination"](spark, leaky, SF)
+    assert out.columns == messy.columns and rows_of(out) == rows_of(leaky.filter("doc_id IS NULL OR doc_id <> 14"))
+    out = stages["mixing sources to target weights"](spark, messy, SF)
+    copies = {r["text"]: r["copies"] for r in mixing.mix(messy, carry=True).select("copies", "row.text").collect()}
+    assert out.columns == messy.columns and sum(rows_of(out).values()) == mixing.mix(messy).agg(F.sum("copies")).first()[0] and not rows_of(out) - rows_of(messy.union(messy))
+    assert all(copies[t] == 1 for t in (None, "", "   \n\t"))
+    out = stages["sharding"](spark, messy, SF)
+    assert rows_of(out.select(messy.columns)) == rows_of(messy) and "text_crc32" in out.columns and out.filter("slot IS NULL").count() == 0
+
+
+def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        for rows in (messy, empty):
-            out = stage(spark, rows, SF)
-            assert set(rows.columns) <= set(out.columns) and out.count() >= 0, name
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = docs, stage(spark, docs, SF)
         docs = corpus_pipeline.table(docs, f"t{k}")
         if k < 4:
@@ -221,6 +249,17 @@ def test_pipeline_stages(spark, messy, empty):
     assert corpus_pipeline.run(spark, SF).select(docs.columns).exceptAll(docs).count() == 0
 
 
+def test_long_texts(spark):
+    """A text of millions of words is looked through as a whole."""
+    r = random.Random(2)
+    item = [f"v{r.randrange(10**6)}" for _ in range(40)]
+    rows = [(1, "filler " * 1_000_000 + " ".join(item) + " filler" * 10), (2, "filler " * 1000)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(x["doc_id"], x["item_id"], x["score"], x["first_word"]) for x in decontaminate.find_leaks(docs, bench).collect()] == [(1, 7, 1.0, 1_000_000)]
+    assert [x["doc_id"] for x in decontaminate.clean_rows(docs, bench).collect()] == [2]
+    assert sorted((x["doc_id"], x["n_shingles"]) for x in jaccard.join(docs).collect()) == [(1, 1 + 44), (2, 1)]
+
+
 def test_all_are_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and list(corpus_pipeline.QUERIES) == ["pipeline"]
     for name in ("op9_neighbours", "op10_decontamination", "op3_quality"):
