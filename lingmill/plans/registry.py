@@ -15,7 +15,7 @@ from ..operators import cj, evaluate, incremental, train
 from ..operators import model as M
 from ..operators.detect import Params, detect, detect_scores, score_words, words_of
 from ..sources import files
-from . import fixed
+from . import fixed, sql
 from . import oracle as O
 
 #: The languages of the documents table.
@@ -435,6 +435,23 @@ def pages_detect(spark, sf_dir):
     return detect(body, model(spark, sf_dir), ["page_id"], keep=["expected"]).drop("pred")
 
 
+@query(O.detect_sql("documents", "doc_id", LANGS, DOCS))
+def detect_sql_function(spark, sf_dir):
+    """The same as detect_documents, by the function of SQL."""
+    sql.register(spark, model(spark, sf_dir), suffix="_of_documents")
+    documents(spark, sf_dir).createOrReplaceTempView("_documents")
+    return spark.sql("SELECT doc_id, lang AS expected, r.* FROM (SELECT doc_id, lang, detect_result_of_documents(text) AS r FROM _documents)").select(*COLUMNS)
+
+
+@query("SELECT trim(text, ' ' || chr(10) || chr(9)) AS text, count(*) AS n FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' GROUP BY 1")
+def wiki_xml_extract(spark, sf_dir):
+    """Documents written as pages of a compressed dump, and their texts as extracted from it."""
+    folder = f"{work_dir(spark)}/dump-{uuid.uuid4().hex}"
+    pages = documents(spark, sf_dir).select("doc_id", F.struct("text").alias("revision"))
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").option("compression", "bzip2").save(folder)
+    return files.read_wiki(spark, folder, strip=False).groupBy("text").agg(F.count("*").alias("n"))
+
+
 # hand-made models
 
 NGRAMS = [("en", 2, "th", -4000000), ("en", 2, "he", -4500000), ("en", 2, "le", -6000000), ("fr", 2, "le", -3000000), ("en", 3, "the", -5000000)]

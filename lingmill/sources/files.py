@@ -45,10 +45,10 @@ _FLOOR = r"cast(round(try_cast(regexp_extract(value, 'MinLogProb: (-?[0-9.]+)',
 
 
 def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
-    """lang, n, gram, logprob_u, file_floor_u of n-gram files: a header `# 1:distinct/total ... MinLogProb: x`, then `gram value`,
+    """lang, n, gram, logprob_u, file_floor_u of n-gram files: a header `# 1:distinct/total ... MinLogProb: x` (lengths without n-grams may lack), then `gram value`,
     the value being a count, or a logarithm if it begins with a minus. n-grams longer than the header tells are left out."""
     lines = _lines(spark, path, "ngrams")
-    heads = lines.filter(F.col("value").rlike("^# 1:")).select("lang", F.expr(_FLOOR).alias("file_floor_u"), F.explode(F.expr(r"regexp_extract_all(value, '([0-9]+):[0-9]+/[0-9]+', 0)")).alias("t"))
+    heads = lines.filter(F.col("value").rlike("^# [0-9]:")).select("lang", F.expr(_FLOOR).alias("file_floor_u"), F.explode(F.expr(r"regexp_extract_all(value, '([0-9]+):[0-9]+/[0-9]+', 0)")).alias("t"))
     totals = heads.select("lang", "file_floor_u", F.split("t", ":")[0].cast("int").alias("n"), F.split("t", "/")[1].cast("long").alias("total"))
     rows = _entries(lines, "gram").withColumn("n", F.length("gram")).join(F.broadcast(totals), ["lang", "n"])
     return rows.select("lang", "n", "gram", _value().alias("logprob_u"), "file_floor_u")
@@ -62,6 +62,24 @@ def read_topwords(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("lang", "word", _value().alias("logprob_u"), "file_floor_u")
 
 
+def read_ngram_counts(spark: SparkSession, path: str) -> DataFrame:
+    """lang, n, gram, cnt, total, logprob_u of n-gram files that hold counts; what holds a logarithm instead is left out."""
+    lines = _lines(spark, path, "ngrams")
+    heads = lines.filter(F.col("value").rlike("^# [0-9]:")).select("lang", F.explode(F.expr(r"regexp_extract_all(value, '([0-9]+):[0-9]+/[0-9]+', 0)")).alias("t"))
+    totals = heads.select("lang", F.split("t", ":")[0].cast("int").alias("n"), F.split("t", "/")[1].cast("long").alias("total"))
+    rows = _entries(lines, "gram").withColumn("n", F.length("gram")).join(F.broadcast(totals), ["lang", "n"]).withColumn("cnt", F.col("v").try_cast("long"))
+    return rows.filter("cnt > 0").select("lang", "n", "gram", "cnt", "total", log_u(F.col("cnt"), F.col("total")).alias("logprob_u"))
+
+
+def read_topword_counts(spark: SparkSession, path: str) -> DataFrame:
+    """lang, word, cnt, total, logprob_u of topword files; cnt is null where a file has logarithms."""
+    lines = _lines(spark, path, "topwords")
+    totals = lines.filter(F.startswith("value", F.lit("# Count:"))).select("lang", F.regexp_extract("value", r"# Count: ([0-9]+)", 1).cast("long").alias("total"))
+    rows = _entries(lines, "word").join(F.broadcast(totals), "lang")
+    cnt = F.when(F.startswith("v", F.lit("-")), None).otherwise(F.col("v").try_cast("long"))
+    return rows.select("lang", "word", cnt.alias("cnt"), "total", _value().alias("logprob_u"))
+
+
 def _entries(lines: DataFrame, name: str) -> DataFrame:
     part = lambda k: F.regexp_extract("value", r"^(.*) ([^ ]+)$", k)
     return lines.filter(~F.startswith("value", F.lit("# ")) & (F.col("value") != "")).select("lang", part(1).alias(name), part(2).alias("v"))
@@ -134,10 +152,10 @@ def write_ngrams(model: DataFrame, path: str, floor: float, compress: bool = Fal
 
 def write_topwords(model: DataFrame, path: str, floor: float, logs: bool = False, compress: bool = False) -> None:
     """topwords-<lang>.txt[.gz] of each language in a folder: header and words, the most frequent first, with counts or logarithms of six places."""
-    heads = model.groupBy("lang").agg(F.first("total").alias("t")).select("lang", F.lit(None).cast("long").alias("cnt"), F.lit("").alias("word"), F.concat(F.lit("# Count: "), F.col("t").cast("string"), F.lit(f" MinLogProb: {floor:.1f}")).alias("value"))
+    heads = model.groupBy("lang").agg(F.first("total").alias("t")).select("lang", F.lit("").alias("word"), F.concat(F.lit("# Count: "), F.col("t").cast("string"), F.lit(f" MinLogProb: {floor:.1f}")).alias("value"))
     value = F.format_string("%.6f", F.col("logprob_u") / 1e6) if logs else F.col("cnt").cast("string")
-    rows = heads.union(model.select("lang", "cnt", "word", F.concat_ws(" ", "word", value)))
-    _write(rows, [F.col("cnt").desc_nulls_first(), "word"], path, "topwords", compress)
+    rows = heads.select("lang", F.lit(1).cast("long").alias("u"), "word", "value").union(model.select("lang", F.col("logprob_u").alias("u"), "word", F.concat_ws(" ", "word", value)))
+    _write(rows, [F.col("u").desc(), "word"], path, "topwords", compress)  # a logarithm is never above 0, so the header comes first
 
 
 def _write(rows: DataFrame, order: list, path: str, name: str, compress: bool) -> None:
