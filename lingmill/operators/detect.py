@@ -7,7 +7,7 @@ once and has one row, with a sparse array of all that it says; words of texts ar
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +34,11 @@ class Params:
     def valid(self, model_max: int) -> bool:
         return 1 <= self.min_ngram <= self.stop <= self.max_ngram <= model_max
 
+    def changed(self, model_max: int, **how) -> tuple[Params, bool]:
+        """With these values, and true; as they are, and false, if the values don't fit a model of n-grams up to model_max."""
+        new = replace(self, **how)
+        return (new, True) if new.valid(model_max) else (self, False)
+
 
 #: A lookup table with at most so many entries is broadcast to the joins; others are shuffled.
 BROADCAST_ENTRIES = 1_000_000

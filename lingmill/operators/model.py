@@ -6,7 +6,7 @@ import os
 import uuid
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +93,8 @@ class Model:
     @cached_property
     def entries(self) -> int:
         """Entries of the lookup tables, counted once."""
-        return sum(t.agg(F.coalesce(F.sum(F.size("langs")), F.lit(0))).first()[0] for t in self.tables)
+        sizes = [t.select(F.size("langs").alias("n")) for t in self.tables]
+        return reduce(DataFrame.union, sizes).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     @property
     def fits(self) -> bool:
@@ -114,6 +115,12 @@ class Model:
             self._sent[params] = self.ngrams.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, self.facts, tables, params))
         return self._sent[params]
 
+    def boosts(self, *given) -> dict[str, float]:
+        """Boosts of languages given as one mapping or as language, boost, language, boost ..., by any name; others than the model's don't count."""
+        pairs = given[0].items() if len(given) == 1 else zip(given[::2], given[1::2], strict=True)
+        named = {catalog.parse_language(x): float(b) for x, b in pairs}
+        return {x: b for x, b in named.items() if x in self.languages}
+
     def info(self) -> DataFrame:
         """A row for each language and script of the model: its order, floors, and whether the script is its alone."""
         rows = [(x, i, a, self.unique.get(a) == x, self.floor_u / 1e6, self.tw_floor_u / 1e6, self.max_ngram) for i, x in enumerate(self.languages) for a in catalog.BY_ISO[x].alphabets]

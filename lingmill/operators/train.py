@@ -27,8 +27,9 @@ def training_words(texts: DataFrame, alphabets: list[str] | None = None, text_co
         if a != "LATIN":
             pieces = F.when(lang.isin(catalog.for_alphabet(a)), cut(a)).otherwise(pieces)
     raw = texts.filter(lang.isNotNull()).select(lang.alias("lang"), F.explode(pieces).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("cnt"))
-    words = raw.filter(~F.col("c").rlike(r"\p{Nd}")).select("lang", F.regexp_replace(T.folded(F.col("c")), "'$", "").alias("word"), "cnt")
-    words = words.groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")).filter(F.length(F.regexp_replace("word", "[^']", "")) <= 1)
+    easy = F.col("c").rlike(T.EASY)  # most pieces are words as they are
+    words = raw.filter(easy | ~F.col("c").rlike(r"\p{Nd}")).select("lang", F.when(easy, F.col("c")).otherwise(F.regexp_replace(T.folded(F.col("c")), "'$", "")).alias("word"), "cnt")
+    words = words.groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")).filter(F.size(F.split("word", "'")) <= 2)
     return words if skipwords is None else words.join(F.broadcast(skipwords.select("word").distinct()), "word", "left_anti").select("lang", "word", "cnt")
 
 
@@ -37,16 +38,12 @@ def log_u(cnt, total):
     return F.round(F.log(cnt / total) * 1e6).cast("long")
 
 
-def tiles(word, n):
-    """All n-grams of a word, by position."""
-    return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))).otherwise(F.array().cast("array<string>"))
-
-
 def ngram_counts(words: DataFrame, max_ngram: int = MAX_NGRAM) -> DataFrame:
-    """lang, n, gram, cnt over words shorter than 64."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), tiles(F.col("word"), n).alias("grams")) for n in range(1, max_ngram + 1)]))
-    grams = words.filter(F.length("word") < T.LONGEST).select("lang", "cnt", each.alias("t")).select("lang", "cnt", "t.n", F.explode("t.grams").alias("gram"))
-    return grams.groupBy("lang", "n", "gram").agg(F.sum("cnt").alias("cnt"))
+    """lang, n, gram, cnt over words shorter than 64: a row for each length and position, which codegen cuts out of the word."""
+    size = F.length("word")
+    each = words.filter(size < T.LONGEST).select("lang", "cnt", "word", size.alias("l"), F.explode(F.sequence(F.lit(0), size * max_ngram - 1)).alias("k"))
+    at = each.select("lang", "cnt", "word", "l", F.expr("cast(k div l + 1 as int)").alias("n"), F.expr("k % l + 1").alias("i")).filter("i + n - 1 <= l")
+    return at.groupBy("lang", "n", F.expr("substring(word, i, n)").alias("gram")).agg(F.sum("cnt").alias("cnt"))
 
 
 def with_totals(counts: DataFrame, keys: list[str]) -> DataFrame:

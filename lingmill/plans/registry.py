@@ -57,10 +57,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """n-gram and topword tables of all documents, kept while the session lasts."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    return _trained((spark.sparkContext.applicationId, sf_dir), documents(spark, sf_dir))
+
+
+def _trained(key: tuple, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables come from the distinct words, so these are kept as well: texts are split once."""
     if key not in _tables:
-        grams, tops = M.train_tables(documents(spark, sf_dir))
-        _tables[key] = (grams.persist(), tops.persist())
+        words = train.training_words(texts).persist()
+        _tables[*key, "words"] = (words,)
+        _tables[key] = (train.ngram_model(train.ngram_counts(words)).persist(), train.topword_model(words).persist())
     return _tables[key]
 
 
@@ -278,7 +283,7 @@ def half_model(spark: SparkSession, sf_dir: str, half: int) -> M.Model:
     key = (spark.sparkContext.applicationId, sf_dir, "half", half)
     if key not in _tables:
         texts = documents(spark, sf_dir).filter(F.pmod("doc_id", F.lit(2)) == half)
-        _tables[key] = M.assemble(*M.train_tables(texts), LANGS).persist()
+        _tables[key] = M.assemble(*_trained((*key, "tables"), texts), LANGS).persist()
     return _tables[key]
 
 
@@ -364,6 +369,36 @@ def conversation_running_detect(spark, sf_dir):
     return incremental.detect_running(parts, model(spark, sf_dir), ["conv_id"], "turn").drop("pred")
 
 
+# documents with what they lack: apostrophes, skipwords, digits in words, a second script
+
+_GREEK = ("abdegiklmnoprstz", "αβδεγικλμνοπρστζ")
+_BETWEEN = "' http www.km 4you don''t, "
+
+
+def altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elisions and apostrophes at the end, addresses and units between words, and Spanish half in Greek letters."""
+    text = F.replace(F.replace("text", F.lit("e "), F.lit("e'")), F.lit(", "), F.lit(_BETWEEN))
+    text = F.when(F.col("lang") == "es", F.translate(text, *_GREEK)).otherwise(text)
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"), "lang")
+
+
+_ALTERED = f"""alt0 AS (SELECT doc_id, lang, replace(replace(text, 'e ', {O.q("e'")}), ', ', {O.q(_BETWEEN)}) AS t FROM documents),
+    alt AS (SELECT doc_id, lang, CASE WHEN lang = 'es' THEN translate(t, '{_GREEK[0]}', '{_GREEK[1]}') ELSE t END AS text FROM alt0)"""
+
+
+@query(O.detect_sql("alt", "doc_id", [*LANGS, "el"], f"SELECT doc_id, lang AS expected, {O.FINAL}, coalesce(pred, 'UNKNOWN') AS pred FROM alt LEFT JOIN dec USING (doc_id)", ctes=_ALTERED, model=O.train_ctes("alt")))
+def detect_altered_documents(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "altered")
+    if key not in _tables:
+        _tables[key] = M.assemble(*_trained((*key, "tables"), altered(spark, sf_dir)), [*LANGS, "el"]).persist()
+    return detect(altered(spark, sf_dir).withColumnRenamed("lang", "expected"), _tables[key], ["doc_id"], keep=["expected"])
+
+
+@query(f"WITH {_ALTERED}, {O.train_ctes('alt')} SELECT lang, word, cnt, total, u AS logprob_u FROM tp")
+def topwords_of_altered_documents(spark, sf_dir):
+    return _trained((spark.sparkContext.applicationId, sf_dir, "altered", "tables"), altered(spark, sf_dir))[1]
+
+
 # cleaning
 
 
@@ -413,16 +448,22 @@ def wiki_markup_strip(spark, sf_dir):
     return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(MARKUP)], "id int, text string").select("id", T.remove_markup("text").alias("cleaned"))
 
 
-@query()
+#: What is taken out where nothing is nested, in the SQL's dialect; and what is put into documents, with all that nests.
+_UNNESTED = r"(?m)^\|[^\n]*|<[^>\n]*>?|&[A-Za-z]+;|https?://[^\x00-\x20\]]*"
+_NESTED = ". {{note [[a|b]] {{c\n|d}} }}{| e {| f |} |}<ref name='x'>&amp;http://x.org/a?b "
+
+
+@query(f"SELECT page_id, regexp_replace(html, '{_UNNESTED}', '', 'g') AS cleaned FROM pages")
 def wiki_markup_pages(spark, sf_dir):
     """Every page without its markup."""
     return spread(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.remove_markup("html").alias("cleaned"))
 
 
-@query()
+@query(f"SELECT doc_id, replace(regexp_replace(replace(text, '. ', chr(1)), '{_UNNESTED}', '', 'g'), chr(1), '.  ') AS cleaned FROM documents")
 def wiki_markup_documents(spark, sf_dir):
-    """Every document without its markup."""
-    return documents(spark, sf_dir).select("doc_id", T.remove_markup("text").alias("cleaned"))
+    """Every document with nested markup after each sentence, and without it again."""
+    marked = F.replace("text", F.lit(". "), F.lit(_NESTED))
+    return documents(spark, sf_dir).select("doc_id", T.remove_markup(marked).alias("cleaned"))
 
 
 _PAGE_TEXT = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>|&[a-z]+;', ' ', 'g')"

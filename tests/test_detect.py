@@ -62,6 +62,11 @@ def test_bad_parameters(spark, micro):
             detect(texts, micro, ["doc_id"], Params(**({"max_ngram": 3} | bad)))
 
 
+def test_changed_parameters_and_boosts(micro):
+    assert Params().changed(5, stop=2) == (Params(stop=2), True) and Params().changed(3, stop=2) == (Params(), False)
+    assert micro.boosts({"french": 0.3, "de": 1.0}) == micro.boosts("FR", 0.3) == {"fr": 0.3} and micro.boosts("en", 1, "fra", 2) == {"en": 1.0, "fr": 2.0}
+
+
 def _empty(spark, languages):
     ngrams = spark.createDataFrame([], "lang string, n int, gram string, logprob_u long")
     topwords = spark.createDataFrame([], "lang string, word string, logprob_u long")
