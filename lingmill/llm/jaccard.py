@@ -38,7 +38,7 @@ from .common import BROADCAST_ROWS, batches_of, drop_table, table
 WORDS = 5
 REMEMBERED = 100_000
 #: Rows that go to Python at once; nodes, and shingles, of a block of a component; nodes of small components that are counted together.
-BATCH, BLOCK_NODES, BLOCK_SHINGLES, TOGETHER = 1000, 256, 1_000_000, 4000
+BATCH, BLOCK_NODES, BLOCK_SHINGLES, TOGETHER = 1000, 256, 1_000_000, 256
 #: Odd multipliers, one for each word of a shingle, and one for the length of a short text.
 FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"factor", seed=i) | 1) for i in range(WORDS + 1)]
 
