@@ -41,9 +41,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it comes in fewer parts, as one small file does; large tables are left as they are."""
+    """df over all cores if it is small, as it may come in one part then; large tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and _bytes(df) < cores * 32e6 else df
+    return df.repartition(cores) if _bytes(df) < cores * 32e6 else df
 
 
 def _bytes(df: DataFrame) -> int:
@@ -578,11 +578,17 @@ _cj("cj_detect_documents", None)
 _cj("cj_detect_boosted", {"ja": 0.2, "zh-hant": 0.05})
 
 
-@query()
+_TURNS = "t AS (SELECT conv_id, turn, CASE conv_id % 3 " + " ".join(f"WHEN {i} THEN translate(text, '{_SMALL}', '{CJ_LETTERS[x][1]}')" for i, x in enumerate(("en", "fr", "de"))) + " END AS text FROM conversations)"
+
+
+@query(f"WITH {_CJ_DOCS}, {_TURNS}, {O.cj_train_ctes('cjd')}, {O.word_ctes('t', 'conv_id, turn', ['HAN', 'JA_KANA'])}, prof AS (SELECT conv_id, turn, script, sum(length(word) * cnt) AS chars FROM words GROUP BY ALL), scripts AS (SELECT '' AS script, 1.0 AS weight WHERE false), {O.cj_ctes('conv_id, turn', CJ_LANGS)} SELECT conv_id, turn, coalesce(detected, 'unknown') AS detected, CAST(kana AS BIGINT) AS kana, CAST(n AS BIGINT) AS cj_chars FROM cj JOIN cj_text USING (conv_id, turn)")
 def cj_detect_conversations(spark, sf_dir):
-    """Every turn that has Han or kana characters, by the model of the three sentences."""
-    table = cj.train(spark.createDataFrame(CJ_TRAIN, "lang string, text string"))
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    """Every turn, its small letters as characters of one of three languages, by the classifier alone."""
+    table = cj.train(cj_documents(spark, sf_dir))
+    text = F.col("text")
+    for i, x in enumerate(("en", "fr", "de")):
+        text = F.when(F.col("conv_id") % 3 == i, F.translate("text", _SMALL, CJ_LETTERS[x][1])).otherwise(text)
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
     return cj.classify(turns, table, CJ_LANGS, ["conv_id", "turn"])
 
 

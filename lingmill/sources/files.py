@@ -13,22 +13,22 @@ from ..functions import text as X
 from ..operators.train import eligible, log_u
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
+    fs, at = file_system(spark, path)
     return fs.exists(at)
 
 
 def resolved(spark: SparkSession, path: str, name: str) -> str | None:
     """Where the files `name` (a glob) of a folder are, or of what begins with a prefix; None if there are none."""
     base = path.rstrip("/")
-    fs, at = _fs(spark, base)
+    fs, at = file_system(spark, base)
     pattern = f"{base}/{name}" if fs.exists(at) and fs.getFileStatus(at).isDirectory() else base + name
-    return pattern if fs.globStatus(_fs(spark, pattern)[1]) else None
+    return pattern if fs.globStatus(file_system(spark, pattern)[1]) else None
 
 
 def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _write(rows: DataFrame, order: list, path: str, name: str, compress: bool) -
     spark, aside, end = rows.sparkSession, f"{path}/_{name}-{uuid.uuid4().hex}", ".txt.gz" if compress else ".txt"
     parts = rows.repartition("lang").sortWithinPartitions("lang", *order).select("lang", "value")
     parts.write.partitionBy("lang").text(aside, compression="gzip" if compress else "none")
-    fs, at = _fs(spark, aside)
+    fs, at = file_system(spark, aside)
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for folder in fs.globStatus(path_of(f"{aside}/lang=*")) or []:
         (part,) = fs.globStatus(path_of(f"{folder.getPath().toString()}/part-*"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators.detect import Params, added, decide, evidence
 from ..operators.model import Model
-from ..sources.files import _fs, exists
+from ..sources.files import exists, file_system
 
 
 def word_counts(parts: DataFrame, keys: list[str], model: Model, text_col: str = "text") -> DataFrame:
@@ -44,7 +44,7 @@ class Accumulator:
 
     def _generations(self, name: str) -> list[int]:
         """Numbers of the finished generations `name=N`."""
-        fs, at = _fs(self.spark, f"{self.path}/{name.split('/')[0]}")
+        fs, at = file_system(self.spark, f"{self.path}/{name.split('/')[0]}")
         found = fs.listStatus(at) if fs.exists(at) else []
         names = [f.getPath().getName() for f in found]
         return sorted(int(m[1]) for n in names if (m := re.fullmatch(name.split("/")[1] + "=([0-9]+)", n)) and exists(self.spark, f"{self.path}/{name.split('/')[0]}/{n}/_SUCCESS"))
@@ -84,7 +84,7 @@ class Accumulator:
         if last > before:
             ev.write.mode("overwrite").parquet(f"{self.path}/sums/through={last}")
         for old in [f"evidence/epoch={e}" for e in epochs] + [f"sums/through={before}"] * (0 <= before < last):
-            fs, at = _fs(self.spark, f"{self.path}/{old}")
+            fs, at = file_system(self.spark, f"{self.path}/{old}")
             fs.delete(at, True)
 
     def result(self, boosts: dict | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["languages_catalog", "languages_of_alphabet", "alphabets_catalog", "language_groups", "training_without_skipwords", "detect_cyrillic", "ngram_model_reduced", "topwords_model", "topword_overlap", "detect_documents", "detect_ngram_params", "detect_scores_by_language", "phrase_eval", "confusion_matrix", "sampled_misses", "miss_snippets", "paragraph_eval", "conversation_detect", "conversation_running_detect", "apostrophe_topwords", "skipword_filter", "multi_script_detect", "remove_accents", "accent_table", "wiki_markup_pages", "wiki_markup_documents", "wiki_xml_extract", "detect_altered_documents", "topwords_of_altered_documents", "detect_sql_function", "cj_detect", "cj_detect_documents", "cj_detect_boosted", "word_scores"])
+@pytest.mark.parametrize("name", ["languages_catalog", "languages_of_alphabet", "alphabets_catalog", "language_groups", "training_without_skipwords", "detect_cyrillic", "ngram_model_reduced", "topwords_model", "topword_overlap", "detect_documents", "detect_ngram_params", "detect_scores_by_language", "phrase_eval", "confusion_matrix", "sampled_misses", "miss_snippets", "paragraph_eval", "conversation_detect", "conversation_running_detect", "apostrophe_topwords", "skipword_filter", "multi_script_detect", "remove_accents", "accent_table", "wiki_markup_pages", "wiki_markup_documents", "wiki_xml_extract", "detect_altered_documents", "topwords_of_altered_documents", "detect_sql_function", "cj_detect", "cj_detect_conversations", "cj_detect_documents", "cj_detect_boosted", "word_scores"])
 def test_against_sql(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLES[name]).df()
     assert len(got)

@@ -115,10 +115,7 @@ def test_cleaning(spark):
     assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(T.human_bytes(F.col("n"))).collect()] == ["0B", "512B", "1.0K", "1.5K", "1.0M"]
 
 
-def test_markup_and_cj_over_whole_tables(spark):
+def test_markup_over_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
     assert sorted(map(tuple, registry.QUERIES["wiki_markup_pages"](spark, sf).collect())) == sorted((r["page_id"], T.strip_markup(r["html"])) for r in rows)
-    turns = spark.read.parquet(f"{sf}/conversations.parquet")
-    cj = turns.filter(F.col("text").rlike(f"[{T.letters('HAN')}{T.letters('JA_KANA')}]")).select("conv_id", "turn").distinct()
-    assert registry.QUERIES["cj_detect_conversations"](spark, sf).count() == cj.count()
