@@ -95,31 +95,32 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Seeds:
-    """n-grams of word numbers -> (item, position) pairs; items are numbered as given."""
-
-    def __init__(self, items: list[list[int]], share: np.ndarray, rare: float = RARE):
-        self.items = [np.array(x, dtype=np.int64) for x in items]
-        self.base = len(share) + 1
-        found: dict[int, dict[tuple, list]] = {}
-        for k, item in enumerate(items):
-            any_rare = False
+    """n-grams of word numbers and where in which items they stand, as sorted arrays of hashes; items are numbered as given."""
+
+    def __init__(self, items: list, share: np.ndarray, rare: float = RARE):
+        self.items = [np.asarray(x, dtype=np.int64) for x in items]
+        found: dict[int, list[tuple[int, int]]] = {}
+        for k, item in enumerate(self.items):
+            shares, any_rare = share[item].tolist(), False
             for i in range(len(item)):
                 p = 1.0
                 for n in range(1, len(item) - i + 1):
-                    p *= share[item[i + n - 1]]
+                    p *= shares[i + n - 1]
                     if n > 1 and p < rare:
-                        found.setdefault(n, {}).setdefault(tuple(item[i : i + n]), []).append((k, i))
+                        found.setdefault(n, []).append((k, i))
                         any_rare = True
                         break
-            if item and not any_rare:
-                found.setdefault(len(item), {}).setdefault(tuple(item), []).append((k, 0))
-        self.by_n = dict(sorted(found.items()))
+            if len(item) and not any_rare:
+                found.setdefault(len(item), []).append((k, 0))
+        self.by_n: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.quick = np.zeros(QUICK, dtype=bool)
-        for n, grams in self.by_n.items():
-            columns, h = np.array(list(grams), dtype=np.int64).T, np.zeros(len(grams), dtype=np.uint64)
-            for c in columns:
-                h = self.mixed(h, c)
+        for n, places in sorted(found.items()):
+            h = np.zeros(len(places), dtype=np.uint64)
+            for j in range(n):
+                h = self.mixed(h, np.array([self.items[k][i + j] for k, i in places]))
             self.quick[h & np.uint64(QUICK - 1)] = True
+            order = np.argsort(h, kind="stable")
+            self.by_n[n] = h[order], np.array(places, dtype=np.int32)[order]
 
     @staticmethod
     def mixed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ class Seeds:
         at = np.flatnonzero(known)
         left = run[np.searchsorted(run, at)] - at + 1 if len(at) else at  # known words from here on
         h, done = np.zeros(len(at), dtype=np.uint64), 0
-        for n, grams in self.by_n.items():
+        for n, (hashes, places) in self.by_n.items():
             long = left >= n
             at, left, h = at[long], left[long], h[long]
             if not len(at):
@@ -143,10 +144,12 @@ class Seeds:
             for j in range(done, n):
                 h = self.mixed(h, ids[at + j])
             done = n
-            some = at[self.quick[h & np.uint64(QUICK - 1)]]
-            for i in some.tolist():
-                for k, j in grams.get(tuple(ids[i : i + n].tolist()), ()):
-                    out.append((i, k, j))
+            some = np.flatnonzero(self.quick[h & np.uint64(QUICK - 1)])
+            lo, hi = np.searchsorted(hashes, h[some], "left"), np.searchsorted(hashes, h[some], "right")
+            for i, a, b in zip(at[some[hi > lo]].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                for k, j in places[a:b].tolist():
+                    if np.array_equal(ids[i : i + n], self.items[k][j : j + n]):  # and not only of the same hash
+                        out.append((i, k, j))
         return out
 
 
@@ -253,7 +256,7 @@ def _blocks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
         words = sorted({w for _, ws in block for w in ws})
         if words:
             vocabulary = {w: i for i, w in enumerate(words)}
-            out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [k for k, _ in block], [[vocabulary[w] for w in ws] for _, ws in block], vocabulary, np.array([shares[w] for w in words]))))
+            out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [k for k, _ in block], [np.array([vocabulary[w] for w in ws], dtype=np.int64) for _, ws in block], vocabulary, np.array([shares[w] for w in words]))))
     return out
 
 
