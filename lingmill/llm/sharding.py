@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, table
 
 ROUNDS = 6
 PRIME = 2147483647
@@ -61,6 +61,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str = "doc_
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
+    if not carry:
+        narrow = table(narrow, "sizes")  # numbering looks at its rows twice, and texts need to be read but once
     rows, total = numbered(narrow, [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")])
     rows = rows.withColumn("_y", permuted("row_no", total, seed))
     return rows.select(
