@@ -110,7 +110,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> tuple[
     """
     n = len(rows)
     flat = np.concatenate(rows)
-    docs = np.repeat(np.arange(n), [len(r) for r in rows])
+    docs = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    del rows
     held = np.bincount(flat, minlength=1 << BITS) >= max(2, MIN_SHARE * n)
     flat, docs = flat[held[flat]], docs[held[flat]]
     names, dim = np.flatnonzero(held), int(held.sum())
@@ -163,8 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     got = rows.select("doc_id", "_grade", "_text").mapInPandas(run, f"doc_id {kind}, grade int, x binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["doc_id", "x"]).reset_index(drop=True)
-    return fit([np.frombuffer(x, dtype=np.int32) for x in got["x"]], got["grade"].to_numpy())
+    got = got.sort_values(["doc_id", "x"], ignore_index=True)
+    grades, features_ = got["grade"].to_numpy(), got.pop("x").tolist()
+    del got  # what is not needed any more leaves the driver before the fit
+    return fit([np.frombuffer(x, dtype=np.int32) for x in features_], grades)
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
