@@ -178,7 +178,7 @@ def evidence(texts: DataFrame, model: Model, keys: list[str], params: Params | N
 
     def run(batches):
         pieces = scoring.pieces_of(shared)
-        for b in batches:
+        for b in scoring.sliced(batches):
             ev = pieces.sums(b.column(b.num_columns - 1).to_pylist())
             some = pa.array(ev[:, at.words].sum(axis=1) > 0)
             out = pa.RecordBatch.from_arrays([*b.columns[:-1], scoring.lists(ev)], names=[*keys, "ev"])
@@ -236,7 +236,7 @@ def detect(texts: DataFrame, model: Model, keys: list[str], params: Params | Non
 
     def run(batches):
         pieces = scoring.pieces_of(shared)
-        for b in batches:
+        for b in scoring.sliced(batches):
             found = scoring.decided(pieces.sums(b.column(b.num_columns - 1).to_pylist()), facts, boosts)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *scoring.arrays(found)], names=[*columns, *found])
 

@@ -23,8 +23,8 @@ from ..functions import catalog
 from ..functions.text import APOSTROPHES, LONGEST, LONGEST_CJ
 
 UNKNOWN = catalog.UNKNOWN
-#: Bytes of a worker's table of pieces, and of what is added up at once.
-TABLE_BYTES, SLICE_BYTES = 48 << 20, 16 << 20
+#: Bytes of a worker's table of pieces, and of what is added up at once; new pieces that are scored at once; rows of texts that are held at once.
+TABLE_BYTES, SLICE_BYTES, FRESH, ROWS = 24 << 20, 8 << 20, 4096, 500
 #: Share of kana among Han and kana characters beyond which a text is Japanese, and the floor of an unknown Chinese or Japanese gram.
 KANA_SHARE, CJ_FLOOR_U = 0.01, -12_000_000
 
@@ -79,14 +79,80 @@ def letters(alphabet: str) -> str:
     return "".join(map(ranges, catalog.ALPHABETS[alphabet][1]))
 
 
-def piece_pattern(alphabets) -> str:
-    """A run of letters of one script, with digits anywhere and single apostrophes after a letter or digit."""
+def piece_pattern(alphabets, d: str = "0-9") -> str:
+    """A run of letters of one script, with digits (d inside of a character class) anywhere and single apostrophes after a letter or digit."""
     q = f"[{APOSTROPHES}]"
-    return "|".join(f"(?:(?<![0-9])[0-9]++)?+[{c}][{c}0-9]*+(?:{q}[0-9]*[{c}][{c}0-9]*+)*+(?:{q}[0-9]*+)?" for c in map(letters, alphabets))
+    return "|".join(f"(?:(?<![{d}])[{d}]++)?+[{c}][{c}{d}]*+(?:{q}[{d}]*[{c}][{c}{d}]*+)*+(?:{q}[{d}]*+)?" for c in map(letters, alphabets))
+
+
+class Tiles:
+    """The n-grams of many words at once. An n-gram is a whole number: its letters' numbers, from 1 on, side by side; 0 is a letter that
+    no n-gram has. So numbers are equal if n-grams are, and no n-gram is taken for another one."""
+
+    def __init__(self, grams: dict, params):
+        self.params = params
+        known = sorted({c for g in grams for c in g})
+        self.bits = len(known).bit_length()
+        self.fits = self.bits * params.max_ngram < 64
+        if not self.fits:
+            return
+        self.number = np.zeros(0x110000, dtype=np.uint16 if self.bits <= 16 else np.uint32)
+        self.number[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self.tables = {}  # n -> numbers in order; from where to where their evidence stands, languages, logarithms
+        for n in range(params.min_ngram, params.max_ngram + 1):
+            own = [g for g in grams if len(g) == n]
+            keys = self.keys(self.codes(own), n)[::n] if own else np.zeros(0, dtype=np.int64)
+            order = np.argsort(keys)
+            evidence = [grams[own[i]] for i in order.tolist()]
+            ends = np.cumsum([0, *map(len, evidence)])
+            self.tables[n] = (keys[order], ends, np.array([x for e in evidence for x, _ in e], dtype=np.int64), np.array([u for e in evidence for _, u in e], dtype=np.int64))
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        return self.number[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
+
+    def keys(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """The n-gram that begins at each letter; at the last ones it is none."""
+        out = np.zeros(len(codes), dtype=np.int64)
+        size = max(0, len(codes) - n + 1)
+        for i in range(n):
+            out[:size] = out[:size] << self.bits | codes[i : i + size]
+        return out
+
+    def add(self, block: np.ndarray, words: list[str], of: list[int], at: Layout) -> None:
+        """What the n-grams of words say, added to rows `of` of a block."""
+        languages = at.ng_u.stop - at.ng_u.start
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        word, codes = np.repeat(np.arange(len(words)), sizes), self.codes(words)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+        open_ = np.ones(len(words), dtype=bool)
+        cells, us = [], []
+        for n in range(self.params.max_ngram, self.params.min_ngram - 1, -1):
+            keys, ends, langs, u = self.tables[n]
+            here = np.flatnonzero((left >= n) & open_[word])
+            asked, mine = self.keys(codes, n)[here], word[here]
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[i] == asked
+                begin, count = ends[i[hit]], ends[i[hit] + 1] - ends[i[hit]]
+                each = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                cells.append(np.repeat(mine[hit], count) * languages + langs[each])
+                us.append(u[each])
+            else:
+                hit = np.zeros(len(here), dtype=bool)
+            if n <= self.params.stop:  # words of this length or longer of which every n-gram was found are done
+                lacks = np.zeros(len(words), dtype=bool)
+                lacks[mine[~hit]] = True
+                open_ &= lacks | (sizes < n)
+        if cells:
+            cells, us = np.concatenate(cells), np.concatenate(us)
+            shape, of = (len(words), languages), np.array(of)
+            sums = np.bincount(cells, weights=us, minlength=len(words) * languages)  # below 2^53, so exact
+            np.add.at(block[:, at.ng_u], of, np.rint(sums).astype(np.int64).reshape(shape))
+            np.add.at(block[:, at.ng_hits], of, np.bincount(cells, minlength=len(words) * languages).reshape(shape))
 
 
 class Pieces(dict):
-    """piece -> its row in the table, worked out when first met."""
+    """piece -> its row in the table, numbered when first met and worked out with other new ones."""
 
     def __init__(self, facts: Facts, tables: dict, params):
         super().__init__()
@@ -101,6 +167,7 @@ class Pieces(dict):
         self.size = max(1024, TABLE_BYTES // (8 * self.at.width))
         self.slice = max(256, min(self.size // 2, SLICE_BYTES // (8 * self.at.width)))
         self.table = np.zeros((self.size, self.at.width), dtype=np.int64)
+        self.tiles, self.fresh = Tiles(self.grams, params), []
 
     def sums(self, texts: list) -> np.ndarray:
         """The evidence of each text."""
@@ -125,20 +192,39 @@ class Pieces(dict):
     def _add(self, out: np.ndarray, flat: list, of: list, sizes: list) -> None:
         if len(self) + len(flat) > self.size:
             self.clear()
-        rows = self.table[np.fromiter(map(self.__getitem__, flat), dtype=np.int64, count=len(flat))]
+        at = np.fromiter(map(self.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self._fill()
+        rows = self.table[at]
         np.add.at(out, of, np.add.reduceat(rows, np.cumsum([0, *sizes[:-1]]), axis=0))
 
     def __missing__(self, piece: str) -> int:
-        row = [0] * self.at.width
-        script = next(i for i, p in enumerate(self.scripts) if p.search(piece)) if len(self.scripts) > 1 else 0
-        for word in self.words(piece, self.facts.alphabets[script]):
-            self.score(word, script, row)
         self[piece] = n = len(self)
-        self.table[n] = row
+        self.fresh.append(piece)
         return n
 
+    def _fill(self) -> None:
+        """The rows of the pieces that were met since the last time."""
+        first, several = len(self) - len(self.fresh), len(self.scripts) > 1
+        for lo in range(0, len(self.fresh), FRESH):
+            part, rows, tiled, of = self.fresh[lo : lo + FRESH], [], [], []
+            for i, piece in enumerate(part):
+                row = [0] * self.at.width
+                script = next(i for i, p in enumerate(self.scripts) if p.search(piece)) if several else 0
+                for word in self.words(piece, self.facts.alphabets[script]):
+                    if self.score(word, script, row):
+                        tiled.append(word)
+                        of.append(i)
+                rows.append(row)
+            block = self.table[first + lo : first + lo + len(part)]
+            block[:] = rows
+            if tiled:
+                self.tiles.add(block, tiled, of, self.at)
+        self.fresh = []
+
     @staticmethod
     def words(piece: str, alphabet: str) -> list[str]:
+        if piece.isalpha() and alphabet not in catalog.CJ_ALPHABETS:
+            return [piece.replace("İ", "i").lower()[:LONGEST]]
         bare = re.sub("[0-9]", "", piece)
         if alphabet == "LATIN" and len(bare) < len(piece):
             return []
@@ -148,14 +234,16 @@ class Pieces(dict):
         parts = [word[i : i + LONGEST_CJ] for i in range(0, len(word), LONGEST_CJ)] if alphabet in catalog.CJ_ALPHABETS else [word[:LONGEST]]
         return [w for w in (p.removesuffix("'") for p in parts) if w]
 
-    def score(self, word: str, script: int, row: list) -> None:
-        at, params = self.at, self.params
+    def score(self, word: str, script: int, row: list) -> bool:
+        """Adds what a word says to its row; true if its n-grams are still to be added by Tiles."""
+        at, params, tiled = self.at, self.params, False
         if self.facts.has_cj and self.facts.alphabets[script] in catalog.CJ_ALPHABETS:
             self.score_cj(word, row)
         elif self.single[script] < 0:
+            tiled = self.tiles.fits
             if self.tops is not None:
                 if word in self.skips:
-                    return
+                    return False
                 if len(word) > 1 or ord(word[0]) >= 128:
                     row[at.lookups.start + script] += 1
                     if word in self.tops:
@@ -166,7 +254,7 @@ class Pieces(dict):
                             row[at.lookups.start + script] += 1
                             self.hit(row, self.tops.get(word[k + 1 :], ()), at.tw_u.start, at.tw_hits.start)
             grams, size = self.grams, len(word)
-            for n in range(min(params.max_ngram, size), params.min_ngram - 1, -1):
+            for n in range(0 if tiled else min(params.max_ngram, size), params.min_ngram - 1, -1):
                 found = [grams.get(word[i : i + n]) for i in range(size - n + 1)]
                 for g in found:
                     if g:
@@ -175,6 +263,7 @@ class Pieces(dict):
                     break
         row[at.chars.start + script] += len(word)
         row[at.words.start + script] += 1
+        return tiled
 
     def score_cj(self, word: str, row: list) -> None:
         at = self.at
@@ -296,6 +385,13 @@ def pieces_of(shared) -> Pieces:
     return _kept[key]
 
 
+def sliced(batches):
+    """Batches of at most ROWS rows: of each only so many texts are Python strings at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def arrays(columns: dict[str, list]) -> list[pa.Array]:
     return [pa.array(v, type=pa.string() if isinstance(v, list) else None) for v in columns.values()]
 

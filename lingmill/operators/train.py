@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions import text as T
+from . import scoring
 
 MAX_NGRAM = 5
+#: Distinct pieces that a worker counts before it hands on what it has.
+MOST_PIECES = 100_000
 
 
 def training_words(texts: DataFrame, alphabets: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", skipwords: DataFrame | None = None) -> DataFrame:
@@ -16,23 +23,76 @@ def training_words(texts: DataFrame, alphabets: list[str] | None = None, text_co
     skipwords(word) are left out; no word is cut.
 
     alphabets: only these scripts, default all but Chinese and Japanese ones, which cj.train is for. A language that is not
-    in the catalogue is taken for a Latin one.
+    in the catalogue is taken for a Latin one. Texts are split and counted where they are read (Tally); only words and counts are shuffled.
     """
-    wanted = [a for a in catalog.ALPHABETS if (a in alphabets if alphabets else a not in catalog.CJ_ALPHABETS)]
-    lang, cut = F.col(lang_col), lambda a: T.chunks(F.col(text_col), [a], digit=r"\p{Nd}")
-    pieces = F.array().cast("array<string>")
-    if "LATIN" in wanted:
-        pieces = F.when(lang.isin([x for x in catalog.BY_ISO if x not in catalog.for_alphabet("LATIN")]), pieces).otherwise(cut("LATIN"))
-    for a in wanted:
-        if a != "LATIN":
-            pieces = F.when(lang.isin(catalog.for_alphabet(a)), cut(a)).otherwise(pieces)
-    raw = texts.filter(lang.isNotNull()).select(lang.alias("lang"), F.explode(pieces).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("cnt"))
-    easy = F.col("c").rlike(T.EASY)  # most pieces are words as they are
-    words = raw.filter(easy | ~F.col("c").rlike(r"\p{Nd}")).select("lang", F.when(easy, F.col("c")).otherwise(F.regexp_replace(T.folded(F.col("c")), "'$", "")).alias("word"), "cnt")
-    words = words.groupBy("lang", "word").agg(F.sum("cnt").alias("cnt")).filter(F.size(F.split("word", "'")) <= 2)
+    wanted = tuple(a for a in catalog.ALPHABETS if (a in alphabets if alphabets else a not in catalog.CJ_ALPHABETS))
+
+    def run(batches):
+        tally = Tally(wanted)
+        for b in scoring.sliced(batches):
+            for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tally.add(lang, text)
+            if tally.full:
+                yield tally.taken()
+        yield tally.taken()
+
+    rows = texts.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    words = rows.mapInArrow(run, "lang string, word string, cnt long").groupBy("lang", "word").agg(F.sum("cnt").alias("cnt"))
     return words if skipwords is None else words.join(F.broadcast(skipwords.select("word").distinct()), "word", "left_anti").select("lang", "word", "cnt")
 
 
+class Tally:
+    """Counts the pieces of texts by language; a piece is made a word once each time that the counts are taken."""
+
+    def __init__(self, alphabets: tuple[str, ...]):
+        self.alphabets, self.counts, self.found = alphabets, {}, {}
+        self.odd, self.digit = re.compile(rf"[\d{T.APOSTROPHES}]"), re.compile(r"\d")
+
+    def alphabet(self, lang: str) -> str | None:
+        own = [a for a in self.alphabets if a != "LATIN" and lang in catalog.for_alphabet(a)]
+        if own:
+            return own[-1]
+        return "LATIN" if "LATIN" in self.alphabets and (lang not in catalog.BY_ISO or lang in catalog.for_alphabet("LATIN")) else None
+
+    def finders(self, lang: str) -> tuple | None:
+        """What finds the pieces of a text without digits and apostrophes, and of any."""
+        a = self.alphabet(lang)
+        return a and (re.compile(f"[{scoring.letters(a)}]+").findall, re.compile(scoring.piece_pattern([a], r"\d")).findall)
+
+    def add(self, lang: str, text: str) -> None:
+        if lang not in self.found:
+            self.found[lang], self.counts[lang] = self.finders(lang), Counter()
+        if self.found[lang]:
+            plain, any_ = self.found[lang]
+            self.counts[lang].update(any_(text) if self.odd.search(text) else plain(text))
+
+    @property
+    def full(self) -> bool:
+        return sum(map(len, self.counts.values())) > MOST_PIECES
+
+    def taken(self) -> pa.RecordBatch:
+        """lang, word, cnt of what was counted; counting starts anew."""
+        langs, words, counts = [], [], []
+        for lang, pieces in self.counts.items():
+            total: dict[str, int] = {}
+            for piece, n in pieces.items():
+                word = piece.replace("İ", "i").lower()
+                if not piece.isalpha():
+                    if self.digit.search(piece):
+                        continue
+                    for c in T.APOSTROPHES:
+                        word = word.replace(c, "'")
+                    word = word.removesuffix("'")
+                    if word.count("'") > 1:
+                        continue
+                total[word] = total.get(word, 0) + n
+            langs += [lang] * len(total)
+            words += total
+            counts += total.values()
+            pieces.clear()
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "cnt"])
+
+
 def log_u(cnt, total):
     """Natural logarithm of a share in whole millionths: sums of these don't depend on their order."""
     return F.round(F.log(cnt / total) * 1e6).cast("long")

@@ -176,10 +176,13 @@ def detect_cyrillic(spark, sf_dir):
     """Documents with their letters in Cyrillic: trained on, written as text files, read and detected."""
     texts = cyrillic(spark, sf_dir)
     if (spark.sparkContext.applicationId, sf_dir, "cyrillic") not in _tables:
-        grams, tops = M.train_tables(texts, alphabets=["CYRILLIC"])
+        words = train.training_words(texts, ["CYRILLIC"]).persist()  # both tables and both kinds of files come from these
+        grams = train.ngram_model(train.ngram_counts(words)).persist()
         folder = f"{work_dir(spark)}/cyrillic-{uuid.uuid4().hex}"
         files.write_ngrams(grams, folder, -20.0, compress=True)
-        files.write_topwords(tops, folder, -20.0, logs=True)
+        files.write_topwords(train.topword_model(words), folder, -20.0, logs=True)
+        grams.unpersist()
+        words.unpersist()
         _tables[spark.sparkContext.applicationId, sf_dir, "cyrillic"] = M.load(spark, folder, ",".join(CYRILLIC.values()))
     m = _tables[spark.sparkContext.applicationId, sf_dir, "cyrillic"]
     return detect(texts.withColumnRenamed("lang", "expected"), m, ["doc_id"], keep=["expected"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lingmill.functions import catalog
 from lingmill.functions import text as T
 from lingmill.operators import scoring, train
+from lingmill.operators.detect import Params
 from lingmill.plans import registry
 
 
@@ -119,3 +120,45 @@ def test_markup_over_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
     assert sorted(map(tuple, registry.QUERIES["wiki_markup_pages"](spark, sf).collect())) == sorted((r["page_id"], T.strip_markup(r["html"])) for r in rows)
+
+
+def test_texts_of_detect_cyrillic_are_read_twice(spark, monkeypatch):
+    """Once to train and once to detect, whatever is made of the words and however many files are written."""
+    sf, read, of = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), registry.cyrillic
+    texts = of(spark, sf)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(registry, "cyrillic", lambda *a: texts.mapInArrow(counted, texts.schema))
+    registry.forget()
+    rows = registry.QUERIES["detect_cyrillic"](spark, sf).collect()
+    registry.forget()
+    assert len(rows) == texts.count() and read.value == 2 * len(rows)
+
+
+def test_tiles_say_what_words_say_one_by_one():
+    facts = scoring.Facts(("bg", "ru"), ("CYRILLIC",), -12_000_000, -12_000_000, False)
+    grams = {g: tuple((i, -1000 * len(g) - 7 * i - ord(g[-1])) for i in range(2) if (ord(g[0]) + i) % 3) for w in ("привет", "мир", "при'вет", "ёж") for n in range(1, 6) for g in (w[i : i + n] for i in range(len(w) - n + 1))}
+    tables = {"grams": {g: e for g, e in grams.items() if e}, "tops": {"мир": ((1, -5),)}, "skips": {"ёж"}, "cj": {}}
+    texts = ["Привет, мир! ПРИ’ВЕТ 12мир", "ёж я", "щщщщ мирмирмир " + "при" * 40, "", None, "я", "'п'р' мир'"]
+    for params in (Params(), Params(2, 3, 4), Params(1, 1, 1), Params(1, 5, 5), Params(topwords=False)):
+        at_once, single = scoring.Pieces(facts, tables, params), scoring.Pieces(facts, tables, params)
+        assert at_once.tiles.fits
+        single.tiles.fits = False
+        assert (at_once.sums(texts) == single.sums(texts)).all()
+
+
+def test_a_tally_taken_often_counts_the_same():
+    texts = [("ru", "Привет мир МИР 1мир ми٣р об'ект об’ект а'б'в мир' İ"), ("xx", "The the don't abc1 İx"), ("ru", "мир abc"), ("zh-hans", "中文 abc")]
+    whole, often, added = train.Tally(("LATIN", "CYRILLIC")), train.Tally(("LATIN", "CYRILLIC")), {}
+    rows = lambda tally: [(r["lang"], r["word"], r["cnt"]) for r in tally.taken().to_pylist()]
+    for lang, text in texts:
+        whole.add(lang, text)
+        often.add(lang, text)
+        for x, w, n in rows(often):
+            added[x, w] = added.get((x, w), 0) + n
+    assert added == {(x, w): n for x, w, n in rows(whole)} == {("ru", "привет"): 1, ("ru", "мир"): 4, ("ru", "об'ект"): 2, ("xx", "the"): 2, ("xx", "don't"): 1, ("xx", "ix"): 1}
+    assert not whole.full and train.Tally(("CYRILLIC",)).alphabet("en") is None
